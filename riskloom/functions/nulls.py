@@ -79,3 +79,11 @@ def row_sum(columns: list[Column]) -> Column:
 def numeric_or_null(column: Column) -> Column:
     """Text to double; anything unparsable becomes NULL."""
     return F.nanvl(column.try_cast("double"), F.lit(None))
+
+
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column's values as text; the two floating zeros give the same text."""
+    c = col(name)
+    if isinstance(df.schema[name].dataType, FLOATING):
+        c = c + F.lit(0.0)
+    return c.cast("string")

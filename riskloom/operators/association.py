@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.nulls import col, ratio
+from riskloom.functions.nulls import as_text, col, ratio
 from riskloom.operators.ordered import attach_by_value, melt_sliced, quantile_dict, ranks
 
 # Up to this many columns every pair is an expression of one aggregate; beyond it the
@@ -156,8 +156,8 @@ def contingency(df: DataFrame, pairs: Pairs) -> DataFrame:
             F.struct(
                 F.lit(a).alias("var_1"),
                 F.lit(b).alias("var_2"),
-                col(a).cast("string").alias("x"),
-                col(b).cast("string").alias("y"),
+                as_text(df, a).alias("x"),
+                as_text(df, b).alias("y"),
             )
             for a, b in pairs
         ]

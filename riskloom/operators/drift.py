@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.nulls import col, ratio
+from riskloom.functions.nulls import as_text, col, ratio
 from riskloom.operators.cleaning import sentinel_to_null
 from riskloom.operators.contract import coerce_numeric, populated_columns, union_labelled
-from riskloom.operators.ordered import cumulate, fit_edges, melt_sliced
+from riskloom.operators.ordered import cumulate, fit_edges, melt_sliced, union_edges
 from riskloom.operators.sampling import seeded_sample
 from riskloom.operators.timeline import group_share
 
@@ -54,7 +54,8 @@ def wasserstein(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     Both samples are reduced to counts per distinct value and summed along the ordered
     values in slices, so no column is ever ordered in one task.
     """
-    edges = fit_edges(reference, columns, splits)
+    # Edges of both samples: a shifted sample must not fall into one slice.
+    edges = union_edges(fit_edges(reference, columns, splits), fit_edges(current, columns, splits))
     ref = melt_sliced(reference, columns, edges).withColumns({"r": F.lit(1), "c": F.lit(0)})
     cur = melt_sliced(current, columns, edges).withColumns({"r": F.lit(0), "c": F.lit(1)})
     counts = ref.unionByName(cur).groupBy("column", "slice", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
@@ -74,7 +75,7 @@ def jensen_shannon(reference: DataFrame, current: DataFrame, columns: Sequence[s
     """Jensen-Shannon distance of the category shares per column."""
 
     def counts(df: DataFrame, name: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns])
         long = df.select(F.inline(cells)).where("value is not null")
         return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias(name))
 

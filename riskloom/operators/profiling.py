@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.nulls import col, is_true, numeric_names, ratio, string_names
+from riskloom.functions.nulls import as_text, col, is_true, numeric_names, ratio, string_names
 from riskloom.operators.ordered import Edges, exact_quantiles, fit_edges, quantile_dict
 
 
@@ -97,19 +97,19 @@ def value_frequency(df: DataFrame, column: str, top: int | None = None, normaliz
 
 def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as text, n) over all columns in one pass."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns])
     return df.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dominant_value(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Most frequent value per column (smallest text on ties), its share of the non-missing
+    """Most frequent value per column (the smallest on ties), its share of the non-missing
     rows, and the number of distinct values."""
     columns = list(columns or df.columns)
-    best = F.max(F.struct(F.col("n"), F.lit(0).alias("pad")))
     counts = value_counts_long(df, columns)
+    number = F.when(F.col("column").isin(numeric_names(df)), F.col("value").try_cast("double"))
     top = counts.groupBy("column").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("dominant_value"),
-        best.getField("n").alias("dominant_n"),
+        F.min_by("value", F.struct(-F.col("n"), number, F.col("value"))).alias("dominant_value"),
+        F.max("n").alias("dominant_n"),
         F.sum("n").alias("n_present"),
         F.count(F.lit(1)).alias("n_unique"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.nulls import col, is_true, ratio
@@ -66,7 +66,8 @@ def to_long(series: DataFrame, columns: Sequence[str], name: str = "measure", va
 def group_share(df: DataFrame, group: str, column: str, into: str = "share") -> DataFrame:
     """Rows per (group, value) and their share of the group."""
     counts = df.where(col(column).isNotNull()).groupBy(col(group), col(column)).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn(into, ratio(F.col("n"), F.sum("n").over(Window.partitionBy(col(group)))))
+    totals = counts.groupBy(col(group)).agg(F.sum("n").alias("total_"))
+    return counts.join(totals, group).withColumn(into, ratio(F.col("n"), F.col("total_"))).drop("total_")
 
 
 def headline(
