@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from riskloom.functions.nulls import as_text, col, ratio
 from riskloom.operators.ordered import attach_by_value, melt_sliced, quantile_dict, ranks
 
-# Up to this many columns every pair is an expression of one aggregate; beyond it the
-# cross products are summed as matrices, one per task.
-NARROW = 12
+# Up to this many pairs each pair is an expression of one aggregate; beyond it the cross
+# products are summed as matrices, one set per task.
+NARROW = 10
 
 Pairs = Sequence[tuple[str, str]]
 
@@ -47,13 +47,19 @@ def _narrow_pairs(df: DataFrame, pairs: Pairs) -> DataFrame:
     return wide.select(F.inline(cells))
 
 
-def _block_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs of a wide table: each task sums centred cross products over its rows and
-    emits one k x k set of partial sums; the sums are then added per pair."""
-    k = len(columns)
+def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> DataFrame:
+    """Many pairs: each task sums centred cross products over its rows and emits one set of
+    partial sums, which are then added per pair. Without ``right`` all pairs of ``left``."""
+    columns = [*left, *(right or [])]
+    k = len(left)
     centre = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    means = np.array([0.0 if centre[f"m{i}"] is None else centre[f"m{i}"] for i in range(k)])
-    upper_i, upper_j = np.triu_indices(k, 1)
+    means = np.array([0.0 if centre[f"m{i}"] is None else centre[f"m{i}"] for i in range(len(columns))])
+    if right is None:
+        at_i, at_j = np.triu_indices(k, 1)
+        a, b = slice(0, k), slice(0, k)
+    else:
+        at_i, at_j = (g.ravel() for g in np.indices((k, len(right))))
+        a, b = slice(0, k), slice(k, len(columns))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = None
@@ -63,13 +69,12 @@ def _block_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             m = here.astype("float64")
             x = np.where(here, raw - means, 0.0)
             sq = x * x
-            part = [m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x]
-            acc = part if acc is None else [a + p for a, p in zip(acc, part)]
+            products = ((m, m), (x, m), (m, x), (sq, m), (m, sq), (x, x))
+            part = [p[:, a].T @ q[:, b] for p, q in products]
+            acc = part if acc is None else [s + t for s, t in zip(acc, part)]
         if acc is not None:
-            n, sx, sy, sxx, syy, sxy = [a[upper_i, upper_j] for a in acc]
-            yield pd.DataFrame(
-                {"i": upper_i, "j": upper_j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy}
-            )
+            n, sx, sy, sxx, syy, sxy = [s[at_i, at_j] for s in acc]
+            yield pd.DataFrame({"i": at_i, "j": at_j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
 
     narrow = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     sums = (
@@ -84,23 +89,19 @@ def _block_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     # A residue far below the raw second moment is rounding of a constant column.
     real = (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)
     value = F.when(real, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(cov, F.sqrt(vx * vy)))))
-    names = F.array(*[F.lit(c) for c in columns])
     return sums.select(
-        F.get(names, F.col("i")).alias("var_1"),
-        F.get(names, F.col("j")).alias("var_2"),
+        F.get(F.array(*[F.lit(c) for c in left]), F.col("i")).alias("var_1"),
+        F.get(F.array(*[F.lit(c) for c in (right or left)]), F.col("j")).alias("var_2"),
         n.cast("long").alias("n"),
         value.alias("corr"),
     )
 
 
-def pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Pairs | None = None) -> DataFrame:
+def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation, each unordered pair once with var_1 < var_2."""
     columns = sorted(columns)
-    if pairs is not None:
-        return _narrow_pairs(df, pairs)
-    if len(columns) <= NARROW:
-        return _narrow_pairs(df, list(combinations(columns, 2)))
-    return _block_pairs(df, columns)
+    pairs = list(combinations(columns, 2))
+    return _narrow_pairs(df, pairs) if len(pairs) <= NARROW else _block_pairs(df, columns)
 
 
 def rank_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str], splits: int | None = None) -> DataFrame:
@@ -134,7 +135,10 @@ def high_pairs(pairs: DataFrame, threshold: float = 0.7, value: str = "corr") ->
 
 def label_correlation(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Correlation of each column with the label, strongest first."""
-    pairs = _narrow_pairs(df, [(c, label) for c in columns])
+    if len(columns) <= NARROW:
+        pairs = _narrow_pairs(df, [(c, label) for c in columns])
+    else:
+        pairs = _block_pairs(df, columns, [label])
     return pairs.select(F.col("var_1").alias("column"), "corr", F.abs("corr").alias("abs_corr")).orderBy(
         F.desc("abs_corr"), "column"
     )

@@ -97,9 +97,10 @@ def fit_drop_list(
     columns = unprotected(columns) if protect else list(columns)
     pairs = high_pairs(pearson_pairs(df, columns), threshold)
     components = connected_components(pairs)
-    ranked = best_of_cluster(components, label_correlation(df, columns, label))
-    rows = ranked.select("node", "keep").orderBy("node").collect()
-    audit = reduce_clusters(components, label_correlation(df, columns, label))
+    strength = checkpointed(label_correlation(df, columns, label))
+    # One row per clustered column reaches the driver: the lists become frozen parameters.
+    rows = best_of_cluster(components, strength).select("node", "keep").orderBy("node").collect()
+    audit = reduce_clusters(components, strength)
     return [r["node"] for r in rows if r["keep"]], [r["node"] for r in rows if not r["keep"]], audit
 
 
