@@ -140,10 +140,6 @@ def before_after_latency(spark, sf_dir):
     return out.withColumn("min_ms", F.col("min_ms").cast("double"))
 
 
-SERIES = """, frame as (select unnest(generate_series((select date_trunc('{unit}', min(created_at)) from calls_log),
-    (select date_trunc('{unit}', max(created_at)) from calls_log), interval 1 {unit})) as bucket)"""
-
-
 def _gappy(spark, sf_dir) -> DataFrame:
     """The log without the calls of some hours and days, so that empty buckets occur."""
     log = view(spark, sf_dir, "log")
@@ -556,7 +552,9 @@ def monitoring_report(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return readers.stream_parquet(spark, sf_dir, "events", schema)
+    stream = readers.stream_parquet(spark, sf_dir, "events", schema)
+    # Watermarks need an instant; the stored times carry no zone and are read as UTC.
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drained(spark, stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -689,9 +687,7 @@ def stream_dedup(spark, sf_dir):
 
 @query(
     "stream_drift",
-    HALVES.replace("from events)", "from events), all_rows as (select * from both_halves)").replace(
-        f"ts < timestamp '{SWITCH}' as is_ref from events", f"ts < timestamp '{SWITCH}' as is_ref from events"
-    )
+    HALVES
     + f""", parts as (select 'value' as "column", 'wasserstein' as method, score from ({_w1("value")}) a
       union all select 'event_type', 'jensenshannon', score from ({_js("event_type")}) b)
     select "column", method, round(score, 4) as score, 0.1e0 as threshold, round(score, 4) > 0.1e0 as drifted from parts""",
@@ -699,8 +695,8 @@ def stream_dedup(spark, sf_dir):
 def stream_drift(spark, sf_dir):
     """Later events as a stream, compared batch by batch with the earlier ones."""
     folder = staging_path(spark, "drift")
-    before = F.col("ts") < _moment(SWITCH)
-    reference = table(spark, sf_dir, "events").where(before).select("value", "event_type")
+    reference = table(spark, sf_dir, "events").where(F.col("ts") < _moment(SWITCH)).select("value", "event_type")
     sink = jobs.drift_sink(reference, f"{folder}/out", ["value", "event_type"])
-    jobs.drain(_event_stream(spark, sf_dir).where(~before), sink, f"{folder}/progress")
+    later = _event_stream(spark, sf_dir).where(F.col("ts") >= F.lit(SWITCH).cast("timestamp"))
+    jobs.drain(later, sink, f"{folder}/progress")
     return spark.read.parquet(f"{folder}/out").drop("batch")

@@ -34,9 +34,12 @@ def field_error(rule: Rule, raw: Column, present: Column) -> Column:
         return F.lit(f"{kind}:{rule.name}")
 
     value = parse_field(rule, raw)
-    check = F.when(~present, error("missing") if rule.required else F.lit(None).cast("string"))
     empty = {"int": "int_type", "float": "float_type", "choice": "literal_error"}.get(rule.kind, "string_type")
-    check = check.when(raw.isNull(), error(empty) if rule.required else F.lit(None).cast("string"))
+    if rule.required:
+        absent = F.when(present, error(empty)).otherwise(error("missing"))
+    else:
+        absent = F.lit(None).cast("string")
+    check = F.when(raw.isNull(), absent)
     if rule.kind == "int":
         check = check.when(value.isNull() & raw.try_cast("double").isNotNull(), error("int_from_float"))
         check = check.when(value.isNull(), error("int_parsing"))
@@ -53,47 +56,52 @@ def field_error(rule: Rule, raw: Column, present: Column) -> Column:
     return check
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row. A plain projection would be copied into
+    every filter and column built on it, and with it the parsing of the whole record."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def validate_json(df: DataFrame, body: str, rules: Sequence[Rule] = REQUEST_RULES) -> DataFrame:
     """Check a JSON object column against the rules.
 
     Adds ``record`` (typed fields), ``extras`` (further fields as text), ``errors`` (all, in
     field order), ``error_type`` (the first) and ``status``. Every row comes out, valid or not.
     """
-    fields = F.from_json(col(body), T.MapType(T.StringType(), T.StringType()))
-    parsed = df.withColumn("__fields", fields)
-    whole = F.col("__fields")
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*(r.name for r in rules), EXTRAS]])
+    parse = F.struct(F.from_json(col(body), texts).alias("f"), F.json_object_keys(col(body)).alias("keys"))
+    parsed = _once(df, "__in", parse)
+    names = F.col("__in.keys")
 
     def raw(name: str) -> Column:
-        return whole.getItem(name)
+        return F.col("__in.f").getField(name)
 
-    checks = [field_error(r, raw(r.name), F.map_contains_key(whole, F.lit(r.name))) for r in rules]
+    checks = [field_error(r, raw(r.name), F.array_contains(names, r.name)) for r in rules]
     broken = F.when(F.try_parse_json(col(body)).isNull(), F.lit("json_invalid")).otherwise(F.lit("model_attributes_type"))
-    errors = F.when(whole.isNull(), F.array(broken)).otherwise(F.filter(F.array(*checks), lambda e: e.isNotNull()))
+    errors = F.when(names.isNull(), F.array(broken)).otherwise(F.filter(F.array(*checks), lambda e: e.isNotNull()))
     extras = F.from_json(raw(EXTRAS), T.MapType(T.StringType(), T.StringType()))
-    return (
-        parsed.withColumns(
-            {
-                "record": F.struct(*[parse_field(r, raw(r.name)).alias(r.name) for r in rules]),
-                "extras": F.coalesce(extras, F.create_map().cast("map<string,string>")),
-                "errors": errors,
-            }
-        )
-        .withColumns({"error_type": F.get(F.col("errors"), 0)})
-        .withColumns({"status": F.when(F.col("error_type").isNull(), F.lit(SUCCESS)).otherwise(F.lit(REJECTED))})
-        .drop("__fields")
-    )
+    checked = _once(parsed, "errors", errors)
+    return checked.withColumns(
+        {
+            "record": F.struct(*[parse_field(r, raw(r.name)).alias(r.name) for r in rules]),
+            "extras": F.coalesce(extras, F.create_map().cast("map<string,string>")),
+            "error_type": F.get(F.col("errors"), 0),
+            "status": F.when(F.size("errors") == 0, F.lit(SUCCESS)).otherwise(F.lit(REJECTED)),
+        }
+    ).drop("__in")
 
 
 def validate_columns(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The same checks on a table whose columns already carry the fields; a missing value in
     a required field is an absent field."""
-    checks = []
-    for r in rules:
-        raw = col(r.name).cast("string")
-        checks.append(field_error(r, raw, raw.isNotNull()))
-    errors = F.filter(F.array(*checks), lambda e: e.isNotNull())
-    out = df.withColumns({"errors": errors}).withColumns({"error_type": F.get(F.col("errors"), 0)})
-    return out.withColumns({"status": F.when(F.col("error_type").isNull(), F.lit(SUCCESS)).otherwise(F.lit(REJECTED))})
+    checks = [field_error(r, col(r.name).cast("string"), F.lit(False)) for r in rules]
+    out = _once(df, "errors", F.filter(F.array(*checks), lambda e: e.isNotNull()))
+    return out.withColumns(
+        {
+            "error_type": F.get(F.col("errors"), 0),
+            "status": F.when(F.size("errors") == 0, F.lit(SUCCESS)).otherwise(F.lit(REJECTED)),
+        }
+    )
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,13 +134,13 @@ def error_counts(checked: DataFrame) -> DataFrame:
 
 def reject_rows(rejected: DataFrame, body: str, key: str = "SK_ID_CURR") -> DataFrame:
     """Log fields of rejected records; the raw body is kept, an unreadable one becomes {}."""
-    readable = F.from_json(col(body), T.MapType(T.StringType(), T.StringType()))
+    own = rejected.schema["record"].dataType.names
     return rejected.select(
         *[c for c in rejected.columns if c not in ("record", "extras", "errors", "error_type", "status", body)],
-        _whole(readable.getItem(key)).alias("sk_id_curr"),
+        (F.col("record").getField(key) if key in own else F.lit(None)).cast("long").alias("sk_id_curr"),
         "status",
         "error_type",
-        F.when(readable.isNotNull(), col(body)).otherwise(F.lit("{}")).alias("features"),
+        F.when(F.json_object_keys(col(body)).isNotNull(), col(body)).otherwise(F.lit("{}")).alias("features"),
     )
 
 
