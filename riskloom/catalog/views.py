@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalars import settle
 from riskloom.sources.readers import read_table_dir
 
 # Each view: the source tables and the select list, in SQL both engines read alike.
@@ -169,7 +168,8 @@ def with_views(*names: str, body: str) -> str:
 def settled(df: DataFrame, digits: int = 4) -> DataFrame:
     """All floating columns rounded the same way the SQL texts do."""
     doubles = [n for n, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({n: settle(F.col(f"`{n}`"), digits) for n in doubles})
+    scale = f"{10**digits}.0D"
+    return df.withColumns({n: F.expr(f"floor(`{n}` * {scale} + 0.500001D) / {scale}") for n in doubles})
 
 
 def r(expression: str, digits: int = 4) -> str:

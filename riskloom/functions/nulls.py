@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions import text
+
 FLOATING = (T.DoubleType, T.FloatType)
 
 
 def col(name: str) -> Column:
     """A column by its literal name; names may hold spaces, slashes or dots."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(text.name(name))
 
 
 def numeric_names(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) -> list[str]:
@@ -36,19 +38,15 @@ def boolean_names(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) -> l
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every floating column, in one projection."""
     return df.withColumns(
-        {f.name: F.nanvl(col(f.name), F.lit(None)) for f in df.schema if isinstance(f.dataType, FLOATING)}
+        {f.name: F.expr(f"nanvl({text.name(f.name)}, NULL)") for f in df.schema if isinstance(f.dataType, FLOATING)}
     )
 
 
 def replace_infinities(df: DataFrame) -> DataFrame:
     """Plus and minus infinity become NULL in every floating column."""
-    inf = float("inf")
+    finite = "CASE WHEN abs({0}) <> double('inf') THEN {0} END"
     return df.withColumns(
-        {
-            f.name: F.when(F.abs(col(f.name)) != F.lit(inf), col(f.name))
-            for f in df.schema
-            if isinstance(f.dataType, FLOATING)
-        }
+        {f.name: F.expr(finite.format(text.name(f.name))) for f in df.schema if isinstance(f.dataType, FLOATING)}
     )
 
 
@@ -68,22 +66,12 @@ def sum_or_zero(column: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
-def row_sum(columns: list[Column]) -> Column:
-    """Sum across a row; missing terms count as zero."""
-    total = F.lit(0)
-    for c in columns:
-        total = total + F.coalesce(c, F.lit(0))
-    return total
-
-
 def numeric_or_null(column: Column) -> Column:
     """Text to double; anything unparsable becomes NULL."""
     return F.nanvl(column.try_cast("double"), F.lit(None))
 
 
-def as_text(df: DataFrame, name: str) -> Column:
-    """A column's values as text; the two floating zeros give the same text."""
-    c = col(name)
-    if isinstance(df.schema[name].dataType, FLOATING):
-        c = c + F.lit(0.0)
-    return c.cast("string")
+def as_text(df: DataFrame, name: str) -> str:
+    """SQL text of a column's values as text; the two floating zeros give the same text."""
+    zero = " + 0D" if isinstance(df.schema[name].dataType, FLOATING) else ""
+    return f"CAST({text.name(name)}{zero} AS STRING)"

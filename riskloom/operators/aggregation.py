@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import text
 from riskloom.functions.nulls import boolean_names, col, is_true, numeric_names, string_names, sum_or_zero
 
 Categories = Mapping[str, Sequence[str]]
@@ -27,8 +28,8 @@ def fit_categories(df: DataFrame, columns: Sequence[str] | None = None, limit: i
     columns = list(columns) if columns is not None else string_names(df)
     if not columns:
         return {}
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), col(c).alias("v")) for c in columns])
-    found = df.select(F.inline(cells)).where("v is not null").distinct()
+    cells = text.rows([{"c": text.value(c), "v": text.name(c)} for c in columns])
+    found = df.selectExpr(cells).where("v is not null").distinct()
     sizes = {r["c"]: r["n"] for r in found.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     wide = {c: n for c, n in sizes.items() if n > limit}
     if wide:
@@ -63,39 +64,31 @@ def aggregate_by(
     """
     lead = f"{prefix}_" if prefix else ""
     rows = df.where(col(key).isNotNull())
-    parts: list[tuple[list[Column], list[Column]]] = []  # (buffers, outputs) per input column
+    parts: list[tuple[list[str], list[str]]] = []  # (aggregates, outputs) per input column
     for i, c in enumerate(numeric):
-        x = col(c)
-        n, s = f"n{i}", f"s{i}"
+        x, out = text.name(c), f"{lead}{c}"
+        low, high = text.name(f"{out}_min"), text.name(f"{out}_max")
         parts.append(
             (
+                [f"min({x}) AS {low}", f"max({x}) AS {high}", f"sum({x}) AS s{i}", f"count({x}) AS n{i}"],
                 [
-                    F.min(x).alias(f"{lead}{c}_min"),
-                    F.max(x).alias(f"{lead}{c}_max"),
-                    F.sum(x).alias(s),
-                    F.count(x).alias(n),
-                ],
-                [
-                    col(f"{lead}{c}_min"),
-                    col(f"{lead}{c}_max"),
-                    F.try_divide(F.col(s).cast("double"), F.col(n)).alias(f"{lead}{c}_mean"),
-                    F.coalesce(F.col(s), F.lit(0)).alias(f"{lead}{c}_sum"),
+                    low,
+                    high,
+                    f"try_divide(CAST(s{i} AS DOUBLE), n{i}) AS {text.name(f'{out}_mean')}",
+                    f"coalesce(s{i}, 0) AS {text.name(f'{out}_sum')}",
                 ],
             )
         )
-    j = 0
-    for c, values in (categories or {}).items():
-        for v in values:
-            hits = f"h{j}"
-            j += 1
-            parts.append(
-                (
-                    [F.count_if(is_true(col(c) == F.lit(v))).alias(hits)],
-                    [(F.col(hits) / F.col("rows_")).alias(f"{lead}{c}_{v}_mean")],
-                )
+    shares = [(c, v) for c, values in (categories or {}).items() for v in values]
+    for j, (c, v) in enumerate(shares):
+        parts.append(
+            (
+                [f"count_if({text.name(c)} <=> {text.value(v)}) AS h{j}"],
+                [f"h{j} / rows_ AS {text.name(f'{lead}{c}_{v}_mean')}"],
             )
+        )
 
-    passes: list[list[tuple[list[Column], list[Column]]]] = [[]]
+    passes: list[list[tuple[list[str], list[str]]]] = [[]]
     width = 0
     for part in parts:
         if width + len(part[0]) > MAX_BUFFERS:
@@ -106,15 +99,15 @@ def aggregate_by(
 
     out = None
     for i, chunk in enumerate(passes):
-        buffers = [b for p in chunk for b in p[0]]
-        grouped = rows.groupBy(col(key)).agg(F.count(F.lit(1)).alias("rows_"), *buffers)
+        buffers = [F.expr(b) for p in chunk for b in p[0]]
+        grouped = rows.groupBy(col(key)).agg(F.expr("count(1) AS rows_"), *buffers)
         outputs = [o for p in chunk for o in p[1]]
         if i == 0 and count_name:
-            outputs.append(F.col("rows_").alias(count_name))
-        piece = grouped.select(col(key), *outputs)
+            outputs.append(f"rows_ AS {text.name(count_name)}")
+        piece = grouped.selectExpr(text.name(key), *outputs)
         out = piece if out is None else out.join(piece, key, "left")
     if count_name and len(passes) > 1:  # the count goes last, as in a single pass
-        out = out.select(*[col(c) for c in out.columns if c != count_name], col(count_name))
+        out = out.selectExpr(*[text.name(c) for c in out.columns if c != count_name], text.name(count_name))
     check_names(out.columns)
     return out
 
@@ -147,20 +140,22 @@ def aggregate_months(
     df: DataFrame, key: str, month: str, status: str, statuses: Sequence[str]
 ) -> DataFrame:
     """Month rows to one row per credit: month min / max / count and status shares."""
-    rows = df.where(col(key).isNotNull())
-    grouped = rows.groupBy(col(key)).agg(
-        F.min(col(month)).alias(f"{month}_min"),
-        F.max(col(month)).alias(f"{month}_max"),
-        F.count(col(month)).alias(f"{month}_count"),
-        F.count(F.lit(1)).alias("rows_"),
-        *[F.count_if(is_true(col(status) == F.lit(v))).alias(f"h{i}") for i, v in enumerate(statuses)],
+    m, s = text.name(month), text.name(status)
+    grouped = (
+        df.where(col(key).isNotNull())
+        .groupBy(col(key))
+        .agg(
+            F.expr(f"min({m}) AS {text.name(f'{month}_min')}"),
+            F.expr(f"max({m}) AS {text.name(f'{month}_max')}"),
+            F.expr(f"count({m}) AS {text.name(f'{month}_count')}"),
+            F.expr("count(1) AS rows_"),
+            *[F.expr(f"count_if({s} <=> {text.value(v)}) AS h{i}") for i, v in enumerate(statuses)],
+        )
     )
-    return grouped.select(
-        col(key),
-        col(f"{month}_min"),
-        col(f"{month}_max"),
-        col(f"{month}_count"),
-        *[(F.col(f"h{i}") / F.col("rows_")).alias(f"{status}_{v}_mean") for i, v in enumerate(statuses)],
+    return grouped.selectExpr(
+        text.name(key),
+        *[text.name(f"{month}_{stat}") for stat in ("min", "max", "count")],
+        *[f"h{i} / rows_ AS {text.name(f'{status}_{v}_mean')}" for i, v in enumerate(statuses)],
     )
 
 

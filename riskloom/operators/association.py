@@ -7,9 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import text
 from riskloom.functions.nulls import as_text, col, ratio
 from riskloom.operators.ordered import attach_by_value, melt_sliced, quantile_dict, ranks
 
@@ -20,31 +21,31 @@ NARROW = 10
 Pairs = Sequence[tuple[str, str]]
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Correlation over rows where both are present; a constant side gives NULL."""
-    a = F.when(y.isNotNull(), x)
-    b = F.when(x.isNotNull(), y)
-    # var_pop of a constant can be a rounding residue; equal extremes settle it.
-    flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    value = ratio(F.covar_pop(x, y), F.sqrt(F.var_pop(a) * F.var_pop(b)))
-    return F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
-
-
 def _narrow_pairs(df: DataFrame, pairs: Pairs) -> DataFrame:
-    exprs = []
+    """A few pairs: moments over the rows where both are present, all pairs in one pass. The
+    correlation with a constant column is NULL; equal extremes tell one, since its variance
+    may be a rounding residue."""
+    aggregates, records = [], []
     for i, (a, b) in enumerate(pairs):
-        x, y = col(a).cast("double"), col(b).cast("double")
-        exprs += [_pearson(x, y).alias(f"c{i}"), F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{i}")]
-    wide = df.agg(*exprs)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"n{i}").alias("n"), F.col(f"c{i}").alias("corr")
-            )
-            for i, (a, b) in enumerate(pairs)
+        x, y = f"CAST({text.name(a)} AS DOUBLE)", f"CAST({text.name(b)} AS DOUBLE)"
+        x_, y_ = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+        aggregates += [
+            f"covar_pop({x}, {y}) AS c{i}",
+            f"var_pop({x_}) AS vx{i}",
+            f"var_pop({y_}) AS vy{i}",
+            f"min({x_}) = max({x_}) OR min({y_}) = max({y_}) AS flat{i}",
+            f"count_if({x} IS NOT NULL AND {y} IS NOT NULL) AS n{i}",
         ]
-    )
-    return wide.select(F.inline(cells))
+        bounded = f"greatest(-1D, least(1D, try_divide(c{i}, sqrt(vx{i} * vy{i}))))"
+        records.append(
+            {
+                "var_1": text.value(a),
+                "var_2": text.value(b),
+                "n": f"n{i}",
+                "corr": f"CASE WHEN NOT flat{i} THEN {bounded} END",
+            }
+        )
+    return df.agg(*[F.expr(e) for e in aggregates]).selectExpr(text.rows(records))
 
 
 def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None
     partial sums, which are then added per pair. Without ``right`` all pairs of ``left``."""
     columns = [*left, *(right or [])]
     k = len(left)
-    centre = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = df.agg(*[F.expr(f"avg(CAST({text.name(c)} AS DOUBLE)) AS m{i}") for i, c in enumerate(columns)]).first()
     means = np.array([0.0 if centre[f"m{i}"] is None else centre[f"m{i}"] for i in range(len(columns))])
     if right is None:
         at_i, at_j = np.triu_indices(k, 1)
@@ -76,7 +77,7 @@ def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None
             n, sx, sy, sxx, syy, sxy = [s[at_i, at_j] for s in acc]
             yield pd.DataFrame({"i": at_i, "j": at_j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
 
-    narrow = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    narrow = df.selectExpr(*[f"CAST({text.name(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(columns)])
     sums = (
         narrow.mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
         .groupBy("i", "j")
@@ -114,7 +115,7 @@ def rank_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str], spli
     long = melt_sliced(df, columns, {}, keep=key).drop("slice")
     ranked = attach_by_value(long, table, ["column", "value"], "n", "all_n", "rank")
     return ranked.groupBy(*[col(k) for k in key]).agg(
-        *[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns]
+        *[F.expr(f"max(CASE WHEN column = {text.value(c)} THEN rank END) AS {text.name(c)}") for c in columns]
     )
 
 
@@ -146,7 +147,7 @@ def label_correlation(df: DataFrame, columns: Sequence[str], label: str) -> Data
 
 def nullity_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Correlation of the missing indicators; columns never or always missing drop out."""
-    marks = df.select(*[col(c).isNull().cast("int").alias(c) for c in columns])
+    marks = df.selectExpr(*[f"CAST({text.name(c)} IS NULL AS INT) AS {text.name(c)}" for c in columns])
     return pearson_pairs(marks, columns).where("corr is not null")
 
 
@@ -155,19 +156,14 @@ def nullity_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def contingency(df: DataFrame, pairs: Pairs) -> DataFrame:
     """Cell counts of every column pair in one pass: (var_1, var_2, x, y, n)."""
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("var_1"),
-                F.lit(b).alias("var_2"),
-                as_text(df, a).alias("x"),
-                as_text(df, b).alias("y"),
-            )
+    cells = text.rows(
+        [
+            {"var_1": text.value(a), "var_2": text.value(b), "x": as_text(df, a), "y": as_text(df, b)}
             for a, b in pairs
         ]
     )
     return (
-        df.select(F.inline(cells))
+        df.selectExpr(cells)
         .where("x is not null and y is not null")
         .groupBy("var_1", "var_2", "x", "y")
         .agg(F.count(F.lit(1)).alias("n"))

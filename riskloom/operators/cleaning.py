@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.nulls import col, is_true, row_sum
+from riskloom.functions import text
+from riskloom.functions.nulls import col, is_true
 from riskloom.operators.ordered import quantile_dict
 
 # Fixed value: the code that stands for "no date" in day-offset columns.
@@ -31,7 +32,8 @@ def sentinel_to_null(df: DataFrame, columns: Sequence[str], sentinel: int = DAY_
 
 def sum_flags(df: DataFrame, flags: Sequence[str], into: str = "TOTAL_DOCUMENTS_PROVIDED") -> DataFrame:
     """Replace 0/1 columns by their count; a missing flag counts as zero."""
-    return df.withColumns({into: row_sum([col(c) for c in flags])}).drop(*flags)
+    count = " + ".join(f"coalesce({text.name(c)}, 0)" for c in flags)
+    return df.withColumns({into: F.expr(count)}).drop(*flags)
 
 
 def cap_flag(value: Column, upper: float | None, lower: float | None) -> Column:
@@ -70,8 +72,8 @@ def missing_share(df: DataFrame, columns: Sequence[str], into: str = "pct_nan_ro
     """Share of ``columns`` that is missing in each row. The list is fixed by the caller, so
     the denominator does not depend on which columns happen to be present."""
     present = set(df.columns)
-    empty = [col(c).isNull().cast("int") if c in present else F.lit(1) for c in columns]
-    return df.withColumns({into: row_sum(empty) / F.lit(float(len(columns)))})
+    empty = " + ".join(f"CAST({text.name(c)} IS NULL AS INT)" if c in present else "1" for c in columns)
+    return df.withColumns({into: F.expr(f"({empty}) / {float(len(columns))}D")})
 
 
 def fit_caps(df: DataFrame, quantiles: dict[str, float], approx: bool = False) -> dict[str, float | None]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions import text
 from riskloom.functions.nulls import col, numeric_or_null
 
 
@@ -25,12 +26,12 @@ def align(df: DataFrame, contract: T.StructType, key: str | None = None) -> Data
     have = {c.lower(): c for c in df.columns}
     out = []
     if key and key.lower() in have and key not in contract.names:
-        out.append(col(key))
+        out.append(text.name(key))
     for f in contract:
         source = have.get(f.name.lower())
-        value = col(source).cast(f.dataType) if source else F.lit(None).cast(f.dataType)
-        out.append(value.alias(f.name))
-    return df.select(*out)
+        value = text.name(source) if source else "NULL"
+        out.append(f"CAST({value} AS {f.dataType.simpleString()}) AS {text.name(f.name)}")
+    return df.selectExpr(*out)
 
 
 def contract_of(df: DataFrame, drop: Iterable[str] = ()) -> T.StructType:
@@ -86,11 +87,9 @@ def expand_json(df: DataFrame, column: str, contract: T.StructType, keep: Sequen
     """
     texts = T.StructType([T.StructField(f.name, T.StringType(), True) for f in contract])
     parsed = df.select(*[col(k) for k in keep], F.from_json(col(column), texts).alias("r_"))
-    out: list[Column] = [col(k) for k in keep]
-    for f in contract:
-        raw = F.col("r_").getField(f.name)
-        out.append((raw if isinstance(f.dataType, T.StringType) else raw.try_cast(f.dataType)).alias(f.name))
-    return parsed.select(*out)
+    kept = [text.name(k) for k in keep]
+    fields = [f"try_cast(r_.{text.name(f.name)} AS {f.dataType.simpleString()}) AS {text.name(f.name)}" for f in contract]
+    return parsed.selectExpr(*kept, *fields)
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,7 +100,7 @@ def populated_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with at least one value; one aggregate row reaches the driver."""
     if not columns:
         return []
-    row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.expr(f"count({text.name(c)}) AS n{i}") for i, c in enumerate(columns)]).first()
     return [c for i, c in enumerate(columns) if row[f"n{i}"] > 0]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions import text
 from riskloom.functions.nulls import as_text, col, ratio
 from riskloom.operators.cleaning import sentinel_to_null
 from riskloom.operators.contract import coerce_numeric, populated_columns, union_labelled
@@ -62,9 +63,10 @@ def wasserstein(reference: DataFrame, current: DataFrame, columns: Sequence[str]
     run = cumulate(counts, ["column"], ["r", "c"], next_value=True)
     gap = F.abs(ratio(F.col("cum_r"), F.col("all_r")) - ratio(F.col("cum_c"), F.col("all_c")))
     area = run.groupBy("column").agg(F.sum(gap * (F.col("next_value") - F.col("value"))).alias("area"))
-    scale = reference.agg(*[F.stddev_pop(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("std")) for i, c in enumerate(columns)])
-    return area.join(scale.select(F.inline(cells)), "column").select(
+    scale = reference.agg(
+        *[F.expr(f"stddev_pop(CAST({text.name(c)} AS DOUBLE)) AS s{i}") for i, c in enumerate(columns)]
+    ).selectExpr(text.rows([{"column": text.value(c), "std": f"s{i}"} for i, c in enumerate(columns)]))
+    return area.join(scale, "column").select(
         "column",
         F.lit("wasserstein").alias("method"),
         (F.coalesce("area", F.lit(0.0)) / F.greatest(F.col("std"), F.lit(MIN_SPREAD))).alias("score"),
@@ -75,8 +77,8 @@ def jensen_shannon(reference: DataFrame, current: DataFrame, columns: Sequence[s
     """Jensen-Shannon distance of the category shares per column."""
 
     def counts(df: DataFrame, name: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns])
-        long = df.select(F.inline(cells)).where("value is not null")
+        cells = text.rows([{"column": text.value(c), "value": as_text(df, c)} for c in columns])
+        long = df.selectExpr(cells).where("value is not null")
         return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias(name))
 
     both = counts(reference, "r").join(counts(current, "c"), ["column", "value"], "full")

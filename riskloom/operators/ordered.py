@@ -11,12 +11,13 @@ held by a third of all rows is one row here, and no task sees more than about
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions import text
 from riskloom.functions.nulls import col
 from riskloom.session import split_count
 
@@ -30,9 +31,10 @@ def fit_edges(df: DataFrame, columns: Sequence[str], splits: int | None = None)
     if not columns or not probs:
         return {c: [] for c in columns}
     accuracy = max(1000, 4 * n)
+    cuts = ", ".join(text.value(p) for p in probs)
     row = df.agg(
         *[
-            F.percentile_approx(col(c).cast("double"), probs, accuracy).alias(f"e{i}")
+            F.expr(f"percentile_approx(CAST({text.name(c)} AS DOUBLE), array({cuts}), {accuracy}) AS e{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
@@ -55,25 +57,18 @@ def add_slice(df: DataFrame, columns: Sequence[str], edges: Edges, suffix: str =
             outputCols=[c + suffix for c in cut],
             handleInvalid="keep",
         ).transform(df)
-    return out.withColumns(
-        {c + suffix: (col(c + suffix).cast("int") if c in cut else F.lit(0)) for c in columns}
-    )
+    number = {c: f"CAST({text.name(c + suffix)} AS INT)" if c in cut else "0" for c in columns}
+    return out.withColumns({c + suffix: F.expr(n) for c, n in number.items()})
 
 
-def melt_sliced(
-    df: DataFrame, columns: Sequence[str], edges: Edges, keep: Sequence[str] = ()
-) -> DataFrame:
+def melt_sliced(df: DataFrame, columns: Sequence[str], edges: Edges, keep: Sequence[str] = ()) -> DataFrame:
     """Long form (keep..., column, slice, value) of the non-missing values of ``columns``."""
     plain = {c: f"v{i}" for i, c in enumerate(columns)}
-    narrow = df.select(*[col(k) for k in keep], *[col(c).cast("double").alias(v) for c, v in plain.items()])
+    kept = [text.name(k) for k in keep]
+    narrow = df.selectExpr(*kept, *[f"CAST({text.name(c)} AS DOUBLE) AS {v}" for c, v in plain.items()])
     cut = add_slice(narrow, list(plain.values()), {plain[c]: edges.get(c, []) for c in columns})
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), col(v + "__slice").alias("slice"), col(v).alias("value"))
-            for c, v in plain.items()
-        ]
-    )
-    return cut.select(*[col(k) for k in keep], F.inline(cells)).where("value is not null and slice is not null")
+    cells = text.rows([{"column": text.value(c), "slice": f"{v}__slice", "value": v} for c, v in plain.items()])
+    return cut.selectExpr(*kept, cells).where("value is not null and slice is not null")
 
 
 def cumulate(
@@ -88,30 +83,54 @@ def cumulate(
     including the value), ``all_<w>`` (total of the group) and, on request, ``next_value``
     (the next larger value of the group, across slices).
     """
-    slices = counts.groupBy(*by, "slice").agg(
-        *[F.sum(w).alias(f"part_{w}") for w in weights],
-        *([F.min("value").alias("first_value")] if next_value else []),
-    )
+    keys = [text.name(b) for b in by]
     # One row per slice and group: at most `splits` rows per group in each window.
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        *by,
-        "slice",
-        *[F.coalesce(F.sum(f"part_{w}").over(before), F.lit(0)).alias(f"before_{w}") for w in weights],
-        *[F.sum(f"part_{w}").over(group).alias(f"all_{w}") for w in weights],
-        *([F.lead("first_value").over(group.orderBy("slice")).alias("later_value")] if next_value else []),
+    group = "PARTITION BY " + (", ".join(keys) or "0")
+    before = f"OVER ({group} ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    sizes = [F.expr(f"sum({w}) AS part_{w}") for w in weights]
+    lead = []
+    if next_value:
+        sizes.append(F.expr("min(value) AS first_value"))
+        lead = [f"lead(first_value) OVER ({group} ORDER BY slice) AS later_value"]
+    slices = (
+        counts.groupBy(*[F.col(k) for k in keys], "slice")
+        .agg(*sizes)
+        .selectExpr(
+            *keys,
+            "slice",
+            *[f"coalesce(sum(part_{w}) {before}, 0) AS before_{w}" for w in weights],
+            *[f"sum(part_{w}) OVER ({group}) AS all_{w}" for w in weights],
+            *lead,
+        )
     )
-    inside = Window.partitionBy(*by, "slice").orderBy("value")
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = counts.join(slices, [*by, "slice"])
-    return joined.select(
-        *by,
+    inside = "PARTITION BY " + ", ".join([*keys, "slice"]) + " ORDER BY value"
+    running = f"OVER ({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    after = [f"coalesce(lead(value) OVER ({inside}), later_value) AS next_value"] if next_value else []
+    return counts.join(slices, [*by, "slice"]).selectExpr(
+        *keys,
         "value",
         *weights,
-        *[(F.sum(w).over(running) + F.col(f"before_{w}")).alias(f"cum_{w}") for w in weights],
+        *[f"sum({w}) {running} + before_{w} AS cum_{w}" for w in weights],
         *[f"all_{w}" for w in weights],
-        *([F.coalesce(F.lead("value").over(inside), F.col("later_value")).alias("next_value")] if next_value else []),
+        *after,
+    )
+
+
+def interpolated(ranked: DataFrame, by: Sequence[str], probs: Mapping[str, float], first: str, end: str, n: str) -> DataFrame:
+    """Interpolated quantiles of rows that cover the ranks [first, end) of n with one value."""
+    keys = [text.name(b) for b in by]
+    spots = {q: f"(({n} - 1) * {text.value(float(p))})" for q, p in probs.items()}
+
+    def at(rank: str) -> str:
+        return f"max(CASE WHEN {rank} >= {first} AND {rank} < {end} THEN value END)"
+
+    picks = ranked.groupBy(*[F.col(k) for k in keys]).agg(
+        F.expr(f"first({n}) AS {n}"),
+        *[F.expr(f"{at(f'floor({s})')} AS `{q}_lo`") for q, s in spots.items()],
+        *[F.expr(f"{at(f'ceil({s})')} AS `{q}_hi`") for q, s in spots.items()],
+    )
+    return picks.selectExpr(
+        *keys, n, *[f"`{q}_lo` + (`{q}_hi` - `{q}_lo`) * ({s} - floor({s})) AS `{q}`" for q, s in spots.items()]
     )
 
 
@@ -131,46 +150,33 @@ def exact_quantiles(
     edges = edges if edges is not None else fit_edges(df, columns, splits)
     long = melt_sliced(df, columns, edges, keep=by)
     keys = [*by, "column"]
-
-    sizes = long.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("size"))
-    group = Window.partitionBy(*keys)
-    sizes = sizes.select(
-        *keys,
-        "slice",
-        "size",
-        (F.sum("size").over(group.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
-        F.sum("size").over(group).alias("n"),
+    names = [text.name(k) for k in keys]
+    group = "PARTITION BY " + ", ".join(names)
+
+    sizes = (
+        long.groupBy(*[F.col(k) for k in names], "slice")
+        .agg(F.expr("count(1) AS size"))
+        .selectExpr(
+            *names,
+            "slice",
+            "size",
+            f"sum(size) OVER ({group} ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start",
+            f"sum(size) OVER ({group}) AS n",
+        )
     )
-    lows = [F.floor((F.col("n") - 1) * F.lit(float(p))) for p in probs]
-    highs = [F.ceil((F.col("n") - 1) * F.lit(float(p))) for p in probs]
-    end = F.col("start") + F.col("size")
-    wanted = None
-    for rank in [*lows, *highs]:
-        hit = (rank >= F.col("start")) & (rank < end)
-        wanted = hit if wanted is None else wanted | hit
+    spots = [f"{f}((n - 1) * {text.value(float(p))})" for p in probs for f in ("floor", "ceil")]
+    wanted = " OR ".join(f"({s} >= start AND {s} < start + size)" for s in spots)
     targets = sizes.where(wanted).select(*keys, "slice", "start", "n")
 
     distinct = (
         long.join(targets, [*keys, "slice"])
-        .groupBy(*keys, "slice", "value")
-        .agg(F.count(F.lit(1)).alias("m"), F.first("start").alias("start"), F.first("n").alias("n"))
+        .groupBy(*[F.col(k) for k in names], "slice", "value")
+        .agg(F.expr("count(1) AS m"), F.expr("first(start) AS start"), F.expr("first(n) AS n"))
     )
-    inside = Window.partitionBy(*keys, "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumn("last", F.sum("m").over(inside) + F.col("start"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("last") - F.col("m")) & (rank < F.col("last")), F.col("value")))
-
-    picks = ranked.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        *[at(r).alias(f"lo{i}") for i, r in enumerate(lows)],
-        *[at(r).alias(f"hi{i}") for i, r in enumerate(highs)],
-    )
-    out = []
-    for i, p in enumerate(probs):
-        where = (F.col("n") - 1) * F.lit(float(p))
-        out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (where - F.floor(where))).alias(f"q{i}"))
-    return picks.select(*keys, F.col("n"), *out)
+    inside = "PARTITION BY " + ", ".join([*names, "slice"]) + " ORDER BY value"
+    running = f"sum(m) OVER ({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ranked = distinct.selectExpr(*names, "value", "n", f"{running} + start - m AS from_", f"{running} + start AS to_")
+    return interpolated(ranked, keys, {f"q{i}": p for i, p in enumerate(probs)}, "from_", "to_", "n")
 
 
 def quantile_dict(
@@ -178,8 +184,12 @@ def quantile_dict(
 ) -> dict[str, list[float | None]]:
     """Fitted quantiles per column as plain numbers (one row per column reaches the driver)."""
     if approx:
+        wanted = ", ".join(text.value(float(p)) for p in probs)
         row = df.agg(
-            *[F.percentile_approx(col(c).cast("double"), list(probs), 10000).alias(f"c{i}") for i, c in enumerate(columns)]
+            *[
+                F.expr(f"percentile_approx(CAST({text.name(c)} AS DOUBLE), array({wanted}), 10000) AS c{i}")
+                for i, c in enumerate(columns)
+            ]
         ).first()
         return {c: list(row[f"c{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
     rows = {r["column"]: r for r in exact_quantiles(df, columns, probs, splits=splits).collect()}
@@ -187,15 +197,11 @@ def quantile_dict(
 
 
 def ranks(df: DataFrame, columns: Sequence[str], splits: int | None = None) -> DataFrame:
-    """Average rank of every distinct value: (column, value, n, rank)."""
+    """Average rank of every distinct value: (column, value, n, all_n, rank)."""
     edges = fit_edges(df, columns, splits)
-    counts = melt_sliced(df, columns, edges).groupBy("column", "slice", "value").agg(F.count(F.lit(1)).alias("n"))
-    return cumulate(counts, ["column"], ["n"]).select(
-        "column",
-        "value",
-        "n",
-        "all_n",
-        (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
+    counts = melt_sliced(df, columns, edges).groupBy("column", "slice", "value").agg(F.expr("count(1) AS n"))
+    return cumulate(counts, ["column"], ["n"]).selectExpr(
+        "column", "value", "n", "all_n", "cum_n - n + (n + 1) / 2.0D AS rank"
     )
 
 

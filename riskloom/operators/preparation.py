@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import text
 from riskloom.functions.nulls import col
 from riskloom.operators.aggregation import fit_categories
 from riskloom.operators.contract import safe_names
@@ -38,33 +39,36 @@ class Preprocessor:
         raw += [f"ord__{c}" for c in self.orders]
         return safe_names(raw)
 
-    def expressions(self, columns: Sequence[str]) -> list[Column]:
+    def expressions(self, columns: Sequence[str]) -> list[str]:
         have = set(columns)
 
-        def source(c: str) -> Column:
-            return col(c) if c in have else F.lit(None)
+        def source(c: str, kind: str, fill: object) -> str:
+            x = f"CAST({text.name(c) if c in have else 'NULL'} AS {kind})"
+            return f"coalesce({x}, {text.value(fill)})"
 
         out = []
         for c, m in self.medians.items():
-            x = F.coalesce(source(c).cast("double"), F.lit(m))
+            x = source(c, "DOUBLE", m)
             if c in self.scales:
-                x = (x - F.lit(self.centers[c])) / F.lit(self.scales[c])
+                x = f"({x} - {text.value(self.centers[c])}) / {text.value(self.scales[c])}"
             out.append(x)
-        out += [F.lit(None).cast("double") for _ in self.empty]
+        out += ["CAST(NULL AS DOUBLE)" for _ in self.empty]
         for c, values in self.categories.items():
-            x = F.coalesce(source(c).cast("string"), F.lit(self.modes.get(c)))
-            out += [F.when(x == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)) for v in values]
+            x = source(c, "STRING", self.modes.get(c))
+            out += [f"CASE WHEN {x} = {text.value(v)} THEN 1D ELSE 0D END" for v in values]
         for c, order in self.orders.items():
-            x = F.coalesce(source(c).cast("string"), F.lit(self.modes.get(c)))
-            place = F.array_position(F.array(*[F.lit(v) for v in order]), x)
-            stop = F.raise_error(F.concat(F.lit(f"unknown value in {c}: "), x)).cast("double")
-            out.append(F.when(place > 0, (place - 1).cast("double")).otherwise(stop))
+            x = source(c, "STRING", self.modes.get(c))
+            levels = " ".join(f"WHEN {text.value(v)} THEN {i}D" for i, v in enumerate(order))
+            stop = f"raise_error(concat({text.value(f'unknown value in {c}: ')}, {x}))"
+            out.append(f"CASE {x} {levels} ELSE CAST({stop} AS DOUBLE) END")
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Fixed output columns in fixed order, in one projection."""
         exprs = self.expressions(df.columns)
-        return df.select(*[col(k) for k in keep], *[e.alias(n) for e, n in zip(exprs, self.feature_names())])
+        return df.selectExpr(
+            *[text.name(k) for k in keep], *[f"{e} AS {text.name(n)}" for e, n in zip(exprs, self.feature_names())]
+        )
 
     def to_vector(self, df: DataFrame, keep: Sequence[str] = (), into: str = "features") -> DataFrame:
         """The encoded row as one vector, assembled before any shuffle."""
@@ -105,12 +109,12 @@ def fit_preprocessor(
     centers: dict[str, float] = {}
     scales: dict[str, float] = {}
     if scale and filled:
-        x = {c: F.coalesce(col(c).cast("double"), F.lit(m)) for c, m in filled.items()}
+        x = [f"coalesce(CAST({text.name(c)} AS DOUBLE), {text.value(m)})" for c, m in filled.items()]
         row = df.agg(
-            *[F.avg(e).alias(f"a{i}") for i, e in enumerate(x.values())],
-            *[F.stddev_pop(e).alias(f"s{i}") for i, e in enumerate(x.values())],
+            *[F.expr(f"avg({e}) AS a{i}") for i, e in enumerate(x)],
+            *[F.expr(f"stddev_pop({e}) AS s{i}") for i, e in enumerate(x)],
         ).first()
-        for i, c in enumerate(x):
+        for i, c in enumerate(filled):
             centers[c] = float(row[f"a{i}"])
             scales[c] = float(row[f"s{i}"]) or 1.0
     texts = [*nominal, *ordinal]

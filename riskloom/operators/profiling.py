@@ -8,27 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import text
 from riskloom.functions.nulls import as_text, col, is_true, numeric_names, ratio, string_names
 from riskloom.operators.ordered import Edges, exact_quantiles, fit_edges, quantile_dict
 
 
-def _long_stats(df: DataFrame, columns: Sequence[str], stats: dict[str, callable], extra: Sequence[Column] = ()) -> DataFrame:
-    """One pass over the table, then one row per column: (column, <stat>...)."""
-    exprs = [f(col(c)).alias(f"{s}_{i}") for i, c in enumerate(columns) for s, f in stats.items()]
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *extra, *exprs)
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), *[F.col(f"{s}_{i}").alias(s) for s in stats])
-            for i, c in enumerate(columns)
-        ]
+def _long_stats(df: DataFrame, columns: Sequence[str], stats: dict[str, str]) -> DataFrame:
+    """One pass over the table, then one row per column: (n_rows, column, <stat>...). Each
+    statistic is SQL text with {x} for the column."""
+    wide = df.agg(
+        F.expr("count(1) AS n_rows"),
+        *[F.expr(f"{t.format(x=text.name(c))} AS {s}_{i}") for i, c in enumerate(columns) for s, t in stats.items()],
     )
-    return wide.select("n_rows", F.inline(cells))
+    cells = text.rows([{"column": text.value(c), **{s: f"{s}_{i}" for s in stats}} for i, c in enumerate(columns)])
+    return wide.selectExpr("n_rows", cells)
 
 
 def missing_table(df: DataFrame, columns: Sequence[str] | None = None, nonzero: bool = True) -> DataFrame:
     """Missing count and percentage per column, largest first."""
     columns = list(columns or df.columns)
-    table = _long_stats(df, columns, {"n_present": F.count})
+    table = _long_stats(df, columns, {"n_present": "count({x})"})
     out = table.select(
         "column",
         (F.col("n_rows") - F.col("n_present")).alias("n_missing"),
@@ -97,8 +96,8 @@ def value_frequency(df: DataFrame, column: str, top: int | None = None, normaliz
 
 def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as text, n) over all columns in one pass."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), as_text(df, c).alias("value")) for c in columns])
-    return df.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = text.rows([{"column": text.value(c), "value": as_text(df, c)} for c in columns])
+    return df.selectExpr(cells).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dominant_value(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -134,7 +133,7 @@ def category_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct non-missing values per column."""
     if approx:
-        table = _long_stats(df, columns, {"n_unique": F.approx_count_distinct})
+        table = _long_stats(df, columns, {"n_unique": "approx_count_distinct({x})"})
         return table.select("column", "n_unique")
     return value_counts_long(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
 
@@ -147,18 +146,12 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column."""
     columns = list(columns or numeric_names(df))
-    double = lambda f: (lambda c: f(c.cast("double")))
-    base = _long_stats(
-        df,
-        columns,
-        {"n": F.count, "mean": double(F.avg), "std": double(F.stddev_samp), "min": double(F.min), "max": double(F.max)},
-    )
+    stats = {s: f"{f}(CAST({{x}} AS DOUBLE))" for s, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))}
+    base = _long_stats(df, columns, {"n": "count({x})", **stats})
     if approx:
         q = quantile_dict(df, columns, [0.25, 0.5, 0.75], approx=True)
-        rows = F.array(
-            *[F.struct(F.lit(c).alias("column"), *[F.lit(v).cast("double").alias(f"q{i}") for i, v in enumerate(q[c])]) for c in columns]
-        )
-        quart = df.sparkSession.range(1).select(F.inline(rows))
+        rows = [(c, *q[c]) for c in columns]
+        quart = df.sparkSession.createDataFrame(rows, "column string, q0 double, q1 double, q2 double")
     else:
         quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).drop("n")
     return base.join(quart, "column", "left").select(
@@ -187,8 +180,8 @@ def crosstab_share(df: DataFrame, row: str, column: str, values: Sequence[str])
 
 def value_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Smallest and largest value per column."""
-    double = lambda f: (lambda c: f(c.cast("double")))
-    return _long_stats(df, columns, {"min": double(F.min), "max": double(F.max)}).select("column", "min", "max")
+    stats = {f: f"{f}(CAST({{x}} AS DOUBLE))" for f in ("min", "max")}
+    return _long_stats(df, columns, stats).select("column", "min", "max")
 
 
 def class_ratio(df: DataFrame, label: str) -> DataFrame:
@@ -245,12 +238,13 @@ def fit_outlier_bounds(
     first = {r["column"]: r for r in exact_quantiles(df, columns, [0.25, 0.5, 0.75], edges=edges).collect()}
     # Two values at most means the extremes and one value in between cover the column.
     checks = df.agg(
-        *[F.min(col(c)).alias(f"a{i}") for i, c in enumerate(columns)],
-        *[F.max(col(c)).alias(f"b{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"{f}(CAST({text.name(c)} AS DOUBLE)) AS {f}{i}") for i, c in enumerate(columns) for f in ("min", "max")]
     ).first()
     inner = df.agg(
         *[
-            F.count_if(is_true((col(c) != F.lit(checks[f"a{i}"])) & (col(c) != F.lit(checks[f"b{i}"])))).alias(f"m{i}")
+            F.expr(
+                f"count_if(CAST({text.name(c)} AS DOUBLE) NOT IN ({text.value(checks[f'min{i}'])}, {text.value(checks[f'max{i}'])})) AS m{i}"
+            )
             for i, c in enumerate(columns)
         ]
     ).first()
@@ -261,7 +255,9 @@ def fit_outlier_bounds(
             kept.append(c)
     if not kept:
         return []
-    away = df.select(*[F.abs(col(c).cast("double") - F.lit(float(first[c]["q1"]))).alias(c) for c in kept])
+    away = df.selectExpr(
+        *[f"abs(CAST({text.name(c)} AS DOUBLE) - {text.value(float(first[c]['q1']))}) AS {text.name(c)}" for c in kept]
+    )
     mads = quantile_dict(away, kept, [0.5], splits=splits)
     out = []
     for c in kept:
@@ -277,15 +273,19 @@ def fit_outlier_bounds(
 MAD_SCALE = 0.6745
 
 
+def _flag_text(bounds: OutlierBounds, method: str, z: float) -> str:
+    x = f"CAST({text.name(bounds.column)} AS DOUBLE)"
+    iqr = f"coalesce({x} < {text.value(float(bounds.lower))} OR {x} > {text.value(float(bounds.upper))}, false)"
+    mod = "false"
+    if bounds.mad != 0:
+        score = f"{MAD_SCALE}D * ({x} - {text.value(float(bounds.median))}) / {text.value(float(bounds.mad))}"
+        mod = f"coalesce(abs({score}) > {text.value(float(z))}, false)"
+    return {"iqr": iqr, "modified_z": mod, "both": f"({iqr} AND {mod})"}[method]
+
+
 def outlier_flag(bounds: OutlierBounds, method: str = "both", z: float = 3.5) -> Column:
     """Row condition for one column: 'iqr', 'modified_z' or 'both'."""
-    x = col(bounds.column).cast("double")
-    iqr = is_true((x < F.lit(bounds.lower)) | (x > F.lit(bounds.upper)))
-    if bounds.mad == 0:
-        mod = F.lit(False)
-    else:
-        mod = is_true(F.abs(F.lit(MAD_SCALE) * (x - F.lit(bounds.median)) / F.lit(bounds.mad)) > F.lit(z))
-    return {"iqr": iqr, "modified_z": mod, "both": iqr & mod}[method]
+    return F.expr(_flag_text(bounds, method, z))
 
 
 def outlier_report(df: DataFrame, bounds: Sequence[OutlierBounds], z: float = 3.5) -> DataFrame:
@@ -296,32 +296,26 @@ def outlier_report(df: DataFrame, bounds: Sequence[OutlierBounds], z: float = 3.
             "column string, n_outliers_iqr long, n_outliers_modified_z long, n_outliers_both_methods long, "
             "pct_agreement double, min double, max double",
         )
-    methods = {"iqr": "iqr", "mod": "modified_z", "both": "both"}
-    exprs = []
+    aggregates, records = [], []
     for i, b in enumerate(bounds):
-        exprs += [F.count_if(outlier_flag(b, m, z)).alias(f"{k}{i}") for k, m in methods.items()]
-        exprs += [F.min(col(b.column).cast("double")).alias(f"min{i}"), F.max(col(b.column).cast("double")).alias(f"max{i}")]
-    wide = df.agg(*exprs)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(b.column).alias("column"),
-                F.col(f"iqr{i}").alias("n_outliers_iqr"),
-                F.col(f"mod{i}").alias("n_outliers_modified_z"),
-                F.col(f"both{i}").alias("n_outliers_both_methods"),
-                (
-                    F.lit(100.0)
-                    * F.col(f"both{i}")
-                    / F.greatest(F.col(f"iqr{i}"), F.col(f"mod{i}"), F.lit(1)).cast("double")
-                ).alias("pct_agreement"),
-                F.col(f"min{i}").alias("min"),
-                F.col(f"max{i}").alias("max"),
-            )
-            for i, b in enumerate(bounds)
-        ]
-    )
+        x = f"CAST({text.name(b.column)} AS DOUBLE)"
+        for short, method in (("iqr", "iqr"), ("mod", "modified_z"), ("both", "both")):
+            aggregates.append(f"count_if({_flag_text(b, method, z)}) AS {short}{i}")
+        aggregates += [f"min({x}) AS min{i}", f"max({x}) AS max{i}"]
+        records.append(
+            {
+                "column": text.value(b.column),
+                "n_outliers_iqr": f"iqr{i}",
+                "n_outliers_modified_z": f"mod{i}",
+                "n_outliers_both_methods": f"both{i}",
+                "pct_agreement": f"100D * both{i} / CAST(greatest(iqr{i}, mod{i}, 1) AS DOUBLE)",
+                "min": f"min{i}",
+                "max": f"max{i}",
+            }
+        )
     return (
-        wide.select(F.inline(cells))
+        df.agg(*[F.expr(a) for a in aggregates])
+        .selectExpr(text.rows(records))
         .where("n_outliers_iqr > 0 or n_outliers_modified_z > 0")
         .orderBy(F.desc("n_outliers_both_methods"), "column")
     )
@@ -335,10 +329,8 @@ def outliers_per_row(
     df: DataFrame, bounds: Sequence[OutlierBounds], into: str = "n_outliers_row", z: float = 3.5
 ) -> DataFrame:
     """Number of columns in which both methods flag the row, with frozen bounds."""
-    total = F.lit(0)
-    for b in bounds:
-        total = total + outlier_flag(b, "both", z).cast("int")
-    return df.withColumns({into: total})
+    hits = [f"CAST({_flag_text(b, 'both', z)} AS INT)" for b in bounds]
+    return df.withColumns({into: F.expr(" + ".join(["0", *hits]))})
 
 
 def scan_anomalies(

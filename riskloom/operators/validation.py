@@ -8,52 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions import text
 from riskloom.functions.nulls import col, is_true
 from riskloom.functions.scalars import GRANTED, REFUSED
 from riskloom.schemas import EXTRAS, REJECTED, REQUEST_RULES, SUCCESS, Rule
 
 
-def _whole(raw: Column) -> Column:
-    """Text to a whole number; '12.0' is one, '12.5' is not."""
-    real = raw.try_cast("double")
-    return F.coalesce(raw.try_cast("long"), F.when(real == F.floor(real), real.try_cast("long")))
-
-
-def parse_field(rule: Rule, raw: Column) -> Column:
+def _parsed(rule: Rule, raw: str) -> str:
+    """Text to the rule's type; '12.0' is a whole number, '12.5' is not."""
+    real = f"try_cast({raw} AS DOUBLE)"
     if rule.kind == "int":
-        return _whole(raw)
-    if rule.kind == "float":
-        return raw.try_cast("double")
-    return raw
+        whole = f"CASE WHEN {real} = floor({real}) THEN try_cast({real} AS BIGINT) END"
+        return f"coalesce(try_cast({raw} AS BIGINT), {whole})"
+    return real if rule.kind == "float" else raw
 
 
-def field_error(rule: Rule, raw: Column, present: Column) -> Column:
-    """The first error of one field as ``type:field``, or NULL."""
+def field_error(rule: Rule, raw: str, present: str) -> str:
+    """SQL text of the first error of one field as ``type:field``, or NULL. ``raw`` is the
+    text of the field, ``present`` whether the record names it at all."""
 
-    def error(kind: str) -> Column:
-        return F.lit(f"{kind}:{rule.name}")
+    def error(kind: str) -> str:
+        return text.value(f"{kind}:{rule.name}")
 
-    value = parse_field(rule, raw)
     empty = {"int": "int_type", "float": "float_type", "choice": "literal_error"}.get(rule.kind, "string_type")
-    if rule.required:
-        absent = F.when(present, error(empty)).otherwise(error("missing"))
-    else:
-        absent = F.lit(None).cast("string")
-    check = F.when(raw.isNull(), absent)
+    absent = f"CASE WHEN {present} THEN {error(empty)} ELSE {error('missing')} END" if rule.required else "NULL"
+    parsed = _parsed(rule, raw)
+    checks = [(f"{raw} IS NULL", absent)]
     if rule.kind == "int":
-        check = check.when(value.isNull() & raw.try_cast("double").isNotNull(), error("int_from_float"))
-        check = check.when(value.isNull(), error("int_parsing"))
+        checks.append((f"{parsed} IS NULL AND try_cast({raw} AS DOUBLE) IS NOT NULL", error("int_from_float")))
+        checks.append((f"{parsed} IS NULL", error("int_parsing")))
     if rule.kind == "float":
-        check = check.when(value.isNull(), error("float_parsing"))
+        checks.append((f"{parsed} IS NULL", error("float_parsing")))
     if rule.kind == "choice":
-        check = check.when(~raw.isin(*rule.choices), error("literal_error"))
+        choices = ", ".join(text.value(c) for c in rule.choices)
+        checks.append((f"{raw} NOT IN ({choices})", error("literal_error")))
     if rule.gt is not None:
-        check = check.when(~(value > F.lit(rule.gt)), error("greater_than"))
+        checks.append((f"NOT {parsed} > {text.value(rule.gt)}", error("greater_than")))
     if rule.ge is not None:
-        check = check.when(~(value >= F.lit(rule.ge)), error("greater_than_equal"))
+        checks.append((f"NOT {parsed} >= {text.value(rule.ge)}", error("greater_than_equal")))
     if rule.le is not None:
-        check = check.when(~(value <= F.lit(rule.le)), error("less_than_equal"))
-    return check
+        checks.append((f"NOT {parsed} <= {text.value(rule.le)}", error("less_than_equal")))
+    return "CASE " + " ".join(f"WHEN {c} THEN {e}" for c, e in checks) + " END"
+
+
+def _found(checks: Sequence[str]) -> str:
+    return f"filter(array({', '.join(checks)}), e -> e IS NOT NULL)"
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -70,38 +69,34 @@ def validate_json(df: DataFrame, body: str, rules: Sequence[Rule] = REQUEST_RULE
     """
     texts = T.StructType([T.StructField(n, T.StringType()) for n in [*(r.name for r in rules), EXTRAS]])
     parse = F.struct(F.from_json(col(body), texts).alias("f"), F.json_object_keys(col(body)).alias("keys"))
-    parsed = _once(df, "__in", parse)
-    names = F.col("__in.keys")
-
-    def raw(name: str) -> Column:
-        return F.col("__in.f").getField(name)
-
-    checks = [field_error(r, raw(r.name), F.array_contains(names, r.name)) for r in rules]
-    broken = F.when(F.try_parse_json(col(body)).isNull(), F.lit("json_invalid")).otherwise(F.lit("model_attributes_type"))
-    errors = F.when(names.isNull(), F.array(broken)).otherwise(F.filter(F.array(*checks), lambda e: e.isNotNull()))
-    extras = F.from_json(raw(EXTRAS), T.MapType(T.StringType(), T.StringType()))
-    checked = _once(parsed, "errors", errors)
+    parsed = _once(df, "in_", parse)
+    raw = {r.name: f"in_.f.{text.name(r.name)}" for r in rules}
+    checks = [field_error(r, raw[r.name], f"array_contains(in_.keys, {text.value(r.name)})") for r in rules]
+    broken = f"CASE WHEN try_parse_json({text.name(body)}) IS NULL THEN 'json_invalid' ELSE 'model_attributes_type' END"
+    checked = _once(parsed, "errors", F.expr(f"CASE WHEN in_.keys IS NULL THEN array({broken}) ELSE {_found(checks)} END"))
+    fields = ", ".join(f"{text.value(r.name)}, {_parsed(r, raw[r.name])}" for r in rules)
+    extras = f"from_json(in_.f.{text.name(EXTRAS)}, 'map<string,string>')"
     return checked.withColumns(
         {
-            "record": F.struct(*[parse_field(r, raw(r.name)).alias(r.name) for r in rules]),
-            "extras": F.coalesce(extras, F.create_map().cast("map<string,string>")),
-            "error_type": F.get(F.col("errors"), 0),
-            "status": F.when(F.size("errors") == 0, F.lit(SUCCESS)).otherwise(F.lit(REJECTED)),
+            "record": F.expr(f"named_struct({fields})"),
+            "extras": F.expr(f"coalesce({extras}, CAST(map() AS MAP<STRING, STRING>))"),
+            **_verdict(),
         }
-    ).drop("__in")
+    ).drop("in_")
+
+
+def _verdict() -> dict[str, Column]:
+    return {
+        "error_type": F.expr("get(errors, 0)"),
+        "status": F.expr(f"CASE WHEN size(errors) = 0 THEN {text.value(SUCCESS)} ELSE {text.value(REJECTED)} END"),
+    }
 
 
 def validate_columns(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The same checks on a table whose columns already carry the fields; a missing value in
     a required field is an absent field."""
-    checks = [field_error(r, col(r.name).cast("string"), F.lit(False)) for r in rules]
-    out = _once(df, "errors", F.filter(F.array(*checks), lambda e: e.isNotNull()))
-    return out.withColumns(
-        {
-            "error_type": F.get(F.col("errors"), 0),
-            "status": F.when(F.size("errors") == 0, F.lit(SUCCESS)).otherwise(F.lit(REJECTED)),
-        }
-    )
+    checks = [field_error(r, f"CAST({text.name(r.name)} AS STRING)", "false") for r in rules]
+    return _once(df, "errors", F.expr(_found(checks))).withColumns(_verdict())
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,13 +108,14 @@ def flatten_record(valid: DataFrame, contract: T.StructType, keep: Sequence[str]
     """One row per record in the contract's columns. Further fields are merged flat and win
     over a field of the same name."""
     names = set(valid.schema["record"].dataType.names)
-    out = [col(k) for k in keep]
+    out = [text.name(k) for k in keep]
     for f in contract:
-        own = F.col("record").getField(f.name).cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)
-        extra = F.col("extras").getItem(f.name)
-        extra = extra if isinstance(f.dataType, T.StringType) else extra.try_cast(f.dataType)
-        out.append(F.when(F.map_contains_key(F.col("extras"), F.lit(f.name)), extra).otherwise(own).alias(f.name))
-    return valid.select(*out)
+        kind = f.dataType.simpleString()
+        own = f"CAST(record.{text.name(f.name)} AS {kind})" if f.name in names else "NULL"
+        extra = f"try_cast(extras[{text.value(f.name)}] AS {kind})"
+        given = f"map_contains_key(extras, {text.value(f.name)})"
+        out.append(f"CASE WHEN {given} THEN {extra} ELSE {own} END AS {text.name(f.name)}")
+    return valid.selectExpr(*out)
 
 
 def error_counts(checked: DataFrame) -> DataFrame:

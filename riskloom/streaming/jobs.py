@@ -17,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 from riskloom.functions.nulls import col, is_true
 from riskloom.operators.drift import drift_detail
 from riskloom.operators.joins import lookup_history
-from riskloom.operators.ordered import cumulate
+from riskloom.operators.ordered import cumulate, interpolated
 from riskloom.operators.validation import reject_rows, split_valid, validate_json
 from riskloom.schemas import REQUEST_RULES, SUCCESS, Rule
 from riskloom.sources.writers import append_log, log_rows
@@ -141,23 +141,8 @@ def quantiles_of_counts(counts: DataFrame, probs: Mapping[str, float], slice_wid
     sliced = counts.withColumn("slice", F.floor(F.col("value") / F.lit(slice_width)).cast("int"))
     run = cumulate(sliced, ["bucket"], ["n"])
 
-    def at(rank: Column) -> Column:
-        hit = (rank >= F.col("cum_n") - F.col("n")) & (rank < F.col("cum_n"))
-        return F.max(F.when(hit, F.col("value")))
-
-    spots = {name: (F.col("all_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    picked = run.groupBy("bucket").agg(
-        F.first("all_n").alias("all_n"),
-        *[at(F.floor(s)).alias(f"{n}_lo") for n, s in spots.items()],
-        *[at(F.ceil(s)).alias(f"{n}_hi") for n, s in spots.items()],
-    )
-    return picked.select(
-        "bucket",
-        *[
-            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (s - F.floor(s))).alias(n)
-            for n, s in spots.items()
-        ],
-    )
+    covered = run.selectExpr("bucket", "value", "all_n", "cum_n - n AS from_", "cum_n AS to_")
+    return interpolated(covered, ["bucket"], probs, "from_", "to_", "all_n").drop("all_n")
 
 
 def drift_sink(reference: DataFrame, folder: str, columns: Sequence[str], threshold: float = 0.1) -> Sink:
