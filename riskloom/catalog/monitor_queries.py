@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from riskloom.catalog.registry import query
 from riskloom.catalog.views import r, settled, table, view, with_views
-from riskloom.operators import binning, contract, drift, timeline, validation
+from riskloom.functions import text
+from riskloom.operators import contract, drift, timeline, validation
 from riskloom.plans.monitoring import analyse
 from riskloom.schemas import Rule
 from riskloom.session import staging_path
@@ -247,7 +248,7 @@ def coerce_numeric(spark, sf_dir):
 def populated_columns(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("never", F.lit(None).cast("double"))
     names = contract.populated_columns(rows, ["l_quantity", "never", "l_tax"])
-    return spark.createDataFrame([(n,) for n in names], "column string")
+    return text.frame(spark, [{"column": text.value(n)} for n in names])
 
 
 @query(

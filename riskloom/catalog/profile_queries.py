@@ -682,10 +682,25 @@ def mutual_info_discrete(spark, sf_dir):
     return settled(association.mutual_information(view(spark, sf_dir, "app"), MI_COLUMNS, "TARGET"), 6)
 
 
-@query("mutual_info_binned")
+MI_BINNED = ["price", "qty"]
+
+
+@query(
+    "mutual_info_binned",
+    f"with {DERIVED_CTE}, cuts as (select "
+    + ", ".join(
+        f"list_sort(list_distinct(quantile_cont({c}, [{', '.join(str(i / 20) for i in range(1, 20))}]))) as {c}_cuts" for c in MI_BINNED
+    )
+    + " from derived), binned as (select "
+    + ", ".join(f"len(list_filter({c}_cuts, lambda e: {c} > e)) as {c}" for c in MI_BINNED)
+    + ", line, label from derived, cuts)"
+    + _cells_cte([(c, "label") for c in [*MI_BINNED, "line"]], "binned")
+    + f""" select var_1 as "column", {r("sum(case when n > 0 then n / total * ln(n * total / (r * c)) else 0 end)", 6)} as mutual_information
+      from grid group by var_1""",
+)
 def mutual_info_binned(spark, sf_dir):
     """Columns with many values are quantile-binned first."""
     rows = _derived(spark, sf_dir)
-    columns = ["price", "qty", "line"]
+    columns = [*MI_BINNED, "line"]
     counts = {x["column"]: x["n_unique"] for x in profiling.distinct_counts(rows, columns).collect()}
     return settled(association.mutual_information(association.discretize(rows, columns, counts), columns, "label"), 6)

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 def name(column: str) -> str:
     """A column by its literal name; names may hold spaces, slashes or dots."""
@@ -31,3 +33,8 @@ def rows(records: list[dict[str, str]]) -> str:
         "named_struct(" + ", ".join(f"{value(k)}, {v}" for k, v in record.items()) + ")" for record in records
     )
     return "inline(array(" + ", ".join(structs) + "))"
+
+
+def frame(spark: SparkSession, records: list[dict[str, str]]) -> DataFrame:
+    """A small table of literals."""
+    return spark.range(1).selectExpr(rows(records))

@@ -240,8 +240,6 @@ def discretize(df: DataFrame, columns: Sequence[str], distinct: dict[str, int],
     out = {}
     for c in wide:
         edges = sorted({v for v in cuts[c] if v is not None})
-        number = F.when(col(c).isNull(), F.lit(None).cast("int"))
-        for i, e in enumerate(edges):
-            number = number.when(col(c) <= F.lit(e), F.lit(i))
-        out[c] = number.otherwise(F.lit(len(edges)))
+        steps = " ".join(f"WHEN {text.name(c)} <= {text.value(e)} THEN {i}" for i, e in enumerate(edges))
+        out[c] = F.expr(f"CASE WHEN {text.name(c)} IS NULL THEN NULL {steps} ELSE {len(edges)} END")
     return df.withColumns(out)

@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import text
 from riskloom.functions.nulls import col
 from riskloom.operators.ordered import quantile_dict
 
@@ -38,13 +39,10 @@ def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
 def right_closed_bin(df: DataFrame, column: str, edges: Sequence[float], into: str, lowest: bool = False) -> DataFrame:
     """Add the 1-based number of the right-closed bin (e[i-1], e[i]]; outside is missing.
     ``lowest`` closes the first bin on the left as well."""
-    x = col(column).cast("double")
-    number = F.when(x.isNull(), F.lit(None).cast("int"))
-    first = x >= F.lit(edges[0]) if lowest else x > F.lit(edges[0])
-    number = number.when(~first, F.lit(None).cast("int"))
-    for i, e in enumerate(edges[1:], start=1):
-        number = number.when(x <= F.lit(e), F.lit(i))
-    return df.withColumns({into: number})
+    x = f"CAST({text.name(column)} AS DOUBLE)"
+    below = f"{x} {'<' if lowest else '<='} {text.value(edges[0])}"
+    steps = " ".join(f"WHEN {x} <= {text.value(e)} THEN {i}" for i, e in enumerate(edges[1:], start=1))
+    return df.withColumns({into: F.expr(f"CASE WHEN {x} IS NULL OR {below} THEN NULL {steps} END")})
 
 
 def fixed_histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from riskloom.functions import text
 from riskloom.functions.nulls import col
 from riskloom.functions.scalars import SPREAD_RANGE, class_weight, decision, spread
 from riskloom.operators.evaluation import roc_auc
@@ -54,7 +56,8 @@ def dummy_scores(df: DataFrame, key: str, label: str, seed: int = 42, into: str
 
 def with_probability(scored: DataFrame, into: str = "score") -> DataFrame:
     """Probability of the positive class as a plain number."""
-    return scored.withColumn(into, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    rest = [c for c in scored.columns if c not in ("rawPrediction", "probability", "prediction", into)]
+    return scored.select(*[col(c) for c in rest], vector_to_array("probability")[1].alias(into))
 
 
 def out_of_fold(
@@ -131,20 +134,16 @@ def linear_attribution(
     df: DataFrame, key: str, columns: Sequence[str], weights: Sequence[float], means: Sequence[float], top: int = 5
 ) -> DataFrame:
     """Largest contributions weight * (value - mean) of each row: (key, rank, feature, contribution)."""
-    parts = F.array(
-        *[
-            F.struct(
-                F.abs(F.lit(float(w)) * (col(c) - F.lit(float(m)))).alias("size"),
-                F.lit(c).alias("feature"),
-                (F.lit(float(w)) * (col(c) - F.lit(float(m)))).alias("contribution"),
-                col(c).cast("double").alias("value"),
-            )
-            for c, w, m in zip(columns, weights, means)
-        ]
-    )
-    ordered = F.slice(F.sort_array(parts, asc=False), 1, top)
-    return df.select(col(key), F.posexplode(ordered).alias("pos", "p")).select(
-        col(key), (F.col("pos") + 1).alias("rank"), F.col("p.feature"), F.col("p.contribution"), F.col("p.value")
+    records = []
+    for c, w, m in zip(columns, weights, means):
+        part = f"{text.value(float(w))} * ({text.name(c)} - {text.value(float(m))})"
+        records.append(
+            f"named_struct('size', abs({part}), 'feature', {text.value(c)}, 'contribution', {part}, "
+            f"'value', CAST({text.name(c)} AS DOUBLE))"
+        )
+    ordered = f"slice(sort_array(array({', '.join(records)}), false), 1, {int(top)})"
+    return df.selectExpr(text.name(key), f"posexplode({ordered}) AS (pos, p)").selectExpr(
+        text.name(key), "pos + 1 AS rank", "p.feature", "p.contribution", "p.value"
     )
 
 
@@ -152,14 +151,12 @@ def global_attribution(
     df: DataFrame, columns: Sequence[str], weights: Sequence[float], means: Sequence[float]
 ) -> DataFrame:
     """Mean absolute contribution per feature."""
-    wide = df.agg(
-        *[
-            F.avg(F.abs(F.lit(float(w)) * (col(c) - F.lit(float(m))))).alias(f"a{i}")
-            for i, (c, w, m) in enumerate(zip(columns, weights, means))
-        ]
-    )
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("mean_abs")) for i, c in enumerate(columns)])
-    return wide.select(F.inline(cells)).orderBy(F.desc("mean_abs"), "feature")
+    parts = [
+        F.expr(f"avg(abs({text.value(float(w))} * ({text.name(c)} - {text.value(float(m))}))) AS a{i}")
+        for i, (c, w, m) in enumerate(zip(columns, weights, means))
+    ]
+    cells = text.rows([{"feature": text.value(c), "mean_abs": f"a{i}"} for i, c in enumerate(columns)])
+    return df.agg(*parts).selectExpr(cells).orderBy(F.desc("mean_abs"), "feature")
 
 
 def permuted(df: DataFrame, key: str, column: str, seed: int = 42) -> DataFrame:
@@ -196,15 +193,16 @@ def score_with(
     """Score with a model Spark does not know: ``predict`` gets a (rows, columns) array per
     batch. The model is broadcast once per executor."""
     narrow = df.select(*[col(k) for k in keep], *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    holder = df.sparkSession.sparkContext.broadcast(predict)
+    holder = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(predict))
     inputs = [f"x{i}" for i in range(len(columns))]
     keys = list(keep)
     schema = narrow.select(*[col(k) for k in keep], F.lit(0.0).alias(into)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = cloudpickle.loads(holder.value)
         for pdf in batches:
             out = pdf[keys].copy()
-            out[into] = np.asarray(holder.value(pdf[inputs].to_numpy(dtype="float64")), dtype="float64")
+            out[into] = np.asarray(model(pdf[inputs].to_numpy(dtype="float64")), dtype="float64")
             yield out
 
     return narrow.mapInPandas(run, schema)

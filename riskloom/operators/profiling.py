@@ -150,8 +150,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
     base = _long_stats(df, columns, {"n": "count({x})", **stats})
     if approx:
         q = quantile_dict(df, columns, [0.25, 0.5, 0.75], approx=True)
-        rows = [(c, *q[c]) for c in columns]
-        quart = df.sparkSession.createDataFrame(rows, "column string, q0 double, q1 double, q2 double")
+        quart = text.frame(
+            df.sparkSession,
+            [
+                {"column": text.value(c), **{f"q{i}": f"CAST({text.value(v)} AS DOUBLE)" for i, v in enumerate(q[c])}}
+                for c in columns
+            ],
+        )
     else:
         quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).drop("n")
     return base.join(quart, "column", "left").select(
