@@ -21,46 +21,55 @@ NARROW = 10
 Pairs = Sequence[tuple[str, str]]
 
 
+def _centres(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Column means; moments are summed around them to keep their digits."""
+    names = list(dict.fromkeys(columns))
+    row = df.agg(*[F.expr(f"avg(CAST({text.name(c)} AS DOUBLE)) AS m{i}") for i, c in enumerate(names)]).first()
+    return {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(names)}
+
+
+def _from_sums(sums: DataFrame, *keep: str) -> DataFrame:
+    """Correlation from centred sums. A variance far below the raw second moment is rounding
+    of a constant column, whose correlation is NULL."""
+    vx, vy = "(sxx - sx * sx / n)", "(syy - sy * sy / n)"
+    real = f"n > 0 AND {vx} > sxx * 1e-12D AND {vy} > syy * 1e-12D"
+    bounded = f"greatest(-1D, least(1D, (sxy - sx * sy / n) / sqrt({vx} * {vy})))"
+    return sums.selectExpr(*keep, "CAST(n AS BIGINT) AS n", f"CASE WHEN {real} THEN {bounded} END AS corr")
+
+
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def _narrow_pairs(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """A few pairs: moments over the rows where both are present, all pairs in one pass. The
-    correlation with a constant column is NULL; equal extremes tell one, since its variance
-    may be a rounding residue."""
+    """A few pairs: plain sums over the rows where both are present, all pairs in one pass."""
+    centres = _centres(df, [c for p in pairs for c in p])
+    place = {c: f"x{i}" for i, c in enumerate(centres)}
+    flat = df.selectExpr(
+        *[f"CAST({text.name(c)} AS DOUBLE) - {text.value(m)} AS {place[c]}" for c, m in centres.items()]
+    )
     aggregates, records = [], []
     for i, (a, b) in enumerate(pairs):
-        x, y = f"CAST({text.name(a)} AS DOUBLE)", f"CAST({text.name(b)} AS DOUBLE)"
-        x_, y_ = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
-        aggregates += [
-            f"covar_pop({x}, {y}) AS c{i}",
-            f"var_pop({x_}) AS vx{i}",
-            f"var_pop({y_}) AS vy{i}",
-            f"min({x_}) = max({x_}) OR min({y_}) = max({y_}) AS flat{i}",
-            f"count_if({x} IS NOT NULL AND {y} IS NOT NULL) AS n{i}",
-        ]
-        bounded = f"greatest(-1D, least(1D, try_divide(c{i}, sqrt(vx{i} * vy{i}))))"
-        records.append(
-            {
-                "var_1": text.value(a),
-                "var_2": text.value(b),
-                "n": f"n{i}",
-                "corr": f"CASE WHEN NOT flat{i} THEN {bounded} END",
-            }
-        )
-    return df.agg(*[F.expr(e) for e in aggregates]).selectExpr(text.rows(records))
+        x, y = place[a], place[b]
+        terms = {"n": "1D", "sx": x, "sy": y, "sxx": f"{x} * {x}", "syy": f"{y} * {y}", "sxy": f"{x} * {y}"}
+        both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+        aggregates += [f"sum(CASE WHEN {both} THEN {t} ELSE 0D END) AS {s}{i}" for s, t in terms.items()]
+        records.append({"var_1": text.value(a), "var_2": text.value(b), **{s: f"{s}{i}" for s in SUMS}})
+    sums = flat.agg(*[F.expr(e) for e in aggregates]).selectExpr(text.rows(records))
+    return _from_sums(sums, "var_1", "var_2")
 
 
 def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> DataFrame:
     """Many pairs: each task sums centred cross products over its rows and emits one set of
     partial sums, which are then added per pair. Without ``right`` all pairs of ``left``."""
-    columns = [*left, *(right or [])]
+    columns = [*left, *[c for c in right or [] if c not in left]]
     k = len(left)
-    centre = df.agg(*[F.expr(f"avg(CAST({text.name(c)} AS DOUBLE)) AS m{i}") for i, c in enumerate(columns)]).first()
-    means = np.array([0.0 if centre[f"m{i}"] is None else centre[f"m{i}"] for i in range(len(columns))])
+    means = np.array(list(_centres(df, columns).values()))
     if right is None:
         at_i, at_j = np.triu_indices(k, 1)
         a, b = slice(0, k), slice(0, k)
     else:
         at_i, at_j = (g.ravel() for g in np.indices((k, len(right))))
-        a, b = slice(0, k), slice(k, len(columns))
+        a, b = slice(0, k), [columns.index(c) for c in right]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = None
@@ -81,21 +90,11 @@ def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None
     sums = (
         narrow.mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
         .groupBy("i", "j")
-        .agg(*[F.sum(s).alias(s) for s in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    )
-    n = F.col("n")
-    vx = F.col("sxx") - ratio(F.col("sx") * F.col("sx"), n)
-    vy = F.col("syy") - ratio(F.col("sy") * F.col("sy"), n)
-    cov = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), n)
-    # A residue far below the raw second moment is rounding of a constant column.
-    real = (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)
-    value = F.when(real, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(cov, F.sqrt(vx * vy)))))
-    return sums.select(
-        F.get(F.array(*[F.lit(c) for c in left]), F.col("i")).alias("var_1"),
-        F.get(F.array(*[F.lit(c) for c in (right or left)]), F.col("j")).alias("var_2"),
-        n.cast("long").alias("n"),
-        value.alias("corr"),
+        .agg(*[F.sum(s).alias(s) for s in SUMS])
     )
+    first = F.get(F.array(*[F.lit(c) for c in left]), F.col("i")).alias("var_1")
+    second = F.get(F.array(*[F.lit(c) for c in (right or left)]), F.col("j")).alias("var_2")
+    return _from_sums(sums.select(first, second, *SUMS), "var_1", "var_2")
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -63,29 +63,28 @@ def compared_density(
     both = reference.select(col(column).cast("double").alias("x"), F.lit(labels[0]).alias("source")).unionByName(
         current.select(col(column).cast("double").alias("x"), F.lit(labels[1]).alias("source"))
     ).where("x is not null")
-    edge = both.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # The pooled range and the two sample sizes: one row on the driver.
+    head = both.agg(
+        F.min("x").alias("lo"),
+        F.max("x").alias("hi"),
+        *[F.count_if(F.col("source") == label).alias(f"n{i}") for i, label in enumerate(labels)],
+    ).first()
+    lo, hi = head["lo"], head["hi"]
     spark = reference.sparkSession
-    # One row with the pooled range joins every value; it is the result of a global aggregate.
-    lo, hi = F.col("lo"), F.col("hi")
-    width = (hi - lo) / F.lit(float(bins))
-    place = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).cast("int")
-    counts = (
-        both.crossJoin(F.broadcast(edge))
-        .where("hi > lo")
-        .groupBy("source", place.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    totals = both.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    frame = (
-        spark.range(bins)
-        .select(F.col("id").cast("int").alias("bin"))
-        .crossJoin(F.broadcast(totals))
-        .crossJoin(F.broadcast(edge.where("hi > lo")))
+    if lo is None or lo == hi:
+        return spark.createDataFrame([], "bin int, center double, density double, source string")
+    width = (hi - lo) / bins
+    place = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    counts = both.groupBy("source", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    frame = spark.range(bins * len(labels)).select(
+        (F.col("id") % bins).cast("int").alias("bin"),
+        F.get(F.array(*[F.lit(x) for x in labels]), F.floor(F.col("id") / bins).cast("int")).alias("source"),
+        F.get(F.array(*[F.lit(head[f"n{i}"]) for i in range(len(labels))]), F.floor(F.col("id") / bins).cast("int")).alias("total"),
     )
     return frame.join(counts, ["source", "bin"], "left").select(
         "bin",
-        (lo + (F.col("bin") + F.lit(0.5)) * width).alias("center"),
-        (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density"),
+        (F.lit(lo) + (F.col("bin") + F.lit(0.5)) * F.lit(width)).alias("center"),
+        F.try_divide(F.coalesce("n", F.lit(0)), F.col("total") * F.lit(width)).alias("density"),
         "source",
     )
 

@@ -127,7 +127,7 @@ def drift_detail(
 
 def drift_summary(detail: DataFrame, current: DataFrame) -> DataFrame:
     """One row: columns drifted, their share, rows compared and whether those suffice."""
-    rows = current.agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = current.agg(F.count(F.lit(1)).alias("n_rows")).scalar()
     found = detail.agg(
         F.count_if(F.col("drifted")).alias("columns_drifted"),
         F.count(F.lit(1)).alias("columns_compared"),
@@ -136,7 +136,7 @@ def drift_summary(detail: DataFrame, current: DataFrame) -> DataFrame:
     verdict = (
         F.when(F.col("n_rows") < MIN_ROWS, "no analysis").when(F.col("n_rows") < WARN_ROWS, "small sample").otherwise("sufficient")
     )
-    return found.crossJoin(F.broadcast(rows)).withColumn("sample_status", verdict)
+    return found.withColumn("n_rows", rows).withColumn("sample_status", verdict)
 
 
 def share_by_source(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:

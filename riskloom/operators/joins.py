@@ -25,9 +25,10 @@ def one_row_per_key(df: DataFrame, key: str) -> DataFrame:
     return checked.select(col(key), *[F.col("row_").getField(c).alias(c) for c in rest])
 
 
-def left_join_one(df: DataFrame, right: DataFrame, key: str, check: bool = False) -> DataFrame:
+def left_join_one(df: DataFrame, right: DataFrame, key: str, check: bool = False, salt: int = 1) -> DataFrame:
     """Left join that never multiplies rows; ``check`` is for right sides not grouped by key."""
-    return df.join(one_row_per_key(right, key) if check else right, key, "left")
+    left, single, on = salted(df, one_row_per_key(right, key) if check else right, key, salt)
+    return left.join(single, on, "left").drop("salt_")
 
 
 def left_join_all(df: DataFrame, tables: Mapping[str, DataFrame], order: Sequence[str], key: str) -> DataFrame:
@@ -37,9 +38,22 @@ def left_join_all(df: DataFrame, tables: Mapping[str, DataFrame], order: Sequenc
     return df
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Semi join: rows whose key is listed."""
-    return df.join(keys.select(col(key)).distinct(), key, "left_semi")
+def salted(df: DataFrame, right: DataFrame, key: str, salt: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join with each key of ``df`` split into ``salt`` parts and ``right``
+    repeated once per part: for a key that holds a large part of ``df``."""
+    if salt <= 1:
+        return df, right, [key]
+    rest = [col(c) for c in df.columns if c != key]
+    left = df.withColumn("salt_", F.pmod(F.xxhash64(*rest), F.lit(salt)).cast("int"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+    return left, right.withColumn("salt_", parts), [key, "salt_"]
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, key: str, salt: int = 1) -> DataFrame:
+    """Semi join: rows whose key is listed. Adaptive execution splits a hot key at run time;
+    ``salt`` splits it beforehand."""
+    left, right, on = salted(df, keys.select(col(key)).distinct(), key, salt)
+    return left.join(right, on, "left_semi").drop("salt_")
 
 
 def keep_keys_chained(
@@ -50,9 +64,10 @@ def keep_keys_chained(
     return kept, keep_keys(child, kept, child_key)
 
 
-def unmatched(df: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def unmatched(df: DataFrame, right: DataFrame, key: str, salt: int = 1) -> DataFrame:
     """Rows without a partner."""
-    return df.join(right.select(col(key)), key, "left_anti")
+    left, keys, on = salted(df, right.select(col(key)).distinct(), key, salt)
+    return left.join(keys, on, "left_anti").drop("salt_")
 
 
 def restore_column(df: DataFrame, original: DataFrame, key: str, column: str, into: str | None = None) -> DataFrame:

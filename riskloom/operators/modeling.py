@@ -173,12 +173,12 @@ def permutation_importance(
     df: DataFrame, key: str, columns: Sequence[str], label: str, score: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """Loss of AUC when one column is shuffled; ``score`` adds a ``score`` column."""
-    base = roc_auc(score(df), label, "score").select(F.col("auc").alias("base"))
+    base = roc_auc(score(df), label, "score").select("auc").scalar()
     out = None
     for c in columns:
         part = roc_auc(score(permuted(df, key, c)), label, "score").select(F.lit(c).alias("feature"), "auc")
         out = part if out is None else out.unionByName(part)
-    return out.crossJoin(F.broadcast(base)).select("feature", (F.col("base") - F.col("auc")).alias("auc_loss")).orderBy(
+    return out.select("feature", (base - F.col("auc")).alias("auc_loss")).orderBy(
         F.desc("auc_loss"), "feature"
     )
 

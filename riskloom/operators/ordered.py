@@ -116,22 +116,38 @@ def cumulate(
     )
 
 
-def interpolated(ranked: DataFrame, by: Sequence[str], probs: Mapping[str, float], first: str, end: str, n: str) -> DataFrame:
-    """Interpolated quantiles of rows that cover the ranks [first, end) of n with one value."""
-    keys = [text.name(b) for b in by]
-    spots = {q: f"(({n} - 1) * {text.value(float(p))})" for q, p in probs.items()}
+def _spots(probs: Mapping[str, float]) -> str:
+    """Rows (spot, rank) for the two ranks around each wanted quantile of n values."""
+    ranks = []
+    for q, p in probs.items():
+        at = f"((n - 1) * {text.value(float(p))})"
+        ranks.append({"spot": text.value(f"{q}_lo"), "rank": f"floor({at})"})
+        ranks.append({"spot": text.value(f"{q}_hi"), "rank": f"ceil({at})"})
+    return text.rows(ranks)
 
-    def at(rank: str) -> str:
-        return f"max(CASE WHEN {rank} >= {first} AND {rank} < {end} THEN value END)"
 
-    picks = ranked.groupBy(*[F.col(k) for k in keys]).agg(
-        F.expr(f"first({n}) AS {n}"),
-        *[F.expr(f"{at(f'floor({s})')} AS `{q}_lo`") for q, s in spots.items()],
-        *[F.expr(f"{at(f'ceil({s})')} AS `{q}_hi`") for q, s in spots.items()],
-    )
-    return picks.selectExpr(
-        *keys, n, *[f"`{q}_lo` + (`{q}_hi` - `{q}_lo`) * ({s} - floor({s})) AS `{q}`" for q, s in spots.items()]
+def wanted_ranks(totals: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """(by..., n, spot, rank) from one row per group with its size ``n``."""
+    return totals.selectExpr(*[text.name(b) for b in by], "n", _spots(probs))
+
+
+def pick_quantiles(
+    ranked: DataFrame, spots: DataFrame, on: Sequence[str], by: Sequence[str], probs: Mapping[str, float]
+) -> DataFrame:
+    """Interpolated quantiles. ``ranked`` rows cover the ranks [from_, to_) with one value;
+    ``spots`` holds the few wanted ranks, so the join gives two rows per quantile."""
+    keys = [text.name(b) for b in by]
+    held = ranked.join(spots, list(on)).where("rank >= from_ AND rank < to_")
+    ends = [f"{q}_{side}" for q in probs for side in ("lo", "hi")]
+    picks = held.groupBy(*[F.col(k) for k in keys]).agg(
+        F.expr("first(n) AS n"),
+        *[F.expr(f"max(CASE WHEN spot = {text.value(e)} THEN value END) AS {text.name(e)}") for e in ends],
     )
+    out = []
+    for q, p in probs.items():
+        at = f"((n - 1) * {text.value(float(p))})"
+        out.append(f"`{q}_lo` + (`{q}_hi` - `{q}_lo`) * ({at} - floor({at})) AS {text.name(q)}")
+    return picks.selectExpr(*keys, "n", *out)
 
 
 def exact_quantiles(
@@ -152,6 +168,7 @@ def exact_quantiles(
     keys = [*by, "column"]
     names = [text.name(k) for k in keys]
     group = "PARTITION BY " + ", ".join(names)
+    wanted = {f"q{i}": float(p) for i, p in enumerate(probs)}
 
     sizes = (
         long.groupBy(*[F.col(k) for k in names], "slice")
@@ -164,19 +181,29 @@ def exact_quantiles(
             f"sum(size) OVER ({group}) AS n",
         )
     )
-    spots = [f"{f}((n - 1) * {text.value(float(p))})" for p in probs for f in ("floor", "ceil")]
-    wanted = " OR ".join(f"({s} >= start AND {s} < start + size)" for s in spots)
-    targets = sizes.where(wanted).select(*keys, "slice", "start", "n")
-
-    distinct = (
-        long.join(targets, [*keys, "slice"])
-        .groupBy(*[F.col(k) for k in names], "slice", "value")
-        .agg(F.expr("count(1) AS m"), F.expr("first(start) AS start"), F.expr("first(n) AS n"))
+    # One row per wanted rank, found in the one slice that holds it.
+    spots = sizes.selectExpr(*names, "slice", "start", "size", "n", _spots(wanted)).where(
+        "rank >= start AND rank < start + size"
     )
+    targets = spots.select(*[F.col(k) for k in names], "slice", "start").distinct()
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*[F.col(k) for k in names], "slice", "value").agg(F.expr("count(1) AS m"))
+
+    if by:
+        # Any number of groups: reduce to distinct values first, then keep the wanted slices.
+        distinct = counted(long).join(targets, [*keys, "slice"])
+    else:
+        # At most two slices per column and probability, so the filter is broadcast and the
+        # other slices are never shuffled.
+        kept = long.join(F.broadcast(targets), [*keys, "slice"], "left_semi")
+        distinct = counted(kept).join(F.broadcast(targets), [*keys, "slice"])
     inside = "PARTITION BY " + ", ".join([*names, "slice"]) + " ORDER BY value"
     running = f"sum(m) OVER ({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    ranked = distinct.selectExpr(*names, "value", "n", f"{running} + start - m AS from_", f"{running} + start AS to_")
-    return interpolated(ranked, keys, {f"q{i}": p for i, p in enumerate(probs)}, "from_", "to_", "n")
+    ranked = distinct.selectExpr(*names, "slice", "value", "m", f"{running} + start AS to_").selectExpr(
+        *names, "slice", "value", "to_ - m AS from_", "to_"
+    )
+    return pick_quantiles(ranked, spots.drop("start", "size"), [*keys, "slice"], keys, wanted)
 
 
 def quantile_dict(

@@ -88,8 +88,8 @@ def value_frequency(df: DataFrame, column: str, top: int | None = None, normaliz
     """Rows per value of one column, most frequent first, with the share of non-missing rows."""
     counts = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     if normalize:
-        total = counts.agg(F.sum("n").alias("total_"))
-        counts = counts.crossJoin(F.broadcast(total)).select("value", "n", ratio(F.col("n"), F.col("total_")).alias("share"))
+        total = counts.agg(F.sum("n").alias("total_")).scalar()
+        counts = counts.select("value", "n", ratio(F.col("n"), total).alias("share"))
     ordered = counts.orderBy(F.desc("n"), "value")
     return ordered.limit(top) if top else ordered
 

@@ -31,9 +31,9 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def stratified_sample(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
     """About n rows with the label shares kept: round-half-up quota per label."""
     placed = numbered(df, [label], spread(col(key), seed), SPREAD_RANGE, [key])
-    total = df.where(col(label).isNotNull()).agg(F.count(F.lit(1)).alias("total_"))
-    quota = F.floor(F.lit(float(n)) * F.col("group_size") / F.col("total_") + F.lit(0.5))
-    return placed.crossJoin(F.broadcast(total)).where(F.col("position") < quota).drop("position", "group_size", "total_")
+    total = df.where(col(label).isNotNull()).agg(F.count(F.lit(1)).alias("total_")).scalar()
+    quota = F.floor(F.lit(float(n)) * F.col("group_size") / total + F.lit(0.5))
+    return placed.where(F.col("position") < quota).drop("position", "group_size")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42, into: str = "fold") -> DataFrame:

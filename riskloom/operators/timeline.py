@@ -87,10 +87,8 @@ def headline(
         ratio(F.count_if(ok & is_true(col(decision) == refused)), F.count_if(ok)).alias("refusal_rate"),
         ratio(F.count_if(ok & is_true(col(known))), F.count_if(ok & col(known).isNotNull())).alias("known_share"),
     )
-    middle = exact_quantiles(df.where(col(status) == success), [latency], [0.5]).select(F.col("q0").alias("median_latency"))
-    return base.join(middle, F.lit(True), "left").select(
-        "calls", "error_rate", "refusal_rate", "median_latency", "known_share"
-    )
+    middle = exact_quantiles(df.where(col(status) == success), [latency], [0.5]).select("q0").scalar()
+    return base.select("calls", "error_rate", "refusal_rate", middle.alias("median_latency"), "known_share")
 
 
 def errors_by_type(df: DataFrame, status: str = "status", error: str = "error_type", success: str = SUCCESS) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 from riskloom.functions.nulls import col, is_true
 from riskloom.operators.drift import drift_detail
 from riskloom.operators.joins import lookup_history
-from riskloom.operators.ordered import cumulate, interpolated
+from riskloom.operators.ordered import cumulate, pick_quantiles, wanted_ranks
 from riskloom.operators.validation import reject_rows, split_valid, validate_json
 from riskloom.schemas import REQUEST_RULES, SUCCESS, Rule
 from riskloom.sources.writers import append_log, log_rows
@@ -141,8 +141,9 @@ def quantiles_of_counts(counts: DataFrame, probs: Mapping[str, float], slice_wid
     sliced = counts.withColumn("slice", F.floor(F.col("value") / F.lit(slice_width)).cast("int"))
     run = cumulate(sliced, ["bucket"], ["n"])
 
-    covered = run.selectExpr("bucket", "value", "all_n", "cum_n - n AS from_", "cum_n AS to_")
-    return interpolated(covered, ["bucket"], probs, "from_", "to_", "all_n").drop("all_n")
+    covered = run.selectExpr("bucket", "value", "cum_n - n AS from_", "cum_n AS to_")
+    totals = counts.groupBy("bucket").agg(F.sum("n").alias("n"))
+    return pick_quantiles(covered, wanted_ranks(totals, ["bucket"], probs), ["bucket"], ["bucket"], probs).drop("n")
 
 
 def drift_sink(reference: DataFrame, folder: str, columns: Sequence[str], threshold: float = 0.1) -> Sink:
