@@ -243,7 +243,12 @@ def _training_rows(spark, sf_dir) -> tuple[DataFrame, preparation.Preprocessor]:
     app = view(spark, sf_dir, "app")
     fitted = _fitted(app, scale=True)
     vectors = fitted.to_vector(app, ["SK_ID_CURR", "TARGET"]).withColumnRenamed("TARGET", "label")
-    return sampling.stratified_folds(modeling.weighted(vectors, "label"), "SK_ID_CURR", "label"), fitted
+    return modeling.weighted(vectors, "label"), fitted
+
+
+def _folded(spark, sf_dir, folds: int) -> DataFrame:
+    rows, _ = _training_rows(spark, sf_dir)
+    return sampling.stratified_folds(rows, "SK_ID_CURR", "label", folds)
 
 
 def _logistic() -> LogisticRegression:
@@ -262,22 +267,19 @@ def fit_score_batch(spark, sf_dir):
 @query("oof_auc")
 def oof_auc(spark, sf_dir):
     """AUC of each held-out fold."""
-    rows, _ = _training_rows(spark, sf_dir)
-    return settled(modeling.fold_auc(modeling.out_of_fold(rows, _logistic())))
+    return settled(modeling.fold_auc(modeling.out_of_fold(_folded(spark, sf_dir, 5), _logistic())))
 
 
 @query("train_validation_gap")
 def train_validation_gap(spark, sf_dir):
-    rows, _ = _training_rows(spark, sf_dir)
-    return settled(modeling.train_validation_gap(rows, _logistic(), folds=5))
+    """Mean AUC on training and held-out rows."""
+    return settled(modeling.train_validation_gap(_folded(spark, sf_dir, 5), _logistic(), folds=5))
 
 
 @query("hyper_search")
 def hyper_search(spark, sf_dir):
     """Grid search on three stratified folds."""
-    rows, _ = _training_rows(spark, sf_dir)
-    rows = sampling.stratified_folds(rows.drop("fold"), "SK_ID_CURR", "label", folds=3)
-    _, trials = modeling.search(rows, _logistic(), {"regParam": [0.0, 0.1]}, folds=3)
+    _, trials = modeling.search(_folded(spark, sf_dir, 3), _logistic(), {"regParam": [0.0, 0.1]}, folds=3)
     return settled(trials)
 
 

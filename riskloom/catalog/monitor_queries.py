@@ -433,10 +433,7 @@ def _js(column: str) -> str:
 
 def _halves(spark, sf_dir, shifted: bool = False):
     wanted = T.StructType([T.StructField("k", T.LongType())])
-    events = table(spark, sf_dir, "events")
-    rows = events.join(
-        contract.expand_json(events, "props", wanted, ["event_id"]), "event_id"
-    ).select("ts", "value", "k", "event_type")
+    rows = contract.expand_json(table(spark, sf_dir, "events"), "props", wanted, ["ts", "value", "event_type"])
     before = F.col("ts") < _moment(SWITCH)
     reference, current = rows.where(before).drop("ts"), rows.where(~before).drop("ts")
     if shifted:
