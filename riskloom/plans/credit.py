@@ -115,9 +115,8 @@ def features_for(
     output_contract: T.StructType,
 ) -> DataFrame:
     """Requests enriched from the stored history: both contracts applied, presence noted."""
-    found = lookup_history(
-        app.select(KEY), {n: t.select(KEY) for n, t in history.items()}, KEY
-    )
+    # A client may send several requests; presence is looked up once per client.
+    found = lookup_history(app.select(KEY).distinct(), {n: t.select(KEY) for n, t in history.items()}, KEY)
     df = clean_application(align(app, input_contract), params)
     df = add_features(merge_aggregations(df, history, params), history, params)
     return align(df, output_contract, KEY).join(found, KEY, "left")

@@ -68,9 +68,9 @@ def log_rows(df: DataFrame, schema: T.StructType = LOG_SCHEMA, defaults: Mapping
 
 def append_log(df: DataFrame, folder: str, batch: int) -> None:
     """Append one batch under its own folder; writing the same batch again replaces it, so a
-    restarted stream leaves no duplicates."""
-    day = F.to_date("created_at")
-    df.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(f"{folder.rstrip('/')}/batch={batch}")
+    restarted stream leaves no duplicates. Rows without an id get one from batch and position."""
+    number = F.coalesce(F.col("id"), F.xxhash64(F.lit(batch), F.monotonically_increasing_id()))
+    df.withColumns({"id": number, "day": F.to_date("created_at")}).write.mode("overwrite").partitionBy("day").parquet(f"{folder.rstrip('/')}/batch={batch}")
 
 
 def add_columns(df: DataFrame, columns: Mapping[str, tuple[str, object]]) -> DataFrame:
