@@ -691,18 +691,17 @@ def build_features(spark, sf_dir):
 
 @query(
     "align_contract",
-    """select n_nationkey, cast(null as double) as unknown_amount, n_name, cast(n_regionkey as bigint) as n_regionkey
-    from nation""",
+    """select p_partkey, cast(null as double) as unknown_amount, p_brand, cast(p_size as bigint) as p_size from part""",
 )
 def align_contract(spark, sf_dir):
     wanted = T.StructType(
         [
             T.StructField("unknown_amount", T.DoubleType()),
-            T.StructField("n_name", T.StringType()),
-            T.StructField("n_regionkey", T.LongType()),
+            T.StructField("p_brand", T.StringType()),
+            T.StructField("p_size", T.LongType()),
         ]
     )
-    return contract.align(table(spark, sf_dir, "nation"), wanted, "n_nationkey")
+    return contract.align(table(spark, sf_dir, "part"), wanted, "p_partkey")
 
 
 @query(

@@ -12,7 +12,7 @@ from riskloom.catalog.views import r, settled, table, view, with_views
 from riskloom.functions.nulls import col
 from riskloom.operators import evaluation, modeling, preparation, sampling
 from riskloom.schemas import EDUCATION_LEVELS
-from riskloom.session import staging_path
+from riskloom.session import checkpointed, staging_path
 from riskloom.sources import writers
 
 # --- evaluation ----------------------------------------------------------------------------
@@ -243,7 +243,7 @@ def _training_rows(spark, sf_dir) -> tuple[DataFrame, preparation.Preprocessor]:
     app = view(spark, sf_dir, "app")
     fitted = _fitted(app, scale=True)
     vectors = fitted.to_vector(app, ["SK_ID_CURR", "TARGET"]).withColumnRenamed("TARGET", "label")
-    return modeling.weighted(vectors, "label"), fitted
+    return checkpointed(modeling.weighted(vectors, "label")), fitted
 
 
 def _folded(spark, sf_dir, folds: int) -> DataFrame:

@@ -268,10 +268,13 @@ def usable_payload(spark, sf_dir):
     return contract.to_payload(rows, types, keep=["SK_ID_CURR"])
 
 
-@query("renamed", "select r_regionkey as region_id, r_name as name, 'Référence' as source from region")
+@query("renamed", "select c_custkey as client_id, c_name as name, 'Référence' as source from customer")
 def renamed(spark, sf_dir):
     return contract.label_source(
-        contract.rename(table(spark, sf_dir, "region"), {"r_regionkey": "region_id", "r_name": "name"}), "Référence"
+        contract.rename(
+            table(spark, sf_dir, "customer", ["c_custkey", "c_name"]), {"c_custkey": "client_id", "c_name": "name"}
+        ),
+        "Référence",
     )
 
 

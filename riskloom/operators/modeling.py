@@ -19,7 +19,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions import text
 from riskloom.functions.nulls import col
@@ -27,6 +26,7 @@ from riskloom.functions.scalars import SPREAD_RANGE, class_weight, decision, spr
 from riskloom.operators.evaluation import roc_auc
 from riskloom.operators.ordered import numbered
 from riskloom.operators.profiling import class_ratio
+from riskloom.session import checkpointed
 
 
 def baselines(n_features: int, weight: str | None = None, label: str = "label", seed: int = 42) -> dict[str, Estimator]:
@@ -64,8 +64,11 @@ def out_of_fold(
     df: DataFrame, estimator: Estimator, folds: int = 5, fold: str = "fold", sides: bool = False
 ) -> DataFrame:
     """Score every row by a model that did not see it. With ``sides`` the training rows of each
-    fold are scored too; ``side`` tells them apart."""
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    fold are scored too; ``side`` tells them apart.
+
+    The rows are written to the shared folder once: every fit passes over them many times, and
+    a lost executor must not bring the feature building back."""
+    data = checkpointed(df)
     out = None
     for i in range(folds):
         model = estimator.fit(data.where(col(fold) != i))
@@ -113,7 +116,7 @@ def search(
         foldCol=fold,
         parallelism=parallelism,
     )
-    fitted = cv.fit(df)
+    fitted = cv.fit(checkpointed(df))
     rows = [
         (i, str({p.name: v for p, v in m.items()}), float(a)) for i, (m, a) in enumerate(zip(maps, fitted.avgMetrics))
     ]
