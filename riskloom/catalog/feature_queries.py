@@ -18,13 +18,12 @@ from riskloom.session import staging_path
 from riskloom.sources.readers import read_history
 from riskloom.sources.writers import write_history
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 STATUSES = ["F", "O", "P"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def _month_shares(sql_alias: str = "") -> str:
+def _month_shares() -> str:
     return ", ".join(
         f"cast(sum(case when STATUS = '{v}' then 1 else 0 end) as double) / count(*) as STATUS_{v}_mean"
         for v in ["0", "1", "C", "X"]
