@@ -298,7 +298,8 @@ def _around(near: DataFrame, linked: DataFrame, reps: DataFrame, least: float, c
     left = near.join(both, key).withColumn("chunk", F.pmod(F.xxhash64("class_id"), "_x_chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x_blocks") - 1)))
     right = linked.join(both, key).withColumn("block", F.pmod(F.xxhash64("class_id"), "_x_blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x_chunks") - 1)))
     columns = [*key, "chunk", "block", "class_id", "sig"]
-    left, right = (x.join(reps, "class_id").select(*columns) for x in (left, right))
+    # New names of the same columns, as both sides come from one table.
+    left, right = (x.join(reps, "class_id").select(*[F.col(c).alias(c) for c in columns]) for x in (left, right))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -384,7 +385,8 @@ def linked(docs: DataFrame, gathered: DataFrame, doc_id: str, text: str, shingle
         return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
     columns = [*keys, "class_id", "label", "tokens"]
-    more = left.select(*columns).groupBy(*keys).cogroup(right.select(*columns).groupBy(*keys)).applyInPandas(compare, "a bigint, b bigint")
+    left, right = (x.select(*[F.col(c).alias(c) for c in columns]) for x in (left, right))
+    more = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a bigint, b bigint")
     return found.select("a", "b").unionByName(more)
 
 

@@ -221,7 +221,7 @@ with crc_table as (
 ), d as (
   select doc_id, coalesce(doc_id::varchar, '') as k, octet_length(encode(coalesce(text, '')))::bigint + 1 as size, hex(encode(coalesce(text, ''))) as h from documents
 ), c as (
-  select doc_id, k, size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(size - 1), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))), lambda s, b: xor(tab[xor(s & 255, b) + 1], s >> 8))) as text_crc32
+  select doc_id, k, size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'), lambda b: cast('0x' || b as bigint))), lambda s, b: xor(tab[xor(s & 255, b) + 1], s >> 8))) as text_crc32
   from d, crc_table
 ), p as (
   select *, {_descent(_TREE)} as shard, {_descent(hash_tree.with_new_region(_TREE, SHARDS))} as grown_shard from c
