@@ -9,7 +9,7 @@ around a pivot's classes is still compared with them (signature distance is a me
 can be close to one). So a large group of near copies costs one comparison for each member, not for each pair.
 
 Candidates that hang together are gathered once, with their whole sets, and linked exactly; a gathering of
-more than BLOCK classes is cut into blocks that share pivots, and what the blocks leave apart is then
+more than BLOCK classes or BLOCK_SHINGLES shingles is cut into blocks that share pivots, and what the blocks leave apart is then
 compared with all blocks. Only links that join what is still apart are kept, so output is linear.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import WordHash, mixed, staged, window_hashes
 
 POSITIONS = 128
-#: Nodes of at most so many classes are compared exhaustively; classes of one gathering that one task links.
-SMALL, BLOCK = 128, 2048
+#: Nodes of at most so many classes are compared exhaustively; classes, and their shingles, that one task links.
+SMALL, BLOCK, BLOCK_SHINGLES = 4096, 4096, 4_000_000
 #: Members of a large node among which pivots are looked for, and pivots of a node.
 LOOKED_AT, PIVOTS = 64, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -106,11 +107,11 @@ def close_pairs(ids: np.ndarray, signatures: np.ndarray, least: float) -> list[t
     n, out = len(ids), []
     apart = np.arange(n)
     for i in range(n):
-        others = np.flatnonzero(apart != apart[i])
-        if not len(others):
+        others = apart != apart[i]
+        if not others.any():
             break
-        agree = (signatures[others] == signatures[i]).mean(axis=1) >= least
-        for j in others[agree]:
+        agree = np.count_nonzero(signatures == signatures[i], axis=1) >= least * POSITIONS
+        for j in np.flatnonzero(agree & others):
             if apart[j] != apart[i]:
                 out.append((int(ids[i]), int(ids[j])))
                 apart[apart == apart[j]] = apart[i]
@@ -169,8 +170,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter(F.col("a") != F.col("b")).distinct()
+        large = both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         pairs = staged(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
@@ -263,29 +263,27 @@ def candidates(reps: DataFrame, similar: float, trees: int) -> DataFrame:
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["kind", "node", "class_id", "pivot", "share"])
 
-    found = None
+    found: list[DataFrame] = []
     rows = reps.mapInArrow(roots, "node bigint, class_id bigint")
     while True:
         rows = staged(rows, "nodes")
         sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
         sized = staged(rows.join(sizes, "node"), "sized")
         small = sized.filter(F.col("size") <= SMALL).join(reps, "class_id").select("node", "class_id", "sig")
-        small = small.repartition("node").sortWithinPartitions("node", "class_id").mapInArrow(lambda b: _by_node(b, least), "a bigint, b bigint").distinct()
-        found = staged(small if found is None else found.unionByName(small).distinct(), "pairs")
-        large = sized.filter(F.col("size") > SMALL).select("node", "class_id")
+        found.append(staged(small.repartition("node").sortWithinPartitions("node", "class_id").mapInArrow(lambda b: _by_node(b, least), "a bigint, b bigint"), "pairs"))
+        large = sized.filter(F.col("size") > SMALL)
         if not large.take(1):
-            return found
+            return reduce(DataFrame.unionByName, found)
+        large = staged(large.join(reps, "class_id").select("node", "class_id", "sig"), "large")
         looked = Window.partitionBy("node").orderBy(F.xxhash64("class_id", "node"))
-        seen = large.withColumn("_x_n", F.row_number().over(looked)).filter(F.col("_x_n") <= LOOKED_AT).join(reps, "class_id").select("node", "class_id", "sig")
-        pivots = staged(seen.groupBy("node").applyInPandas(lambda p: _pivots(p, least), "node bigint, pivot_ids array<bigint>, pivots binary"), "pivots")
-        tried = large.join(reps, "class_id").join(pivots, "node").mapInArrow(split, "kind string, node bigint, class_id bigint, pivot bigint, share double")
-        tried = staged(tried, "tried")
+        seen = large.withColumn("_x_n", F.row_number().over(looked)).filter(F.col("_x_n") <= LOOKED_AT).select("node", "class_id", "sig")
+        pivots = seen.groupBy("node").applyInPandas(lambda p: _pivots(p, least), "node bigint, pivot_ids array<bigint>, pivots binary")
+        tried = staged(large.join(pivots, "node").mapInArrow(split, "kind string, node bigint, class_id bigint, pivot bigint, share double"), "tried")
         linked = tried.filter("kind = 'link'")
-        found = found.unionByName(linked.filter("class_id <> pivot").select(F.col("class_id").alias("a"), F.col("pivot").alias("b")))
+        found.append(linked.filter("class_id <> pivot").select(F.col("class_id").alias("a"), F.col("pivot").alias("b")))
         near = tried.filter("kind = 'near'")
         if near.take(1):
-            found = found.unionByName(_around(near, linked, reps, least))
-        found = staged(found.distinct(), "pairs")
+            found.append(staged(_around(near, linked, reps, least), "around"))
         rows = tried.filter("kind = 'go'").select("node", "class_id").distinct()
 
 
@@ -337,29 +335,30 @@ def _linked_blocks(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) ->
         yield made()
 
 
-def linked(docs: DataFrame, gathered: DataFrame, doc_id: str, text: str, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """Links a, b that join classes as the whole sets say; ``gathered`` has id and component (the gathering)."""
-    sizes = gathered.groupBy("component").agg(F.count("*").alias("size"))
-    gathered = staged(gathered.join(sizes, "component").select(F.col("id").alias("class_id"), F.col("component").alias("gathering"), "size"), "gathered")
+def linked(docs: DataFrame, gathered: DataFrame, reps: DataFrame, doc_id: str, text: str, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """Links a, b that join classes as the whole sets say; ```gathered`` has id and component (the gathering), ``reps`` class_id and n_shingles."""
+    weighed = gathered.join(reps.select(F.col("class_id").alias("id"), "n_shingles"), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("bigint")
+    sizes = weighed.groupBy("component").agg(blocks.alias("blocks"))
+    gathered = staged(weighed.join(sizes, "component").select(F.col("id").alias("class_id"), F.col("component").alias("gathering"), "blocks"), "gathered")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("class_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("gathering", "size", "class_id")], pa.array(sets, type=pa.binary())], names=["gathering", "size", "class_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("gathering", "blocks", "class_id")], pa.array(sets, type=pa.binary())], names=["gathering", "blocks", "class_id", "tokens"])
 
-    sets = texts.join(gathered, "class_id").select("gathering", "size", "class_id", "text").mapInArrow(tokens, "gathering bigint, size bigint, class_id bigint, tokens binary")
-    some_large = bool(gathered.filter(F.col("size") > BLOCK).take(1))
-    blocks = F.ceil(F.col("size") / BLOCK)
+    sets = texts.join(gathered, "class_id").select("gathering", "blocks", "class_id", "text").mapInArrow(tokens, "gathering bigint, blocks bigint, class_id bigint, tokens binary")
+    some_large = bool(gathered.filter(F.col("blocks") > 1).take(1))
     if some_large:
         sets = staged(sets, "tokens")
-    placed = sets.withColumn("block", F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("class_id"), blocks)).otherwise(0).cast("bigint"))
+    placed = sets.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("bigint"))
     columns = ["gathering", "block", "class_id", "tokens"]
     work = placed.select(*columns)
     if some_large:
         order = Window.partitionBy("gathering").orderBy(F.xxhash64("class_id"))
-        shown = gathered.filter(F.col("size") > BLOCK).withColumn("_x_n", F.row_number().over(order)).filter(F.col("_x_n") <= LOOKED_AT).select("class_id")
-        pivots = sets.join(shown, "class_id", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        shown = gathered.filter(F.col("blocks") > 1).withColumn("_x_n", F.row_number().over(order)).filter(F.col("_x_n") <= LOOKED_AT).select("class_id")
+        pivots = sets.join(shown, "class_id", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         work = work.unionByName(pivots.select(*columns))
     found = work.repartition("gathering", "block").sortWithinPartitions("gathering", "block", "class_id").mapInArrow(lambda b: _linked_blocks(b, share), "a bigint, b bigint, gathering bigint")
     found = staged(found, "links")
@@ -367,13 +366,13 @@ def linked(docs: DataFrame, gathered: DataFrame, doc_id: str, text: str, shingle
         return found.select("a", "b")
     # What the blocks left apart in a large gathering, against all of its blocks.
     label = components(found.select("a", "b"))
-    large = placed.filter(F.col("size") > BLOCK).join(label, F.col("class_id") == F.col("id"), "left").withColumn("label", F.coalesce("component", "class_id")).select("gathering", "size", "block", "class_id", "label", "tokens")
+    large = placed.filter(F.col("blocks") > 1).join(label, F.col("class_id") == F.col("id"), "left").withColumn("label", F.coalesce("component", "class_id")).select("gathering", "blocks", "block", "class_id", "label", "tokens")
     large = staged(large, "large")
     counted = large.groupBy("gathering", "label").agg(F.count("*").alias("n"))
     main = counted.groupBy("gathering").agg(F.max(F.struct("n", "label")).alias("main")).select("gathering", F.col("main.label").alias("main"))
     rest = large.join(main, "gathering").filter(F.col("label") != F.col("main")).drop("main")
     amount = rest.groupBy("gathering").agg(F.ceil(F.count("*") / 256).alias("_x_chunks"))
-    left = rest.join(amount, "gathering").withColumn("chunk", F.pmod(F.xxhash64("class_id"), "_x_chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / BLOCK) - 1)))
+    left = rest.join(amount, "gathering").withColumn("chunk", F.pmod(F.xxhash64("class_id"), "_x_chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     right = large.join(amount, "gathering").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_x_chunks") - 1)))
     keys = ["gathering", "chunk", "block"]
 
@@ -401,12 +400,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     similar = share[0] / share[1]
     known = staged(classes(docs, doc_id, text, shingle), "classes")
-    reps = staged(known.filter(F.col("sig").isNotNull()).select("class_id", "sig").dropDuplicates(["class_id"]), "reps")
+    reps = staged(known.filter(F.col("sig").isNotNull()).groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "reps")
     pairs = candidates(reps, similar, trees)
     if not pairs.take(1):
         labels = None
     else:
-        labels = components(linked(docs, components(pairs), doc_id, text, shingle, share))
+        labels = components(linked(docs, components(pairs), reps, doc_id, text, shingle, share))
     out = known.select("doc_id", "n_shingles", "class_id")
     if labels is not None:
         out = out.join(labels, out["class_id"] == labels["id"], "left")
