@@ -22,28 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHash, shuffle_tasks, staged, window_hashes
+from riskloom.llm.common import shuffle_tasks, staged, window_hashes, word_hashes
 
 GROUP_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
 NO_DOC = np.iinfo(np.int64).max
 #: Bits of a block's key that travel; chance meetings only cost work, as extension compares the words again.
 KEY_SHIFT = np.uint64(16)
 
-_WORDS = WordHash()
-
-
-def _hashes(raw: bytes) -> np.ndarray:
-    # bytes.split() cuts at exactly space and 0x09 to 0x0D.
-    return _WORDS.of(raw.split())
-
-
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts."""
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
+    """A key's bucket; it rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -80,33 +73,31 @@ def _wide(places: np.ndarray, used: np.ndarray, many: int) -> np.ndarray:
     return used[places.view("<u2" if len(used) < 1 << 16 else "<u4")][:many]
 
 
-def _docs_of(table: pa.Table) -> Iterator[tuple[int | None, bytes]]:
+def _docs_of(table: pa.Table) -> Iterator[tuple[int | None, bytes, list[bytes]]]:
+    """Id, text and words. bytes.split() cuts at exactly space and 0x09 to 0x0D."""
     for ids, texts in zip(table.column("_x_id").chunks, table.column("_x_text").chunks):
         for i, t in zip(ids, texts):
-            yield i.as_py(), t.as_py()
+            raw = t.as_py()
+            yield i.as_py(), raw, raw.split()
 
 
 def _anchors(table: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
     """A group's distinct keys: the largest id that probes each, the smallest id that has it as a block."""
     keys, docs, aligned = [], [], []
-    for doc, raw in _docs_of(table):
-        if doc is None:
-            continue
-        h = _hashes(raw)
-        if len(h) >= window:
-            k = window_hashes(h, block, 1)
+    for doc, _, words in _docs_of(table):
+        if doc is not None and len(words) >= window:
+            k = window_hashes(word_hashes(words), block, 1)
             keys.append(k)
             docs.append(np.full(len(k), doc, dtype=np.int64))
             aligned.append(np.arange(len(k)) % block == 0)
     out: dict[str, list] = {"bucket": [], "group": [], "asked": []}
     if keys:
         k, d, a = np.concatenate(keys), np.concatenate(docs), np.concatenate(aligned)
-        bucket = _bucket(k, buckets)
-        order = np.lexsort((k, bucket))
-        k, d, a, bucket = k[order], d[order], a[order], bucket[order]
+        order = np.argsort(k)
+        k, d, a = k[order], d[order], a[order]
         at = _runs(k)
         most, least = np.maximum.reduceat(d, at), np.minimum.reduceat(np.where(a, d, NO_DOC), at)
-        k, bucket = k[at] >> KEY_SHIFT, bucket[at]
+        k, bucket = k[at] >> KEY_SHIFT, _bucket(k[at], buckets)
         ends = np.append(_runs(bucket), len(bucket))
         group = table.column("_x_group")[0].as_py()
         for s, e in zip(ends[:-1], ends[1:]):
@@ -146,37 +137,59 @@ def _by_group(groups: np.ndarray, packed: Callable[[np.ndarray], bytes]) -> pa.T
     return pa.table({"_x_group": pa.array([r[0] for r in rows], type=pa.int64()), "answer": pa.array([r[1] for r in rows], type=pa.binary())})
 
 
-def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return sorted_keys[at] == keys
+class _Keys:
+    """Ascending keys with a table of their low bits, which turns most strangers away at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.uint64((1 << max(10, int(len(keys)).bit_length() + 3)) - 1)
+        self.low = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.low[keys & self.mask] = True
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are among these, and the first place of each."""
+        maybe = np.flatnonzero(self.low[keys & self.mask]) if len(self.keys) else np.zeros(0, dtype=np.int64)
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        found = self.keys[at] == keys[maybe]
+        return maybe[found], at[found]
+
+
+def _second(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The other 32 bits of the windows that start at ``at``."""
+    if not len(at):
+        return np.zeros(0, dtype="<u4")
+    edge = np.concatenate(([True], at[1:] > at[:-1] + 1))
+    starts, ends = at[edge], at[np.concatenate((edge[1:], [True]))]
+    parts = [window_hashes(h[s : e + window], window, 3) for s, e in zip(starts, ends)]
+    return (np.concatenate(parts) >> np.uint64(32)).astype("<u4")
 
 
 def _extended(docs: pa.Table, answers: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
     """The hashes of a group's windows that hold an anchor: smallest and largest id of each."""
     anchors = np.unique(_from_six(np.frombuffer(b"".join(a.as_py() for a in answers.column("answer")), dtype=np.uint8)))
     first, second, owner = [], [], []
-    for doc, raw in _docs_of(docs) if len(anchors) else ():
-        if doc is None:
-            continue
-        h = _hashes(raw)
-        if len(h) >= window:
-            found = np.concatenate(([0], np.cumsum(_member(anchors, window_hashes(h, block, 1) >> KEY_SHIFT))))
+    known = _Keys(anchors)
+    for doc, _, words in _docs_of(docs) if len(anchors) else ():
+        if doc is not None and len(words) >= window:
+            h = word_hashes(words)
+            anchored = np.zeros(len(h) - block + 2, dtype=np.int64)
+            anchored[known.places(window_hashes(h, block, 1) >> KEY_SHIFT)[0] + 1] = 1
+            found = np.cumsum(anchored)
             at = np.flatnonzero(found[window - block + 1 :] > found[: len(h) - window + 1])
             if len(at):
                 first.append(window_hashes(h, window, 2)[at])
-                second.append((window_hashes(h, window, 3) >> np.uint64(32)).astype("<u4")[at])
+                second.append(_second(h, at, window))
                 owner.append(np.full(len(at), doc, dtype=np.int64))
     out: dict[str, list] = {"bucket": [], "group": [], "asked": []}
     if first:
         a, b, d = np.concatenate(first), np.concatenate(second), np.concatenate(owner)
-        bucket = _bucket(a, buckets)
-        order = np.lexsort((b, a, bucket))
-        a, b, d, bucket = a[order], b[order], d[order], bucket[order]
+        order = np.lexsort((b, a))
+        a, b, d = a[order], b[order], d[order]
         at = np.union1d(_runs(a), _runs(b))
         low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-        a, b, bucket = a[at], b[at], bucket[at]
+        a, b, bucket = a[at], b[at], _bucket(a[at], buckets)
         ends = np.append(_runs(bucket), len(bucket))
         group = docs.column("_x_group")[0].as_py()
         for s, e in zip(ends[:-1], ends[1:]):
@@ -207,19 +220,20 @@ def _first_owner(table: pa.Table) -> pa.Table:
     return _by_group(g[chosen], lambda i: _pack(x[chosen][i].astype("<u8"), y[chosen][i], least[chosen][i].astype("<i8")))
 
 
-def _covered(doc: int | None, h: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
+def _covered(doc: int | None, words: list[bytes], known: _Keys, b: np.ndarray, low: np.ndarray, same: int, window: int) -> np.ndarray:
     """Which words of a document are covered by a window that a document with a smaller id has."""
-    gone = np.zeros(len(h) + 1, dtype=np.int64)
-    if doc is not None and len(h) >= window and len(a):
-        first, second = window_hashes(h, window, 2), (window_hashes(h, window, 3) >> np.uint64(32)).astype(np.uint32)
-        at = np.searchsorted(a, first)
-        hit = np.zeros(len(first), dtype=bool)
-        for step in range(int(np.diff(np.append(_runs(a), len(a))).max())):  # one, but for colliding hashes
-            place = np.minimum(at + step, len(a) - 1)
-            hit |= (a[place] == first) & (b[place] == second) & (low[place] < doc)
-        starts = np.flatnonzero(hit)
-        np.add.at(gone, starts, 1)
-        np.add.at(gone, np.minimum(starts + window, len(h)), -1)
+    gone = np.zeros(len(words) + 1, dtype=np.int64)
+    if doc is not None and len(words) >= window and len(known.keys):
+        h = word_hashes(words)
+        found, at = known.places(window_hashes(h, window, 2))
+        second = _second(h, found, window)
+        hit = np.zeros(len(found), dtype=bool)
+        for step in range(same):  # one, but for colliding hashes
+            place = np.minimum(at + step, len(known.keys) - 1)
+            hit |= (known.keys[place] == known.keys[at]) & (b[place] == second) & (low[place] < doc)
+        starts = found[hit]
+        gone[starts] += 1
+        gone[starts + window] -= 1
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -227,17 +241,17 @@ def _finished(docs: pa.Table, answers: pa.Table, window: int, finish, kinds: pa.
     parts = [_unpack(x.as_py(), "<u8", "<u4", "<i8") for x in answers.column("answer")]
     a, b, low = (np.concatenate(z) for z in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
     order = np.lexsort((b, a))
-    a, b, low = a[order], b[order], low[order]
-    made = [finish(raw, _covered(doc, _hashes(raw), a, b, low, window)) for doc, raw in _docs_of(docs)]
+    a, b, low = a[order].astype(np.uint64), b[order], low[order]
+    known, same = _Keys(a), int(np.diff(np.append(_runs(a), len(a))).max()) if len(a) else 0
+    made = [finish(raw, words, _covered(doc, words, known, b, low, same, window)) for doc, raw, words in _docs_of(docs)]
     kept = docs.drop_columns(["_x_id", "_x_text", "_x_group"])
     for i, f in enumerate(kinds):
         kept = kept.append_column(f, pa.array([m[i] for m in made], type=f.type))
     return kept
 
 
-def digest(raw: bytes, gone: np.ndarray) -> tuple[int, int, str]:
+def digest(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple[int, int, str]:
     """Words, words removed, SHA-256 of the kept words joined by one space."""
-    words = raw.split()
     if gone.any():
         words = [w for w, g in zip(words, gone) if not g]
     return len(gone), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest()
@@ -246,7 +260,7 @@ def digest(raw: bytes, gone: np.ndarray) -> tuple[int, int, str]:
 DIGEST = ("n_words bigint, n_removed bigint, kept_sha256 string", pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
 
-def spans(raw: bytes, gone: np.ndarray) -> tuple[int, list[list[int]]]:
+def spans(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple[int, list[list[int]]]:
     """Words, and the maximal repeats as [first word, word after the last]."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
     return len(gone), edge.reshape(-1, 2).tolist()
@@ -255,7 +269,7 @@ def spans(raw: bytes, gone: np.ndarray) -> tuple[int, list[list[int]]]:
 SPANS = ("n_words bigint, repeats array<array<bigint>>", pa.schema([("n_words", pa.int64()), ("repeats", pa.list_(pa.list_(pa.int64())))]))
 
 
-def cleaned(raw: bytes, gone: np.ndarray) -> tuple[int, str]:
+def cleaned(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple[int, str]:
     """Words removed, and the text without them and without the white space that follows each."""
     if not gone.any():
         return 0, raw.decode("utf-8", "replace")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WordHash, mixed, staged, window_hashes
+from riskloom.llm.common import mixed, staged, window_hashes, word_hashes
 
 POSITIONS = 128
 #: Nodes of at most so many classes are compared exhaustively; classes, and their shingles, that one task links.
@@ -35,7 +35,6 @@ SMALL, BLOCK, BLOCK_SHINGLES = 4096, 4096, 4_000_000
 LOOKED_AT, PIVOTS = 64, 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
-_WORDS = WordHash()
 _FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -44,8 +43,7 @@ def shingle_set(raw: bytes | None, width: int) -> np.ndarray:
     words = (raw or b"").translate(LOWER).split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    hashes = _WORDS.of(words)
-    return np.unique(window_hashes(hashes, min(width, len(words)), 11))
+    return np.unique(window_hashes(word_hashes(words), min(width, len(words)), 11))
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:

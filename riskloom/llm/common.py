@@ -6,19 +6,17 @@ the input, whatever their names, never clash.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.session import staging_path
 
-#: Words known by their hash that one Python worker keeps; older ones go first.
-WORD_CACHE = 400_000
 MASK64 = (1 << 64) - 1
 
 
@@ -85,18 +83,9 @@ def gapless(df: DataFrame, by: list[str], order: list[str], unit: str, out: str,
     return joined.withColumn(out, (F.col("_x_start") + F.col("_x_rank") - 1).cast("long")).drop("_x_slice", "_x_rank", "_x_s", "_x_start", *keys)
 
 
-class WordHash(dict):
-    """64-bit hashes of words (bytes), kept for the words met lately. Look words up by ``of``."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
