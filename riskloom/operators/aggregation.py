@@ -117,6 +117,13 @@ def aggregate_by(
     return out
 
 
+def _with_missing(df: DataFrame, texts: Sequence[str], categories: Categories | None) -> Categories:
+    """The given categories, and fitted ones for text columns that have none, so that no column is lost."""
+    known = dict(categories or {})
+    unlisted = [c for c in texts if c not in known]
+    return {**known, **fit_categories(df, unlisted)} if unlisted else known
+
+
 def aggregate_table(
     df: DataFrame,
     key: str,
@@ -129,13 +136,12 @@ def aggregate_table(
     flags = boolean_names(df, [key, *exclude])
     df = df.withColumns({c: col(c).cast("int") for c in flags})
     texts = string_names(df, [key, *exclude])
-    if categories is None:
-        categories = fit_categories(df, texts)
+    categories = _with_missing(df, texts, categories)
     return aggregate_by(
         df,
         key,
         numeric_names(df, [key, *exclude]),
-        {c: categories[c] for c in texts if c in categories},
+        {c: categories[c] for c in texts},
         prefix,
         f"{prefix}_COUNT",
     )
@@ -207,13 +213,12 @@ def aggregate_previous(
     flags = [c for c in boolean_names(df) if c.endswith("_ANOM")]
     df = df.withColumns({c: col(c).cast("int") for c in flags})
     texts = string_names(df, [key, loan_key])
-    if categories is None:
-        categories = fit_categories(df, texts)
+    categories = _with_missing(df, texts, categories)
     return aggregate_by(
         df,
         key,
         numeric_names(df, [key, loan_key]),
-        {c: categories[c] for c in texts if c in categories},
+        {c: categories[c] for c in texts},
         "PREV",
         "PREV_APPLICATION_COUNT",
     )

@@ -109,13 +109,19 @@ def rank_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str], spli
 
     The table is turned to long form once, ranks are attached by value, and the rows are put
     back together by their key: a fixed number of shuffles however many columns there are.
+    A key that occurs twice is an error, as its rows could not be told apart.
     """
     table = ranks(df, columns, splits)
     long = melt_sliced(df, columns, {}, keep=key).drop("slice")
     ranked = attach_by_value(long, table, ["column", "value"], "n", "all_n", "rank")
-    return ranked.groupBy(*[col(k) for k in key]).agg(
-        *[F.expr(f"max(CASE WHEN column = {text.value(c)} THEN rank END) AS {text.name(c)}") for c in columns]
+    grouped = ranked.groupBy(*[col(k) for k in key]).agg(
+        *[F.expr(f"max(CASE WHEN column = {text.value(c)} THEN rank END) AS {text.name(c)}") for c in columns],
+        F.count(F.lit(1)).alias("__rows"),
     )
+    twice = F.raise_error(F.lit(f"key {', '.join(key)} occurs more than once"))
+    # The check stands in a used column, so that pruning keeps it.
+    checked = {c: F.when(F.col("__rows") <= len(columns), col(c)).otherwise(twice.cast("double")) for c in columns}
+    return grouped.withColumns(checked).drop("__rows")
 
 
 def spearman_pairs(df: DataFrame, key: Sequence[str], columns: Sequence[str], splits: int | None = None) -> DataFrame:

@@ -111,7 +111,7 @@ def search(
     cv = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(labelCol=label),
+        evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0),  # every threshold, at any size
         numFolds=folds,
         foldCol=fold,
         parallelism=parallelism,

@@ -11,6 +11,7 @@ held by a third of all rows is one row here, and no task sees more than about
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -38,7 +39,8 @@ def fit_edges(df: DataFrame, columns: Sequence[str], splits: int | None = None)
             for i, c in enumerate(columns)
         ]
     ).first()
-    return {c: sorted({float(v) for v in (row[f"e{i}"] or [])}) for i, c in enumerate(columns)}
+    # Infinite edges cut nothing: infinities lie in the outer slices.
+    return {c: sorted({float(v) for v in (row[f"e{i}"] or []) if math.isfinite(v)}) for i, c in enumerate(columns)}
 
 
 def union_edges(a: Edges, b: Edges) -> Edges:
@@ -266,11 +268,12 @@ def numbered(
     """Add ``position`` (from 0) and ``group_size`` within ``by``, ordered by ``order`` then ``tie``.
 
     ``order`` is an evenly spread whole number in [0, upper), so equal slices of its range
-    are equally full and no group is ever ordered in one task.
+    are equally full and no group is ever ordered in one task. Rows with a missing group are
+    a group; rows without an order (a missing key) come first.
     """
     n = splits or split_count(df.sparkSession)
     width = -(-upper // n)
-    sliced = df.withColumns({"__order": order}).withColumn("__slice", F.floor(F.col("__order") / F.lit(width)).cast("int"))
+    sliced = df.withColumns({"__order": F.coalesce(order, F.lit(0))}).withColumn("__slice", F.floor(F.col("__order") / F.lit(width)).cast("int"))
     sizes = sliced.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__size"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     sizes = sizes.select(
@@ -282,7 +285,9 @@ def numbered(
         F.sum("__size").over(group).alias("group_size"),
     )
     inside = Window.partitionBy(*by, "__slice").orderBy("__order", *tie)
-    joined = sliced.join(sizes, [*by, "__slice"])
+    sizes = sizes.select(*[col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__slice").alias("__in"), "__before", "group_size")
+    match = [col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)]
+    joined = sliced.join(sizes, [*match, F.col("__slice") == F.col("__in")])
     return (
         joined.withColumn("position", F.row_number().over(inside) - 1 + F.col("__before"))
         .drop("__order", "__slice", "__before")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,7 +169,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
 def rate_by_group(df: DataFrame, groups: Sequence[str], label: str) -> DataFrame:
     """Mean label and number of labelled rows per group."""
     return (
-        df.where(F.lit(True) if not groups else col(groups[0]).isNotNull())
+        df.where(reduce(and_, [col(g).isNotNull() for g in groups], F.lit(True)))
         .groupBy(*[col(g) for g in groups])
         .agg(F.avg(col(label)).alias("rate"), F.count(col(label)).alias("n"))
     )

@@ -61,11 +61,12 @@ def read_log(
 
 
 def stream_parquet(spark: SparkSession, folder: str, name: str, schema: T.StructType, files: int | None = None) -> DataFrame:
-    """A stream over the Parquet files of one table of a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A stream over one table of a folder: one Parquet file, or a directory of part files."""
+    reader = spark.readStream.schema(schema)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
-    return reader.parquet(folder)
+    # A pattern, as a stream takes a lone file only from one.
+    return reader.parquet(f"{folder.rstrip('/')}/{{{name}.parquet}}")
 
 
 def stream_json(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
