@@ -254,8 +254,11 @@ def candidates(reps: DataFrame, similar: float, trees: int) -> DataFrame:
                 around[i] = [p for p, s in zip(names, agree) if 2 * least - 1 <= s < least]
             linked = best >= least
             free = np.flatnonzero(~linked)
+            # Classes of two pivots may be close to one another where the pivots are: then both are gathered together.
+            joined = [(i, p, s) for i in np.flatnonzero(linked) if which[i] == ids[i] for p, s in zip(batch.column("pivot_ids")[i].as_py(), shares[i]) if p != ids[i] and s >= 3 * least - 2]
             at, child = children(nodes[free].view(np.uint64), sigs[free], similar)
             rows = [("link", int(nodes[i]), int(ids[i]), int(which[i]), float(best[i])) for i in np.flatnonzero(linked)]
+            rows += [("join", int(nodes[i]), int(ids[i]), p, float(s)) for i, p, s in joined]
             rows += [("near", int(nodes[i]), int(ids[i]), p, float(s)) for i in free for p, s in zip(batch.column("pivot_ids")[i].as_py(), shares[i]) if p in around[i]]
             rows += [("go", int(c), int(ids[free[j]]), 0, 0.0) for j, c in zip(at, child.view(np.int64))]
             columns = list(zip(*rows)) if rows else [[]] * 5
@@ -278,7 +281,7 @@ def candidates(reps: DataFrame, similar: float, trees: int) -> DataFrame:
         pivots = seen.groupBy("node").applyInPandas(lambda p: _pivots(p, least), "node bigint, pivot_ids array<bigint>, pivots binary")
         tried = staged(large.join(pivots, "node").mapInArrow(split, "kind string, node bigint, class_id bigint, pivot bigint, share double"), "tried")
         linked = tried.filter("kind = 'link'")
-        found.append(linked.filter("class_id <> pivot").select(F.col("class_id").alias("a"), F.col("pivot").alias("b")))
+        found.append(tried.filter("kind = 'join' or (kind = 'link' and class_id <> pivot)").select(F.col("class_id").alias("a"), F.col("pivot").alias("b")))
         near = tried.filter("kind = 'near'")
         if near.take(1):
             found.append(staged(_around(near, linked, reps, least), "around"))
