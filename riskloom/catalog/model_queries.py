@@ -177,12 +177,11 @@ MEANS = {"EXT_SOURCE_1": 0.5, "EXT_SOURCE_2": 0.4, "EXT_SOURCE_3": 0.6}
 
 
 def _known(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, "app").select("SK_ID_CURR", *WEIGHTS).na.drop()
+    """Every client; a missing score is the model's mean."""
+    return view(spark, sf_dir, "app").select("SK_ID_CURR", *[F.coalesce(col(c), F.lit(MEANS[c])).alias(c) for c in WEIGHTS])
 
 
-KNOWN = ", known as (select SK_ID_CURR, EXT_SOURCE_1, EXT_SOURCE_2, EXT_SOURCE_3 from app where " + " and ".join(
-    f"{c} is not null" for c in WEIGHTS
-) + ")"
+KNOWN = ", known as (select SK_ID_CURR, " + ", ".join(f"coalesce({c}, {MEANS[c]}e0) as {c}" for c in WEIGHTS) + " from app)"
 LOGIT = " + ".join(f"({w}e0) * {c}" for c, w in WEIGHTS.items())
 
 
@@ -247,10 +246,16 @@ def _training_rows(spark, sf_dir) -> tuple[DataFrame, preparation.Preprocessor]:
 
 
 def _folded(spark, sf_dir, folds: int) -> DataFrame:
-    rows, _ = _training_rows(spark, sf_dir)
+    """Raw rows with a fold; fills, scales, categories and weights are fitted inside the folds."""
+    rows = view(spark, sf_dir, "app").select("SK_ID_CURR", *NUMERIC, *NOMINAL, *ORDINAL, F.col("TARGET").alias("label"))
     return sampling.stratified_folds(rows, "SK_ID_CURR", "label", folds)
 
 
+def _prepared(known: DataFrame):
+    fitted, weigh = _fitted(known, scale=True), modeling.weights_of(known, "label")
+    return lambda rows: weigh(fitted.to_vector(rows, ["SK_ID_CURR", "label", "fold"]))
+
+
 def _logistic() -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=20)
 
@@ -267,19 +272,19 @@ def fit_score_batch(spark, sf_dir):
 @query("oof_auc")
 def oof_auc(spark, sf_dir):
     """AUC of each held-out fold."""
-    return settled(modeling.fold_auc(modeling.out_of_fold(_folded(spark, sf_dir, 5), _logistic())))
+    return settled(modeling.fold_auc(modeling.out_of_fold(_folded(spark, sf_dir, 5), _logistic(), prepare=_prepared)))
 
 
 @query("train_validation_gap")
 def train_validation_gap(spark, sf_dir):
     """Mean AUC on training and held-out rows."""
-    return settled(modeling.train_validation_gap(_folded(spark, sf_dir, 5), _logistic(), folds=5))
+    return settled(modeling.train_validation_gap(_folded(spark, sf_dir, 5), _logistic(), folds=5, prepare=_prepared))
 
 
 @query("hyper_search")
 def hyper_search(spark, sf_dir):
     """Grid search on three stratified folds."""
-    _, trials = modeling.search(_folded(spark, sf_dir, 3), _logistic(), {"regParam": [0.0, 0.1]}, folds=3)
+    _, trials = modeling.search(_folded(spark, sf_dir, 3), _logistic(), {"regParam": [0.0, 0.1]}, folds=3, prepare=_prepared)
     return settled(trials)
 
 

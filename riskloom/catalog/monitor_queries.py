@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from riskloom.catalog.registry import query
 from riskloom.catalog.views import r, settled, table, view, with_views
 from riskloom.functions import text
+from riskloom.functions.scalars import spread_sql
 from riskloom.operators import contract, drift, timeline, validation
 from riskloom.plans.monitoring import analyse
 from riskloom.schemas import Rule
@@ -18,6 +19,7 @@ from riskloom.session import staging_path
 from riskloom.sources import readers, writers
 from riskloom.streaming import jobs
 
+REFERENCE_ROWS = 500
 BUCKET = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
 
@@ -500,16 +502,16 @@ def share_by_source(spark, sf_dir):
     "drift_reference",
     with_views(
         "app",
-        body="""select SK_ID_CURR, AMT_INCOME_TOTAL, case when DAYS_EMPLOYED <> 365243 then DAYS_EMPLOYED end as DAYS_EMPLOYED, CODE_GENDER
-        from app""",
+        body=f"""select SK_ID_CURR, AMT_INCOME_TOTAL, case when DAYS_EMPLOYED <> 365243 then DAYS_EMPLOYED end as DAYS_EMPLOYED, CODE_GENDER
+        from app order by {spread_sql('SK_ID_CURR')}, SK_ID_CURR limit {REFERENCE_ROWS}""",
     ),
 )
 def drift_reference(spark, sf_dir):
-    """Fewer rows than the sample size: the whole table, sentinels blanked, written and read back."""
+    """A seeded sample, sentinels blanked, written and read back."""
     path = staging_path(spark, "reference")
     columns = ["SK_ID_CURR", "AMT_INCOME_TOTAL", "DAYS_EMPLOYED", "CODE_GENDER"]
     rows = view(spark, sf_dir, "app")
-    drift.build_reference(rows, "SK_ID_CURR", columns, 10**9, sentinels=["DAYS_EMPLOYED"]).write.parquet(path)
+    drift.build_reference(rows, "SK_ID_CURR", columns, REFERENCE_ROWS, sentinels=["DAYS_EMPLOYED"]).write.parquet(path)
     return readers.read_parquet(spark, path)
 
 

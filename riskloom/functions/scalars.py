@@ -14,9 +14,6 @@ REFUSED = "refusé"
 GRANTED = "accordé"
 DAYS_PER_YEAR = 365.25
 
-_PRIME = 2147483647
-_STEP = 48271
-
 
 def years_to_days(years: Column) -> Column:
     """Years before the application as a negative whole number of days, truncated."""
@@ -37,21 +34,21 @@ def class_weight(label: Column, positive_weight: float | Column) -> Column:
 
 
 def spread(key: Column, seed: int = 42) -> Column:
-    """A repeatable pseudo-random whole number in [0, 2**31 - 1) from an integer key.
+    """A repeatable pseudo-random whole number in [0, 2**32) from a key of any kind.
 
-    Plain modular arithmetic, so any SQL engine gives the same number.
+    The start of the md5 of key and seed: seeds are independent of each other, and other SQL
+    engines give the same number. Missing for a missing key.
     """
-    mixed = (F.pmod(key.cast("long"), F.lit(_PRIME)) * F.lit(_STEP) + F.lit(seed * 69621 % _PRIME)) % F.lit(_PRIME)
-    return (mixed * F.lit(_STEP)) % F.lit(_PRIME)
+    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{int(seed)}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-SPREAD_RANGE = _PRIME
+SPREAD_RANGE = 1 << 32
 
 
 def spread_sql(key: str, seed: int = 42) -> str:
-    """The text of :func:`spread` in ANSI SQL, for non-negative keys."""
-    mixed = f"(((({key}) % {_PRIME}) * {_STEP} + {seed * 69621 % _PRIME}) % {_PRIME})"
-    return f"(({mixed} * {_STEP}) % {_PRIME})"
+    """The text of :func:`spread` in SQL, for whole or text keys."""
+    return f"cast('0x' || substr(md5(cast({key} as varchar) || ':{int(seed)}'), 1, 8) as bigint)"
 
 
 def base_name(name: Column, suffixes: tuple[str, ...]) -> Column:

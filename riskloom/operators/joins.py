@@ -13,16 +13,13 @@ from riskloom.functions.nulls import col
 def one_row_per_key(df: DataFrame, key: str) -> DataFrame:
     """``df`` unchanged, failing at run time if a key occurs twice.
 
-    The check is an aggregation on the join key, so the join that follows reuses its
-    partitioning and no separate counting job is run.
+    Only the key is aggregated, by hash; the rows themselves go to the join untouched. All share
+    the key's partitioning, and no separate counting job is run.
     """
-    rest = [c for c in df.columns if c != key]
-    grouped = df.where(col(key).isNotNull()).groupBy(col(key)).agg(
-        F.any_value(F.struct(*[col(c) for c in rest])).alias("row_"), F.count(F.lit(1)).alias("n_")
-    )
-    stop = F.raise_error(F.concat(F.lit(f"join would multiply rows: {key} "), col(key).cast("string")))
-    checked = grouped.withColumn("row_", F.when(F.col("n_") == 1, F.col("row_")).otherwise(stop))
-    return checked.select(col(key), *[F.col("row_").getField(c).alias(c) for c in rest])
+    counts = df.where(col(key).isNotNull()).groupBy(col(key)).agg(F.count(F.lit(1)).alias("n_"))
+    stop = F.raise_error(F.concat(F.lit(f"join would multiply rows: {key} "), col(key).cast("string"))).cast("boolean")
+    once = counts.where(F.when(F.col("n_") == 1, F.lit(True)).otherwise(stop)).select(col(key))
+    return df.join(once, key).select(*[col(c) for c in df.columns])
 
 
 def left_join_one(df: DataFrame, right: DataFrame, key: str, check: bool = False, salt: int = 1) -> DataFrame:
@@ -31,10 +28,11 @@ def left_join_one(df: DataFrame, right: DataFrame, key: str, check: bool = False
     return left.join(single, on, "left").drop("salt_")
 
 
-def left_join_all(df: DataFrame, tables: Mapping[str, DataFrame], order: Sequence[str], key: str) -> DataFrame:
-    """Left joins in a fixed order. All share one key, so the left side is shuffled once."""
+def left_join_all(df: DataFrame, tables: Mapping[str, DataFrame], order: Sequence[str], key: str, check: bool = False) -> DataFrame:
+    """Left joins in a fixed order. All share one key, so the left side is shuffled once.
+    ``check`` is for tables that were not just grouped by the key, such as stored ones."""
     for name in order:
-        df = df.join(tables[name], key, "left")
+        df = left_join_one(df, tables[name], key, check)
     return df
 
 

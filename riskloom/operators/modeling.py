@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +41,25 @@ def baselines(n_features: int, weight: str | None = None, label: str = "label",
     }
 
 
+#: From the rows that may be learnt from to a function that makes any rows ready for a model.
+Prepare = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+
+
+def weights_of(df: DataFrame, label: str, into: str = "weight") -> Callable[[DataFrame], DataFrame]:
+    """A function that balances the classes as ``df`` has them: positives weigh as much as there are
+    negatives per positive."""
+    r = float(class_ratio(df, label).first()["class_ratio"] or 1.0)
+    return lambda rows: rows.withColumn(into, class_weight(col(label), r))
+
+
 def weighted(df: DataFrame, label: str, into: str = "weight") -> DataFrame:
-    """Balance the classes: positives weigh as much as there are negatives per positive."""
-    r = class_ratio(df, label).first()["class_ratio"]
-    return df.withColumn(into, class_weight(col(label), float(r or 1.0)))
+    """``df`` with its own classes balanced."""
+    return weights_of(df, label, into)(df)
+
+
+def as_it_is(known: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Nothing to prepare."""
+    return lambda rows: rows
 
 
 def dummy_scores(df: DataFrame, key: str, label: str, seed: int = 42, into: str = "score") -> DataFrame:
@@ -61,19 +76,22 @@ def with_probability(scored: DataFrame, into: str = "score") -> DataFrame:
 
 
 def out_of_fold(
-    df: DataFrame, estimator: Estimator, folds: int = 5, fold: str = "fold", sides: bool = False
+    df: DataFrame, estimator: Estimator, folds: int = 5, fold: str = "fold", sides: bool = False, prepare: Prepare = as_it_is
 ) -> DataFrame:
     """Score every row by a model that did not see it. With ``sides`` the training rows of each
     fold are scored too; ``side`` tells them apart.
 
-    The rows are written to the shared folder once: every fit passes over them many times, and
-    a lost executor must not bring the feature building back."""
+    ``prepare`` is fitted on the training rows of each fold (fills, scales, categories, weights),
+    so nothing of the held-out rows reaches the model. The rows are written to the shared folder
+    once: every fit passes over them, and a lost executor must not bring the feature building back."""
     data = checkpointed(df)
     out = None
     for i in range(folds):
-        model = estimator.fit(data.where(col(fold) != i))
+        known = data.where(col(fold) != i)
+        ready = prepare(known)
+        model = estimator.fit(ready(known))
         rows = data if sides else data.where(col(fold) == i)
-        scored = with_probability(model.transform(rows)).withColumn("held_out", F.lit(i))
+        scored = with_probability(model.transform(ready(rows))).withColumn("held_out", F.lit(i))
         if sides:
             scored = scored.withColumn("side", F.when(col(fold) == i, F.lit("validation")).otherwise(F.lit("train")))
         out = scored if out is None else out.unionByName(scored)
@@ -84,9 +102,9 @@ def fold_auc(oof: DataFrame, label: str = "label", score: str = "score", fold: s
     return roc_auc(oof, label, score, by=[fold])
 
 
-def train_validation_gap(df: DataFrame, estimator: Estimator, folds: int = 5, label: str = "label") -> DataFrame:
+def train_validation_gap(df: DataFrame, estimator: Estimator, folds: int = 5, label: str = "label", prepare: Prepare = as_it_is) -> DataFrame:
     """Mean AUC on training and held-out rows, and the gap between them."""
-    per = roc_auc(out_of_fold(df, estimator, folds, sides=True), label, "score", by=["held_out", "side"])
+    per = roc_auc(out_of_fold(df, estimator, folds, sides=True, prepare=prepare), label, "score", by=["held_out", "side"])
     means = per.groupBy().agg(
         F.avg(F.when(F.col("side") == "train", F.col("auc"))).alias("train_auc"),
         F.avg(F.when(F.col("side") == "validation", F.col("auc"))).alias("validation_auc"),
@@ -101,27 +119,27 @@ def search(
     folds: int = 5,
     fold: str = "fold",
     label: str = "label",
-    parallelism: int = 2,
+    prepare: Prepare = as_it_is,
 ) -> tuple[Model, DataFrame]:
-    """Grid search by mean cross-validated AUC on the given folds: best model and all trials."""
+    """Grid search by mean cross-validated AUC on the given folds: best model and all trials.
+
+    ``prepare`` is fitted on each fold's training rows, and on all rows for the best model."""
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
     maps = builder.build()
-    cv = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0),  # every threshold, at any size
-        numFolds=folds,
-        foldCol=fold,
-        parallelism=parallelism,
-    )
-    fitted = cv.fit(checkpointed(df))
-    rows = [
-        (i, str({p.name: v for p, v in m.items()}), float(a)) for i, (m, a) in enumerate(zip(maps, fitted.avgMetrics))
-    ]
+    evaluator = BinaryClassificationEvaluator(labelCol=label, numBins=0)  # every threshold, at any size
+    data, totals = checkpointed(df), [0.0] * len(maps)
+    for i in range(folds):
+        known = data.where(col(fold) != i)
+        ready = prepare(known)
+        train, held = ready(known), ready(data.where(col(fold) == i))
+        for m, model in estimator.fitMultiple(train, maps):
+            totals[m] += evaluator.evaluate(model.transform(held))
+    rows = [(i, str({p.name: v for p, v in m.items()}), t / folds) for i, (m, t) in enumerate(zip(maps, totals))]
+    best = max(range(len(maps)), key=lambda i: (totals[i], -i))
     trials = df.sparkSession.createDataFrame(rows, "trial int, params string, mean_auc double")
-    return fitted.bestModel, trials.orderBy(F.desc("mean_auc"), "trial")
+    return estimator.fit(prepare(data)(data), maps[best]), trials.orderBy(F.desc("mean_auc"), "trial")
 
 
 def importance(df: DataFrame, model: Model, names: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -22,10 +23,20 @@ def top_rows(df: DataFrame, by: str, n: int, tie: Sequence[str] = ()) -> DataFra
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows chosen uniformly and repeatably by a spread of the key."""
-    return numbered(df, [], spread(col(key), seed), SPREAD_RANGE, [key]).where(F.col("position") < n).drop(
-        "position", "group_size"
-    )
+    """n rows chosen uniformly and repeatably by a spread of the key; all rows if there are no more.
+
+    Only rows below a cut, a little more than n, are ordered. Repeated keys lie together and may
+    leave too few below it; then all rows are ordered.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    order = F.coalesce(spread(col(key), seed), F.lit(0))
+    cut = min(SPREAD_RANGE, math.ceil(SPREAD_RANGE * (n + 6 * math.sqrt(n) + 20) / total))
+    near = df.where(order < cut)
+    if cut < SPREAD_RANGE and near.count() < n:
+        near, cut = df, SPREAD_RANGE
+    return numbered(near, [], order, cut, [key]).where(F.col("position") < n).drop("position", "group_size")
 
 
 def stratified_sample(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:

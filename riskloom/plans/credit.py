@@ -18,7 +18,7 @@ from riskloom.operators.aggregation import (
 from riskloom.operators.cleaning import cap_column, missing_share, sentinel_to_flag, sum_flags
 from riskloom.operators.contract import align, drop_columns
 from riskloom.operators.features import INCOME, application_ratios, debt_to_income, score_summary
-from riskloom.operators.joins import keep_keys, keep_keys_chained, left_join_all, lookup_history
+from riskloom.operators.joins import keep_keys, keep_keys_chained, left_join_all, left_join_one, lookup_history
 from riskloom.operators.modeling import stamp
 from riskloom.schemas import FeatureParams
 
@@ -83,16 +83,16 @@ def restrict_history(tables: Mapping[str, DataFrame], clients: DataFrame) -> dic
     return out
 
 
-def merge_aggregations(df: DataFrame, aggs: Mapping[str, DataFrame], params: FeatureParams) -> DataFrame:
+def merge_aggregations(df: DataFrame, aggs: Mapping[str, DataFrame], params: FeatureParams, check: bool = False) -> DataFrame:
     """Join the aggregates in order and drop the redundant columns; rows stay one per client."""
-    joined = left_join_all(df, aggs, JOIN_ORDER, KEY)
+    joined = left_join_all(df, aggs, JOIN_ORDER, KEY, check)
     return drop_columns(drop_columns(joined, EXTRA_DROP), params.drop_list_restricted, PROTECTED)
 
 
-def add_features(df: DataFrame, aggs: Mapping[str, DataFrame], params: FeatureParams) -> DataFrame:
+def add_features(df: DataFrame, aggs: Mapping[str, DataFrame], params: FeatureParams, check: bool = False) -> DataFrame:
     """Score summary, ratios, debt ratio, payment behaviour, then no infinities."""
     ready = debt_to_income(application_ratios(score_summary(df)), params.debt_to_income_cap)
-    return replace_infinities(ready.join(aggs[PAYMENT], KEY, "left"))
+    return replace_infinities(left_join_one(ready, aggs[PAYMENT], KEY, check))
 
 
 def build_features(
@@ -114,11 +114,12 @@ def features_for(
     input_contract: T.StructType,
     output_contract: T.StructType,
 ) -> DataFrame:
-    """Requests enriched from the stored history: both contracts applied, presence noted."""
+    """Requests enriched from the stored history: both contracts applied, presence noted. A client
+    that a stored table holds twice is an error, as it would multiply requests."""
     # A client may send several requests; presence is looked up once per client.
     found = lookup_history(app.select(KEY).distinct(), {n: t.select(KEY) for n, t in history.items()}, KEY)
     df = clean_application(align(app, input_contract), params)
-    df = add_features(merge_aggregations(df, history, params), history, params)
+    df = add_features(merge_aggregations(df, history, params, check=True), history, params, check=True)
     return align(df, output_contract, KEY).join(found, KEY, "left")
 
 
