@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import shuffle_tasks, staged, window_hashes, word_hashes
+from riskloom.llm.common import shuffle_tasks, staged, window_hashes, word_hashes, word_places
 
 GROUP_BYTES, BUCKET_BYTES = 32 << 20, 16 << 20
 NO_DOC = np.iinfo(np.int64).max
@@ -73,20 +73,20 @@ def _wide(places: np.ndarray, used: np.ndarray, many: int) -> np.ndarray:
     return used[places.view("<u2" if len(used) < 1 << 16 else "<u4")][:many]
 
 
-def _docs_of(table: pa.Table) -> Iterator[tuple[int | None, bytes, list[bytes]]]:
-    """Id, text and words. bytes.split() cuts at exactly space and 0x09 to 0x0D."""
+def _docs_of(table: pa.Table) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
+    """Id, text and the places of its words."""
     for ids, texts in zip(table.column("_x_id").chunks, table.column("_x_text").chunks):
         for i, t in zip(ids, texts):
             raw = t.as_py()
-            yield i.as_py(), raw, raw.split()
+            yield i.as_py(), raw, *word_places(raw)
 
 
 def _anchors(table: pa.Table, window: int, block: int, buckets: int) -> pa.Table:
     """A group's distinct keys: the largest id that probes each, the smallest id that has it as a block."""
     keys, docs, aligned = [], [], []
-    for doc, _, words in _docs_of(table):
-        if doc is not None and len(words) >= window:
-            k = window_hashes(word_hashes(words), block, 1)
+    for doc, raw, starts, ends in _docs_of(table):
+        if doc is not None and len(starts) >= window:
+            k = window_hashes(word_hashes(raw, starts, ends), block, 1)
             keys.append(k)
             docs.append(np.full(len(k), doc, dtype=np.int64))
             aligned.append(np.arange(len(k)) % block == 0)
@@ -171,14 +171,15 @@ def _extended(docs: pa.Table, answers: pa.Table, window: int, block: int, bucket
     anchors = np.unique(_from_six(np.frombuffer(b"".join(a.as_py() for a in answers.column("answer")), dtype=np.uint8)))
     first, second, owner = [], [], []
     known = _Keys(anchors)
-    for doc, _, words in _docs_of(docs) if len(anchors) else ():
-        if doc is not None and len(words) >= window:
-            h = word_hashes(words)
-            anchored = np.zeros(len(h) - block + 2, dtype=np.int64)
-            anchored[known.places(window_hashes(h, block, 1) >> KEY_SHIFT)[0] + 1] = 1
-            found = np.cumsum(anchored)
-            at = np.flatnonzero(found[window - block + 1 :] > found[: len(h) - window + 1])
-            if len(at):
+    for doc, raw, starts, ends in _docs_of(docs) if len(anchors) else ():
+        if doc is not None and len(starts) >= window:
+            h = word_hashes(raw, starts, ends)
+            met = known.places(window_hashes(h, block, 1) >> KEY_SHIFT)[0]
+            if len(met):
+                anchored = np.zeros(len(h) - block + 2, dtype=np.int64)
+                anchored[met + 1] = 1
+                found = np.cumsum(anchored)
+                at = np.flatnonzero(found[window - block + 1 :] > found[: len(h) - window + 1])
                 first.append(window_hashes(h, window, 2)[at])
                 second.append(_second(h, at, window))
                 owner.append(np.full(len(at), doc, dtype=np.int64))
@@ -220,20 +221,19 @@ def _first_owner(table: pa.Table) -> pa.Table:
     return _by_group(g[chosen], lambda i: _pack(x[chosen][i].astype("<u8"), y[chosen][i], least[chosen][i].astype("<i8")))
 
 
-def _covered(doc: int | None, words: list[bytes], known: _Keys, b: np.ndarray, low: np.ndarray, same: int, window: int) -> np.ndarray:
+def _covered(doc: int | None, raw: bytes, starts: np.ndarray, ends: np.ndarray, known: _Keys, b: np.ndarray, low: np.ndarray, same: int, window: int) -> np.ndarray:
     """Which words of a document are covered by a window that a document with a smaller id has."""
-    gone = np.zeros(len(words) + 1, dtype=np.int64)
-    if doc is not None and len(words) >= window and len(known.keys):
-        h = word_hashes(words)
+    gone = np.zeros(len(starts) + 1, dtype=np.int64)
+    if doc is not None and len(starts) >= window and len(known.keys):
+        h = word_hashes(raw, starts, ends)
         found, at = known.places(window_hashes(h, window, 2))
         second = _second(h, found, window)
         hit = np.zeros(len(found), dtype=bool)
         for step in range(same):  # one, but for colliding hashes
             place = np.minimum(at + step, len(known.keys) - 1)
             hit |= (known.keys[place] == known.keys[at]) & (b[place] == second) & (low[place] < doc)
-        starts = found[hit]
-        gone[starts] += 1
-        gone[starts + window] -= 1
+        gone[found[hit]] += 1
+        gone[found[hit] + window] -= 1
     return np.cumsum(gone[:-1]) > 0
 
 
@@ -243,24 +243,38 @@ def _finished(docs: pa.Table, answers: pa.Table, window: int, finish, kinds: pa.
     order = np.lexsort((b, a))
     a, b, low = a[order].astype(np.uint64), b[order], low[order]
     known, same = _Keys(a), int(np.diff(np.append(_runs(a), len(a))).max()) if len(a) else 0
-    made = [finish(raw, words, _covered(doc, words, known, b, low, same, window)) for doc, raw, words in _docs_of(docs)]
+    made = [finish(raw, starts, ends, _covered(doc, raw, starts, ends, known, b, low, same, window)) for doc, raw, starts, ends in _docs_of(docs)]
     kept = docs.drop_columns(["_x_id", "_x_text", "_x_group"])
     for i, f in enumerate(kinds):
         kept = kept.append_column(f, pa.array([m[i] for m in made], type=f.type))
     return kept
 
 
-def digest(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple[int, int, str]:
+def _joined(raw: bytes, starts: np.ndarray, ends: np.ndarray, kept: np.ndarray) -> bytes:
+    """The kept words joined by one space."""
+    if not kept.any():
+        return b""
+    data = np.frombuffer(raw + b" ", dtype=np.uint8)
+    inner = ends[:-1]
+    if kept.all() and ends[-1] - starts[0] == len(raw) and (starts[1:] == inner + 1).all() and (data[inner] == 32).all():
+        return raw
+    data = data.copy()
+    data[ends] = 32
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    step[starts[kept]] += 1
+    step[ends[kept] + 1] -= 1
+    return data[np.cumsum(step[:-1], dtype=np.int8).view(bool)].tobytes()[:-1]
+
+
+def digest(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[int, int, str]:
     """Words, words removed, SHA-256 of the kept words joined by one space."""
-    if gone.any():
-        words = [w for w, g in zip(words, gone) if not g]
-    return len(gone), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest()
+    return len(gone), int(gone.sum()), hashlib.sha256(_joined(raw, starts, ends, ~gone)).hexdigest()
 
 
 DIGEST = ("n_words bigint, n_removed bigint, kept_sha256 string", pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]))
 
 
-def spans(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple[int, list[list[int]]]:
+def spans(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[int, list[list[int]]]:
     """Words, and the maximal repeats as [first word, word after the last]."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
     return len(gone), edge.reshape(-1, 2).tolist()
@@ -269,16 +283,16 @@ def spans(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple[int, list[l
 SPANS = ("n_words bigint, repeats array<array<bigint>>", pa.schema([("n_words", pa.int64()), ("repeats", pa.list_(pa.list_(pa.int64())))]))
 
 
-def cleaned(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple[int, str]:
+def cleaned(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[int, str]:
     """Words removed, and the text without them and without the white space that follows each."""
     if not gone.any():
         return 0, raw.decode("utf-8", "replace")
-    table = np.frombuffer(raw, dtype=np.uint8)
-    space = (table == 32) | ((table >= 9) & (table <= 13))
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    word = np.cumsum(np.bincount(starts, minlength=len(table))) - 1
-    keep = np.where(word >= 0, ~gone[np.maximum(word, 0)], True)
-    return int(gone.sum()), table[keep].tobytes().decode("utf-8", "replace")
+    until = np.append(starts[1:], len(raw))
+    step = np.zeros(len(raw) + 1, dtype=np.int8)
+    step[starts[gone]] += 1
+    step[until[gone]] -= 1
+    keep = np.cumsum(step[:-1], dtype=np.int8) == 0
+    return int(gone.sum()), np.frombuffer(raw, dtype=np.uint8)[keep].tobytes().decode("utf-8", "replace")
 
 
 CLEANED = ("n_removed bigint, text string", pa.schema([("n_removed", pa.int64()), ("text", pa.string())]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import mixed, staged, window_hashes, word_hashes
+from riskloom.llm.common import mixed, staged, window_hashes, word_hashes, word_places
 
 POSITIONS = 128
 #: Nodes of at most so many classes are compared exhaustively; classes, and their shingles, that one task links.
@@ -40,10 +40,11 @@ _FACTORS = mixed(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E37
 
 def shingle_set(raw: bytes | None, width: int) -> np.ndarray:
     """Ascending hashes of the distinct shingles; a text of fewer words is one shingle, an empty one none."""
-    words = (raw or b"").translate(LOWER).split()
-    if not words:
+    lower = (raw or b"").translate(LOWER)
+    starts, ends = word_places(lower)
+    if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    return np.unique(window_hashes(word_hashes(words), min(width, len(words)), 11))
+    return np.unique(window_hashes(word_hashes(lower, starts, ends), min(width, len(starts)), 11))
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -83,11 +84,6 @@ def gapless(df: DataFrame, by: list[str], order: list[str], unit: str, out: str,
     return joined.withColumn(out, (F.col("_x_start") + F.col("_x_rank") - 1).cast("long")).drop("_x_slice", "_x_rank", "_x_s", "_x_start", *keys)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Bits of 64-bit numbers spread over the whole word (the finisher of a public mixer)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -95,14 +91,75 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and base ** -i modulo 2 ** 64, for i below ``count``; ``base`` is odd."""
+    inverse = pow(base, -1, 1 << 64)
+    out = []
+    for b in (base, inverse):
+        steps = np.full(count, b, dtype=np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+#: Bytes or words whose sums are taken at once, which bounds memory for texts of any length.
+SEGMENT, LONG_WORD = 1 << 15, 1 << 12
+_BYTE_POWERS = _powers(0xD6E8FEB86659FD93, SEGMENT + LONG_WORD + 1)
+
+
+@lru_cache(maxsize=16)
+def _window_powers(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers((0x9E3779B97F4A7C15 * (2 * seed + 1)) & MASK64 | 1, SEGMENT + 1)
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends; space and 0x09 to 0x0D stand between words."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    if not len(data):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    space = (data == 32) | ((data - np.uint8(9)) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0] or not space[-1]:
+        edges = np.concatenate(([] if space[0] else [0], edges, [] if space[-1] else [len(data)])).astype(np.int64)
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial over its bytes, taken from running sums, then mixed."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    sizes = ends - starts
+    out = np.empty(len(starts), dtype=np.uint64)
+    power, inverse = _BYTE_POWERS
+    i = 0
+    while i < len(starts):
+        first = int(starts[i])
+        j = len(starts) if int(starts[-1]) < first + SEGMENT else int(np.searchsorted(starts, first + SEGMENT))
+        last = min(int(ends[j - 1]), first + SEGMENT + LONG_WORD)
+        sums = np.zeros(last - first + 1, dtype=np.uint64)
+        np.cumsum(data[first:last] * power[: last - first], out=sums[1:])
+        at = starts[i:j] - first
+        out[i:j] = (sums[np.minimum(ends[i:j], last) - first] - sums[at]) * inverse[at]
+        i = j
+    out += sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    return mixed(out)
+
+
 def window_hashes(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """One 64-bit number for each run of ``width`` consecutive words."""
+    """One 64-bit number for each run of ``width`` consecutive words, from running sums."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    base = (0x9E3779B97F4A7C15 * (2 * seed + 1)) & MASK64 | 1
-    factor, total = 1, np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        total += hashes[k : k + n] * np.uint64(factor)
-        factor = factor * base & MASK64
+    total = np.empty(n, dtype=np.uint64)
+    power, inverse = _window_powers(seed)
+    if width > SEGMENT // 2:
+        raise ValueError("a window of so many words is not supported")
+    step = SEGMENT - width
+    for a in range(0, n, step):
+        part = hashes[a : min(a + step, n) + width - 1]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * power[: len(part)], out=sums[1:])
+        m = len(part) - width + 1
+        np.multiply(sums[width:] - sums[:m], inverse[:m], out=total[a : a + m])
     return mixed(total + np.uint64((seed * 0xD1342543DE82EF95 + width) & MASK64))
