@@ -15,7 +15,7 @@ from riskloom.operators.ordered import exact_quantiles
 from riskloom.plans import credit
 from riskloom.schemas import FeatureParams
 from riskloom.session import staging_path
-from riskloom.sources.readers import read_history
+from riskloom.sources.readers import read_history, read_table_dir
 from riskloom.sources.writers import write_history
 
 STATUSES = ["F", "O", "P"]
@@ -456,7 +456,7 @@ def semi_join_clients(spark, sf_dir):
     ),
 )
 def chained_semi_join(spark, sf_dir):
-    chosen = table(spark, sf_dir, "customer").where("c_acctbal > 0").withColumnRenamed("c_custkey", "SK_ID_CURR")
+    chosen = read_table_dir(spark, sf_dir, "customer", ["c_custkey"], [("c_acctbal", ">", 0.0)]).withColumnRenamed("c_custkey", "SK_ID_CURR")
     _, months = joins.keep_keys_chained(
         view(spark, sf_dir, "bureau"), view(spark, sf_dir, "bureau_balance"), chosen, "SK_ID_CURR", "SK_ID_BUREAU"
     )

@@ -60,7 +60,10 @@ def _narrow_pairs(df: DataFrame, pairs: Pairs) -> DataFrame:
 
 def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> DataFrame:
     """Many pairs: each task sums centred cross products over its rows and emits one set of
-    partial sums, which are then added per pair. Without ``right`` all pairs of ``left``."""
+    partial sums, which are then added per pair. Without ``right`` all pairs of ``left``.
+
+    Input splits are merged, without a shuffle, into no more tasks than shuffles have, so the partial
+    sums do not grow with the number of files."""
     columns = [*left, *[c for c in right or [] if c not in left]]
     k = len(left)
     means = np.array(list(_centres(df, columns).values()))
@@ -86,9 +89,11 @@ def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None
             n, sx, sy, sxx, syy, sxy = [s[at_i, at_j] for s in acc]
             yield pd.DataFrame({"i": at_i, "j": at_j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
 
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
     narrow = df.selectExpr(*[f"CAST({text.name(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(columns)])
     sums = (
-        narrow.mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+        narrow.coalesce(tasks).mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
         .groupBy("i", "j")
         .agg(*[F.sum(s).alias(s) for s in SUMS])
     )

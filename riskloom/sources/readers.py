@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from datetime import datetime
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +14,46 @@ from pyspark.sql import types as T
 from riskloom.functions.nulls import col, nan_to_null
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
+#: A column, one of COMPARED, and a value that is neither NULL nor NaN.
+Comparison = tuple[str, str, Any]
+COMPARED = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "=": operator.eq}
+
+
+def _scan(df: DataFrame, columns: Sequence[str] | None, where: Sequence[Comparison]) -> DataFrame:
+    """The asked columns of the rows that pass, with NaN as NULL.
+
+    Comparisons stand below the NaN rule, which would keep those on floating columns from the scan, and again
+    above it, as only there NaN is missing and passes none. A row that passes above passes below.
+    """
+    for name, sign, value in where:
+        if sign not in COMPARED or value is None or value != value:
+            raise ValueError(f"not a comparison a scan can take: {name} {sign} {value}")
+    conditions = [COMPARED[sign](col(name), F.lit(value)) for name, sign, value in where]
+    for condition in conditions:
+        df = df.where(condition)
+    df = nan_to_null(df)
+    for condition in conditions:
+        df = df.where(condition)
+    return df.select(*[col(c) for c in columns]) if columns else df
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None, where: Sequence[Comparison] = ()
+) -> DataFrame:
     """CSV with a header; only an empty field is missing, codes such as XNA are values."""
     df = spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
-    return nan_to_null(df.select(*[col(c) for c in columns]) if columns else df)
+    return _scan(df, columns, where)
 
 
-def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return nan_to_null(df.select(*[col(c) for c in columns]) if columns else df)
+def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Sequence[Comparison] = ()) -> DataFrame:
+    return _scan(spark.read.parquet(path), columns, where)
 
 
-def read_table_dir(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_table_dir(
+    spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None, where: Sequence[Comparison] = ()
+) -> DataFrame:
     """One table of a folder of Parquet tables."""
-    return read_parquet(spark, f"{folder.rstrip('/')}/{name}.parquet", columns)
+    return read_parquet(spark, f"{folder.rstrip('/')}/{name}.parquet", columns, where)
 
 
 def read_contract(spark: SparkSession, path: str, drop: Sequence[str] = ("TARGET",)) -> T.StructType:

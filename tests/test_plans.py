@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.catalog import QUERIES
-from riskloom.operators import joins, ordered
+from riskloom.operators import association, joins, ordered
+from riskloom.sources import readers
 
 BATCH = sorted(
     n
@@ -58,3 +59,23 @@ def test_salting_gives_the_same_rows(spark):
         assert joins.unmatched(left, right, "k", salt).count() == left.where("k >= 50").count()
         joined = joins.left_join_one(left, right, "k", check=True, salt=salt)
         assert joined.count() == 300 and joined.agg(F.sum("w")).first()[0] == left.where("k < 50").agg(F.sum(F.expr("k * 2"))).first()[0]
+
+
+def test_floating_filters_reach_the_scan(spark, data_dir, tmp_path):
+    assert "GreaterThan(c_acctbal,0.0)" in plan(QUERIES["chained_semi_join"](spark, data_dir))
+    spark.sql("SELECT * FROM VALUES (1, 1D), (2, double('NaN')), (3, NULL), (4, -1D) AS t(k, x)").write.parquet(str(tmp_path / "t"))
+    for sign, kept in ((">", [1]), (">=", [1]), ("<", [4]), ("=", [])):
+        df = readers.read_parquet(spark, str(tmp_path / "t"), ["k"], [("x", sign, 0.0)])
+        assert sorted(r.k for r in df.collect()) == kept and df.columns == ["k"]
+        assert re.search(r"PushedFilters: \[IsNotNull\(x\), \w+\(x,0\.0\)", plan(df))
+    with pytest.raises(ValueError):
+        readers.read_parquet(spark, str(tmp_path / "t"), where=[("x", "=", float("nan"))])
+
+
+def test_partial_correlation_sums_do_not_grow_with_input_splits(spark, data_dir):
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey"]
+    df = spark.read.parquet(f"{data_dir}/lineitem.parquet").select(*columns)
+    few, many = (association.pearson_pairs(df.repartition(n), columns) for n in (2, 64))
+    assert re.search(r"Coalesce 4\b", plan(many))
+    first, second = ({(r.var_1, r.var_2): (r.n, round(r.corr, 9)) for r in x.collect()} for x in (few, many))
+    assert first == second and len(first) == 15
