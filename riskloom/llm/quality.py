@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import staged
 
-#: Labelled rows used at most for the scaling of the statistics and the kernel width (the fit itself uses all).
+#: Distinct labelled statistics used at most for their scaling and the kernel width (the fit itself uses all rows).
 SCALE_ROWS = 20_000
 FEATURES = 384
 RIDGES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
@@ -175,16 +175,29 @@ def isotonic(at: np.ndarray, good: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return knots, np.maximum.accumulate(heights)
 
 
+def _distinct_sample(used: DataFrame, distinct: int) -> np.ndarray:
+    """At most SCALE_ROWS of the about ``distinct`` different statistics, those of the least hashes.
+
+    Copies of a text count as one row, however many there are. Only what lies below twice the wanted share of the hashes
+    is gathered, so neither the shuffle nor the driver's part grows with the input.
+    """
+    place = F.xxhash64("stats")
+    if distinct > SCALE_ROWS:
+        used = used.filter(place < min((1 << 63) - 1, int((2 * SCALE_ROWS / distinct - 0.5) * 2.0**64)))
+    return np.array([r[0] for r in used.select("stats").distinct().orderBy(place).limit(SCALE_ROWS).collect()], dtype=float)
+
+
 def fit(labelled: DataFrame, seed: int = 20, features: int = FEATURES) -> Scorer:
     """A scorer from rows with stats, quality (0 or 1) and fold (0 or 1).
 
-    Scaling and kernel width come from at most SCALE_ROWS rows; all rows go into the normal equations. Each
+    Scaling and kernel width come from at most SCALE_ROWS different statistics; all rows go into the normal equations. Each
     fold is scored by the weights of the other to choose the ridge and to fit the calibration. Rows whose
     label is neither 0 nor 1 are left out. Without rows of both labels every score is the share of label 1,
     or one half without rows.
     """
     used = labelled.filter(F.col("quality").isin(0, 1)).select("stats", F.col("quality").cast("double").alias("quality"), F.col("fold").cast("int").alias("fold"))
-    sample = np.array([r[0] for r in used.select("stats").orderBy(F.xxhash64("stats")).limit(SCALE_ROWS).collect()], dtype=float)
+    totals = used.agg(F.count("*"), F.avg("quality"), F.approx_count_distinct(F.xxhash64("stats"))).first()
+    sample = _distinct_sample(used, totals[2])
     rng = np.random.default_rng(seed)
     width = sample.shape[1] if len(sample) else len(statistics(""))
     centre, scale = (np.median(sample, axis=0), sample.std(axis=0)) if len(sample) else (np.zeros(width), np.ones(width))
@@ -192,10 +205,10 @@ def fit(labelled: DataFrame, seed: int = 20, features: int = FEATURES) -> Scorer
     z = np.clip((sample - centre) / scale, -8, 8) if len(sample) else np.zeros((1, width))
     picks = rng.integers(0, len(z), (2, 2000))
     apart = np.linalg.norm(z[picks[0]] - z[picks[1]], axis=1)
-    gamma = max(float(np.median(apart)), 1e-3)
+    apart = apart[apart > 0]  # a row picked twice says nothing of the width
+    gamma = max(float(np.median(apart)), 1e-3) if len(apart) else 1.0
     scorer = Scorer(centre, scale, rng.normal(size=(width, features)) / gamma, rng.uniform(0, 2 * np.pi, features), np.zeros(features + width + 1))
     parts = _sums(used, scorer)
-    totals = used.agg(F.count("*"), F.avg("quality")).first()
     if not parts or totals[1] in (0.0, 1.0):
         share = 0.5 if not totals[0] else float(totals[1])
         scorer.heights = np.array([share, share])

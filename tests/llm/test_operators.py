@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from riskloom.llm import anchors, chosen_path, extract, fingerprint, hash_tree, learned_ann, packing, prefix_bpe, quality, separators
 from riskloom.llm.common import table
@@ -116,6 +117,26 @@ def test_quality_odd_rows(spark, docs, none):
     assert quality.quality(none, labels).collect() == []
 
 
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    """A text with the least hash and more copies than SCALE_ROWS, among others: the kernel keeps its width."""
+    monkeypatch.setattr(quality, "SCALE_ROWS", 100)
+    rng = np.random.default_rng(4)
+    width = len(quality.statistics(""))
+    stats = rng.normal(size=(600, width))
+    good = (np.sin(2 * stats[:, 0]) + stats[:, 1] > 0).astype(int)
+    schema = "stats array<double>, quality int, fold int"
+    rows = [(x.tolist(), int(y), i % 2) for i, (x, y) in enumerate(zip(stats, good))]
+    df = spark.createDataFrame(rows, schema)
+    least = df.orderBy(F.xxhash64("stats")).first()
+    alone = quality.fit(df)
+    for copies in (300, 3000):
+        scorer = quality.fit(df.union(spark.createDataFrame([tuple(least)] * copies, schema)))
+        assert np.allclose(scorer.directions, alone.directions) and np.allclose(scorer.scale, alone.scale)
+        assert 0.5 < scorer.scale.min() and 1 < 1 / scorer.directions.std() < 2 * np.sqrt(2 * width)
+    two = quality.fit(spark.createDataFrame([rows[0], rows[1]] * 2, schema))
+    assert 1 / two.directions.std() > 1
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     rows = rng.integers(1, 20, 50).astype(float)
