@@ -21,15 +21,17 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("br caption option optgroup summary tbody td tfoot th thead tr html body title".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 FENCES = frozenset("table ul ol dl select menu".split())
-# Elements that are never part of an article.
-NEVER = frozenset("script style noscript template head title nav aside footer form button select textarea input label datalist iframe object embed applet canvas svg math audio video map dialog menu noembed noframes".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-#: Words of class names and ids that mark what stands around an article.
+# Elements that are never part of an article. (A form may be: some servers put the whole page into one.)
+NEVER = frozenset("script style noscript template head title nav aside footer button select textarea input label datalist iframe object embed applet canvas svg math audio video map dialog menu noembed noframes".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Words of class names and ids that mark what stands around an article, unless the element holds the article.
 AROUND = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " nav navbar navigation menu submenu breadcrumb breadcrumbs toolbar pagination pager sidebar aside rail widget widgets header masthead topbar footer copyright colophon"
     " comment comments commentlist disqus reply replies respond social share sharing related recommended recommendations newsletter subscribe subscription signup login search searchform skip".split()
 )
+#: Those of them that count for article elements too.
+NOT_ARTICLES = frozenset("comment comments reply related ad advert promo sponsored".split())
 LIFTS = frozenset("article main".split())
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
@@ -39,10 +41,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "around", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "around", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, around: bool = False):
-        self.tag, self.parent, self.around = tag, parent, around
+    def __init__(self, tag: str, parent: Node | None, around: bool = False, named: bool = False):
+        self.tag, self.parent, self.around, self.named = tag, parent, around, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -67,13 +69,85 @@ def _is_around(tag: str, attributes: str, parents: Node | None) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in LIFTS | {"h1"} and not AROUND.isdisjoint(NAME.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply", "related", "ad", "advert", "promo", "sponsored"}.isdisjoint(NAME.findall(value)):
+    return False
+
+
+def _is_named(tag: str, attributes: str) -> bool:
+    """Whether a class, an id or being a form says that an element stands around the article; ``_settle`` has the last word."""
+    if tag == "form":
+        return True
+    if not attributes or tag in ("html", "body", "main", "h1"):
+        return False
+    words = NOT_ARTICLES if tag == "article" else AROUND
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
+        if (name == "role" and value == "form") or (name in ("class", "id") and not words.isdisjoint(NAME.findall(value))):
             return True
     return False
 
 
+def _settle(root: Node) -> None:
+    """Named elements are around the article unless they hold it.
+
+    One holds it that has a main or h1 element or the longest article element in it. On a page without main and article
+    elements, one does too that has most of the plain text (text outside links), if more than stands outside named elements
+    is in it and not in named elements of its own, as each of many comments is.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.around)
+    named = [n for n in order if n.named]
+    if not named:
+        return
+    articles = [n for n in order if n.tag == "article" and not n.named]
+    holds = [n for n in order if n.tag in ("main", "h1")]
+    told = bool(articles) or any(n.tag == "main" for n in holds)
+    if len(articles) > 1 or not told:
+        plain, inner = _plain(order)
+    holds += [max(articles, key=lambda n: plain[id(n)])] if len(articles) > 1 else articles
+    marked: set[int] = set()
+    for node in holds:
+        while node is not None and id(node) not in marked:
+            marked.add(id(node))
+            node = node.parent
+    for node in named:
+        node.around = id(node) not in marked
+    if told:
+        return
+    above: dict[int, Node] = {}  # the named element, or the page, that an element is in
+    outside = {id(root): inner[id(root)]}  # text of those that an element is in, but not in other named ones
+    for node in order[1:]:
+        above[id(node)] = node.parent if node.parent.named else above.get(id(node.parent), root)
+        if node.named:
+            outside[id(node)] = outside[id(above[id(node)])] + inner[id(node)]
+    for node in reversed(named):
+        up = above[id(node)]
+        if 2 * plain[id(node)] > plain[id(root)] and inner[id(node)] > outside[id(up)]:
+            node.around = False
+        if not node.around:
+            inner[id(up)] += inner[id(node)]
+
+
+def _plain(order: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
+    """Text outside links in every node of ``order`` (parents first), and how much of it is in no named element of the node."""
+    plain: dict[int, int] = {}
+    inner: dict[int, int] = {}
+    for node in reversed(order):
+        all_text = own_text = 0
+        if node.tag != "a":
+            for c in node.children:
+                if isinstance(c, str):
+                    size = len(SPACE.sub(" ", c).strip())
+                    all_text, own_text = all_text + size, own_text + size
+                elif not c.around:
+                    all_text += plain[id(c)]
+                    own_text += 0 if c.named else inner[id(c)]
+        plain[id(node)], inner[id(node)] = all_text, own_text
+    return plain, inner
+
+
 def parse(html: str) -> Node:
     """The tree of a page; text children are strings with references decoded. Never fails.
 
@@ -122,7 +196,7 @@ def parse(html: str) -> Node:
             if top.tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
                 top = close(top)
             attributes = m[3] or ""
-            node = Node(tag, top, top.around or _is_around(tag, attributes, top))
+            node = Node(tag, top, top.around or _is_around(tag, attributes, top), _is_named(tag, attributes))
             top.children.append(node)
             if tag in RAW:
                 found = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
@@ -142,6 +216,7 @@ def parse(html: str) -> Node:
                 node = node.parent
             if node is not root:
                 top = close(node)
+    _settle(root)
     return root
 
 

@@ -188,6 +188,32 @@ def test_extract(spark):
     assert got[1:] == [(2, "", 0), (3, "", 0), (4, "open tags", 9), (4, "no markup <here", 15), (None, "deep", 4)]
 
 
+ARTICLE = "<h1>A title</h1><p>First of the text, long enough to be real.</p><p>Second of the text, that goes on at length.</p>"
+TEXT = "A title First of the text, long enough to be real. Second of the text, that goes on at length."
+SMALL = '<div class="sidebar"><p>Read this too.</p></div><div id="related"><article class="card"><p>Another one.</p></article></div>'
+TALK = "".join(f'<li class="comment"><p>Reader {i} said this and that of it, at some length.</p></li>' for i in range(9))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<body><div class="layout with-sidebar"><article>{ARTICLE}</article>{SMALL}</div></body>', TEXT),
+        (f'<body><div class="no-sidebar">{ARTICLE}</div></body>', TEXT),
+        (f'<body><div id="page" class="has-header"><div class="skip-rail"><main>{ARTICLE}<div class="sidebar"><p>Read this too.</p></div></main></div></div></body>', TEXT),
+        (f'<body><form id="aspnetForm"><div>{ARTICLE}</div><input><button>Go</button></form></body>', TEXT),
+        (f'<body><form role="form"><div class="content">{ARTICLE}</div><div class="sidebar"><p>Read this too.</p></div></form></body>', TEXT),
+        (f'<body><article class="post">{ARTICLE.replace("<h1>A title</h1>", "<div class=entry-header><h1>A title</h1></div>")}<form>Mail <p>us</p></form></article></body>', TEXT),
+        (f'<body><div class="has-header"><div class="no-sidebar">{ARTICLE.replace("h1", "p")}</div></div></body>', TEXT),
+        (f'<body><article class="post related-open">{ARTICLE}</article></body>', TEXT),
+        (f'<body><div class="post">{ARTICLE}</div><div id="comments"><ol class="commentlist">{TALK}</ol></div></body>', TEXT),
+        (f'<body><div class="ad">{ARTICLE * 3}</div><article><p>A short text.</p></article></body>'.replace("h1", "p"), "A short text."),
+        (f'<body><article>{ARTICLE}</article><div hidden class="layout">{ARTICLE}</div><div class="nav">Go on</div></body>', TEXT),
+    ],
+)
+def test_named_wrappers(page, text):
+    assert extract.main_text(page) == text
+
+
 # 6
 
 
