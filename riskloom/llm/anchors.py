@@ -6,7 +6,7 @@ of ``block`` words is a probe, and a probe that meets a block of a document with
 Anchors are extended: all windows of ``window`` words that hold one are compared by a 96-bit hash, and those
 that start in a document with a smaller id cover their words; neighbouring ones make up maximal repeats.
 
-Documents are dealt to groups by a hash of their id. What a group asks of the index is one entry for each of
+Documents are dealt to groups by a hash of id and text, so rows of one id spread too; rows without an id take no part. What a group asks of the index is one entry for each of
 its distinct keys, so a passage that many documents share is one entry for each group, and no list of its
 documents or pairs of them is ever made. Entries travel in packed arrays, one for each group and bucket.
 """
@@ -315,7 +315,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tasks = shuffle_tasks(spark)
     groups, buckets = max(2 * tasks, math.ceil(total / GROUP_BYTES)), max(tasks, math.ceil(total / BUCKET_BYTES))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("_x_id"), whole.alias("_x_text"), *[F.col(c) for c in keep if c != text])
-    rows = rows.withColumn("_x_group", F.pmod(F.xxhash64("_x_id"), F.lit(groups)).cast("bigint"))
+    rows = rows.withColumn("_x_group", F.pmod(F.xxhash64("_x_id", "_x_text"), F.lit(groups)).cast("bigint"))
+    unknown, rows = rows.filter(F.col("_x_id").isNull()), rows.filter(F.col("_x_id").isNotNull())
     slim = rows.select("_x_group", "_x_id", "_x_text")
     asked, answer = "bucket bigint, group bigint, asked binary", "_x_group bigint, answer binary"
 
@@ -324,4 +325,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     extended = slim.groupBy("_x_group").cogroup(met.groupBy("_x_group")).applyInArrow(lambda d, a: _extended(d, a, window, block, buckets), asked)
     owners = staged(extended.groupBy("bucket").applyInArrow(_first_owner, answer), "owners")
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep if c != text)
-    return rows.groupBy("_x_group").cogroup(owners.groupBy("_x_group")).applyInArrow(lambda d, a: _finished(d, a, window, finish, result[1]), f"{fields}, {result[0]}")
+    fields = f"{fields + ', ' if fields else ''}{result[0]}"
+
+    def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = pa.table({"answer": pa.array([], type=pa.binary())})
+        for batch in batches:
+            yield from _finished(pa.Table.from_batches([batch]), nothing, window, finish, result[1]).to_batches()
+
+    known = rows.groupBy("_x_group").cogroup(owners.groupBy("_x_group")).applyInArrow(lambda d, a: _finished(d, a, window, finish, result[1]), fields)
+    return known.unionByName(unknown.mapInArrow(unchanged, fields))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -321,6 +322,24 @@ def test_cleaned_text_and_spans(docs):
     assert spans[8] == [[2, 62]] and spans[7] == [] and spans[9] == [[0, 1500], [1501, 3000]]
 
 
+def test_rows_of_one_id_or_none_spread(spark):
+    """Rows that share an id, or have none, are not all dealt to one task."""
+    from pyspark import TaskContext
+
+    finish = lambda raw, starts, ends, gone: (TaskContext.get().partitionId(), int(gone.sum()))
+    result = ("task bigint, n bigint", pa.schema([("task", pa.int64()), ("n", pa.int64())]))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        for one in (7, None):
+            rows = [(one, f"{PASSAGE} text {i}") for i in range(80)]
+            got = anchors.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), finish=finish, result=result).collect()
+            assert len(got) == 80 and {r.n for r in got} == {0} and len({r.task for r in got}) > 1
+    finally:
+        spark.conf.set(key, before)
+
+
 # 9
 
 
