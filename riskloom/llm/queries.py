@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import anchors, chosen_path, extract, fingerprint, hash_tree, learned_ann, packing, prefix_bpe, quality, separators
+from riskloom.llm import anchors, chosen_path, extract, fingerprint, geometric, hash_tree, learned_ann, packing, pivots, prefix_bpe, quality, rules, separators
 from riskloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,21 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.place(table(spark, sf_dir, "documents"), tree, hash_tree.with_new_region(tree, SHARDS))
 
 
+def op11_geometric_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest-scoring documents of every benchmark item."""
+    return geometric.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures, and whether the rules keep it."""
+    return rules.judged(table(spark, sf_dir, "documents")).drop("failed_rules")
+
+
+def op13_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of all documents with every word's near words, form and root."""
+    return pivots.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -83,7 +98,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_length_buckets, op2_separator_scan, op3_fourier_quality, op4_multiset_hash, op5_text_density, op6_prefix_bpe,
-        op7_learned_partitions, op8_fixed_anchors, op9_chosen_path, op10_hash_tree, pipeline,
+        op7_learned_partitions, op8_fixed_anchors, op9_chosen_path, op10_hash_tree,
+        op11_geometric_blocks, op12_threshold_table, op13_pivotal_grams, pipeline,
     )
 }
 
@@ -229,4 +245,95 @@ with crc_table as (
 select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by {UNIT.format(key="k")}, doc_id, size, text_crc32) - 1 as slot, grown_shard from p
 """
 
-ORACLES: dict[str, str] = {"op1_length_buckets": OP1_SQL, "op4_multiset_hash": OP4_SQL, "op8_fixed_anchors": OP8_SQL, "op9_chosen_path": OP9_SQL, "op10_hash_tree": OP10_SQL}
+_LOWERED = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWERED}, '{geometric.TERM}')"
+OP11_SQL = f"""
+with q as (
+  select distinct item_id, unnest({_TERMS.format(text="text")}) as term from benchmark
+), d as (
+  select row_number() over () as r, doc_id, {_TERMS.format(text="text")} as ts from documents
+), whole as (
+  select count(*) filter (len(ts) > 0) as docs, sum(len(ts))::bigint as total from d
+), tf as (
+  select r, term, count(*) as tf from (select r, unnest(ts) as term from d) where term in (select term from q) group by all
+), w as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, whole group by term, docs
+), scored as (
+  select item_id, d.doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * len(ts) * docs) // total)))))::bigint as score
+  from q join w using (term) join tf using (term) join d using (r), whole group by all
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10
+"""
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _failed() -> str:
+    """The threshold table as one condition."""
+    sides = []
+    for rule in rules.THRESHOLDS:
+        sides += [f"1000 * {rule.measure} < {rule.least} * {rule.per}"] if rule.least is not None else []
+        sides += [f"1000 * {rule.measure} > {rule.most} * {rule.per}"] if rule.most is not None else []
+    return " or ".join(sides)
+
+
+OP12_SQL = f"""
+with d as (
+  select row_number() over () as r, doc_id, t, regexp_extract_all(t, '{SPACES}') as ws, list_filter(list_transform(string_split(t, chr(10)), lambda x: {{w: x, s: trim(x, {_BLANKS})}}), lambda x: x.s <> '') as ls,
+    regexp_replace(t, '[^\\p{{L}}]+', '', 'g') as letters
+  from (select doc_id, coalesce(text, '') as t from documents)
+), windows as (
+  select r, s, count(*) over (partition by r, k) as c from (select r, s, array_to_string(ws[s:s + 2], ' ') as k from (select r, ws, unnest(range(1, len(ws) - 1)) as s from d where len(ws) >= 3))
+), covered as (
+  select r, count(distinct p) as n_repeat_words from (select r, unnest(range(s, s + 3)) as p from windows where c > 1) group by r
+), m as (
+  select doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::bigint as word_chars, length(regexp_replace(t, '[^{rules.SYMBOLS}]+', '', 'g'))::bigint as n_symbols,
+    (len(ls) - len(list_distinct(list_transform(ls, lambda x: x.w))))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(ls) as n_lines,
+    len(list_filter(ls, lambda x: ends_with(x.s, '...') or ends_with(x.s, '…'))) as n_cut_lines, len(list_filter(ls, lambda x: starts_with(x.s, '•') or starts_with(x.s, '- ') or starts_with(x.s, '* '))) as n_list_lines,
+    length(regexp_replace(t, '[^!?]+', '', 'g')) as n_marks, length(letters) as n_letters, length(regexp_replace(letters, '[^\\p{{Lu}}]+', '', 'g')) as n_capitals,
+    len(list_filter(ws, lambda w: rtrim(lower(w), '.,;:!?') in ({", ".join(f"'{w}'" for w in rules.STOP_WORDS)}))) as n_stop_words
+  from d left join covered using (r)
+), judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({_failed()}) as kept from judged
+"""
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: cast('0x' || b as bigint))), lambda s, b: xor(tab[xor(s & 255, b) + 1], s >> 8)))"""
+OP13_SQL = f"""
+with recursive crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b::bigint, list_transform(range(8), lambda i: i::bigint)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab
+), runs as (
+  select coalesce(doc_id::varchar, '') as id, run, count(*) as c from (select doc_id, unnest(regexp_extract_all({_LOWERED.format(text="text")}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) as run from documents) where length(run) >= 6 group by all
+), hashed as (
+  select run, c, {_CRC.format(text="id || ':' || run")} as h from runs, crc_table
+), words as (
+  select word, sum(c)::bigint as n from (select c, case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed) where length(word) >= 6 group by word having sum(c) >= 5
+), lost as (
+  select word, p, left(word, p) || substr(word, p + 2) as rest from (select word, unnest(range(length(word)))::int as p from words)
+), near as (
+  select a.word as a, b.word as b from lost a join lost b on a.p = b.p and a.rest = b.rest and a.word <> b.word
+  union select lost.word, words.word from lost join words on rest = words.word union select words.word, lost.word from lost join words on rest = words.word
+), best as (
+  select a, count(*) as n_near, arg_min(b, (-w.n, b)) as form, max(w.n) as form_n from near join words w on w.word = b group by a
+), formed as (
+  select word, n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 5 * n then form end as form, case when form_n >= 5 * n then form_n end as form_n from words left join best on a = word
+), path(word, root) as (
+  select word, word from formed union all select path.word, f.form from path join formed f on f.word = path.root where f.form is not null
+), ends as (
+  select path.word, root from path join formed f on f.word = root where f.form is null
+)
+select word, form, root, n, n_near, form_n from formed join ends using (word)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_length_buckets": OP1_SQL,
+    "op4_multiset_hash": OP4_SQL,
+    "op8_fixed_anchors": OP8_SQL,
+    "op9_chosen_path": OP9_SQL,
+    "op10_hash_tree": OP10_SQL,
+    "op11_geometric_blocks": OP11_SQL,
+    "op12_threshold_table": OP12_SQL,
+    "op13_pivotal_grams": OP13_SQL,
+}
