@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,57 +22,67 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - frozenset("br caption option optgroup summary tbody td tfoot th thead tr html body title".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 FENCES = frozenset("table ul ol dl select menu".split())
-# Elements that are never part of an article. (A form may be: some servers put the whole page into one.)
-NEVER = frozenset("script style noscript template head title nav aside footer button select textarea input label datalist iframe object embed applet canvas svg math audio video map dialog menu noembed noframes".split())
+# Elements whose content is not text of the page.
+NEVER = frozenset("script style noscript template head title button select textarea input label datalist iframe object embed applet canvas svg math audio video map dialog noembed noframes".split())
+# Elements that stand around an article. (A form may hold one: some servers put the whole page into one.)
+BESIDE = frozenset("nav aside footer menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class names and ids that mark what stands around an article, unless the element holds the article.
 AROUND = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " nav navbar navigation menu submenu breadcrumb breadcrumbs toolbar pagination pager sidebar aside rail widget widgets header masthead topbar footer copyright colophon"
-    " comment comments commentlist disqus reply replies respond social share sharing related recommended recommendations newsletter subscribe subscription signup login search searchform skip".split()
+    " comment comments commentlist disqus reply replies respond responses discussion talkback guestbook share sharing related recommended recommendations newsletter subscribe subscription"
+    " signup login search searchform skip".split()
 )
 #: Those of them that count for article elements too.
 NOT_ARTICLES = frozenset("comment comments reply related ad advert promo sponsored".split())
 LIFTS = frozenset("article main".split())
-
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a paragraph or several by themselves, even without elements in them.
+PARAGRAPHS = HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
+#: Parts of a block, which is what is chosen.
+INNER = HEADINGS | frozenset("p li dd dt blockquote pre td th tr tbody thead tfoot ul ol dl table figure figcaption caption".split())
+#: Blocks in which a start tag looks for an open paragraph to end.
+HOLDS_P = frozenset("p div section article td th li body main form button".split()) | FENCES
+
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
 NAME = re.compile(r"[a-z]+|\d+")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "around", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "never", "around", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, around: bool = False, named: bool = False):
-        self.tag, self.parent, self.around, self.named = tag, parent, around, named
+    def __init__(self, tag: str, parent: Node | None, never: bool = False, around: bool = False, named: bool = False):
+        self.tag, self.parent, self.never, self.around, self.named = tag, parent, never, around, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_around(tag: str, attributes: str, parents: Node | None) -> bool:
+def _is_hidden(tag: str, attributes: str) -> bool:
+    """Whether a page does not show the element."""
     if tag in NEVER:
         return True
-    inside = False
-    if tag == "header":
-        node = parents
-        while node is not None and not inside:
-            inside = node.tag in LIFTS
-            node = node.parent
-        if not inside:
-            return True
     if not attributes or tag in ("html", "body"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name == "role" and value in ROLES:
-            return True
     return False
 
 
+def _is_beside(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element says that it stands beside the article."""
+    if tag in BESIDE or (tag == "header" and not in_article):
+        return True
+    if not attributes or tag in ("html", "body"):
+        return False
+    return any(m[1].lower() == "role" and unescape(m[2] or m[3] or m[4] or "").lower() in ROLES for m in ATTRIBUTE.finditer(attributes))
+
+
 def _is_named(tag: str, attributes: str) -> bool:
     """Whether a class, an id or being a form says that an element stands around the article; ``_settle`` has the last word."""
     if tag == "form":
@@ -97,7 +108,7 @@ def _settle(root: Node) -> None:
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(c for c in node.children if not isinstance(c, str) and not c.around)
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.around and not c.never)
     named = [n for n in order if n.named]
     if not named:
         return
@@ -141,92 +152,141 @@ def _plain(order: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
                 if isinstance(c, str):
                     size = len(SPACE.sub(" ", c).strip())
                     all_text, own_text = all_text + size, own_text + size
-                elif not c.around:
+                elif not c.around and not c.never:
                     all_text += plain[id(c)]
                     own_text += 0 if c.named else inner[id(c)]
         plain[id(node)], inner[id(node)] = all_text, own_text
     return plain, inner
 
 
+class _Open:
+    """The open elements of a page that is read, and what of them is asked again and again, so that no tag walks up the page."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.count: Counter[str] = Counter()
+        self.holds_p = [0]  # places of the elements that a paragraph does not cross
+        self.inline: list[Counter[str]] = [Counter()]  # inline elements open since each block
+        self.fences: list[dict[str, int]] = [{}]  # place of the outermost li, dt, ... since each list or table
+        self.tables: list[dict[str, int]] = [{}]  # of the outermost tr, td, ... since each table
+
+    def push(self, node: Node) -> None:
+        at, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.count[tag] += 1
+        if tag in HOLDS_P:
+            self.holds_p.append(at)
+        if tag in BLOCKS:
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+        if tag in SAME_CLOSES:
+            self.fences[-1].setdefault(tag, at)
+            self.tables[-1].setdefault(tag, at)
+        if tag in FENCES:
+            self.fences.append({})
+        if tag == "table":
+            self.tables.append({})
+
+    def close(self, at: int) -> None:
+        """Close all elements from that place on; the page itself stays."""
+        while len(self.stack) > max(at, 1):
+            node = self.stack.pop()
+            place, tag = len(self.stack), node.tag
+            self.count[tag] -= 1
+            if self.holds_p[-1] == place:
+                self.holds_p.pop()
+            if tag in FENCES:
+                self.fences.pop()
+            if tag == "table":
+                self.tables.pop()
+            if tag in BLOCKS:
+                self.inline.pop()
+            else:
+                self.inline[-1][tag] -= 1
+            for scope in (self.fences[-1], self.tables[-1]):
+                if scope.get(tag) == place:
+                    del scope[tag]
+
+    def before(self, tag: str) -> None:
+        """What a start tag closes: an open paragraph, and items or cells of its kind."""
+        if tag in CLOSES_P and self.stack[self.holds_p[-1]].tag == "p":
+            self.close(self.holds_p[-1])
+        if tag in SAME_CLOSES:
+            scope = (self.fences if tag in ("li", "dt", "dd", "option") else self.tables)[-1]
+            found = [scope[t] for t in SAME_CLOSES[tag] if t in scope]
+            if found:
+                self.close(min(found))
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes up to its element, if that is open, and open since the last block for an inline one."""
+        if (self.count if tag in BLOCKS else self.inline[-1])[tag] > 0:
+            at = len(self.stack) - 1
+            while self.stack[at].tag != tag:
+                at -= 1
+            self.close(at)
+
+
 def parse(html: str) -> Node:
     """The tree of a page; text children are strings with references decoded. Never fails.
 
     Elements left open close where their parent does; a paragraph also at the next block; end tags without
-    a start are passed over; what a cut-off page ends in is read as far as it goes.
+    a start are passed over; what a cut-off page ends in is read as far as it goes. The time is in proportion to the page.
     """
     root = Node("html", None)
-    top, at, size = root, 0, len(html)
-
-    def close(upto: Node) -> Node:
-        return upto.parent if upto.parent is not None else root
-
+    opened, at, size = _Open(root), 0, len(html)
+    in_article = opened.count
     while at < size:
         m = TOKEN.search(html, at)
         stop = m.start() if m else size
+        top = opened.stack[-1]
         if stop > at:
             top.children.append(unescape(html[at:stop]))
         if not m:
             break
         at = m.end()
-        end, start = m[1], m[2]
+        end, start = m[1], m[2] or m[4]
         if start:
             tag = start.lower()
             if tag in ("html", "body"):
-                top = root if tag == "html" or top.tag == "head" else top
-                if tag == "body" and top is root:
+                if tag == "html" or top.tag == "head":
+                    opened.close(1)
+                if tag == "body" and len(opened.stack) == 1:
                     body = Node("body", root)
                     root.children.append(body)
-                    top = body
+                    opened.push(body)
                 continue
-            if tag in CLOSES_P:
-                node = top
-                while node is not root and node.tag not in FENCES and node.tag not in ("p", "div", "section", "article", "td", "th", "li", "body", "main", "form", "button"):
-                    node = node.parent
-                if node.tag == "p":
-                    top = close(node)
-            if tag in SAME_CLOSES:
-                node = top
-                found = None
-                while node is not root and node.tag not in (FENCES if tag in ("li", "dt", "dd", "option") else {"table"}):
-                    if node.tag in SAME_CLOSES[tag]:
-                        found = node
-                    node = node.parent
-                if found is not None:
-                    top = close(found)
-            if top.tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
-                top = close(top)
-            attributes = m[3] or ""
-            node = Node(tag, top, top.around or _is_around(tag, attributes, top), _is_named(tag, attributes))
+            opened.before(tag)
+            if opened.stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
+                opened.close(len(opened.stack) - 1)
+            top = opened.stack[-1]
+            attributes = m[3] or m[5] or ""
+            inside = in_article["article"] + in_article["main"] > 0
+            never = top.never or _is_hidden(tag, attributes)
+            node = Node(tag, top, never, top.around or _is_beside(tag, attributes, inside), _is_named(tag, attributes))
             top.children.append(node)
             if tag in RAW:
                 found = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
                 at = found.start() if found else size
             elif tag not in VOID and not (attributes.endswith("/") and tag in ("path", "use", "circle", "rect", "line", "g", "svg")):
-                top = node
+                opened.push(node)
         elif end:
             tag = end.lower()
             if tag == "br":
-                top.children.append(Node("br", top, top.around))
-                continue
-            node = top
-            while node is not root and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                top = close(node)
+                top.children.append(Node("br", top, top.never, top.around))
+            else:
+                opened.end(tag)
     _settle(root)
     return root
 
 
 def _walk(root: Node) -> list[Node]:
-    """All nodes that are not around the article, parents before children."""
+    """All nodes that a page shows, parents before children."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.around)
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.never)
     return out
 
 
@@ -235,19 +295,17 @@ def weigh(nodes: list[Node]) -> None:
 
     Characters per tag, lowered by the share of characters and tags that are links, against the whole body.
     """
+    own: dict[int, int] = {}
     for node in reversed(nodes):
-        link = node.tag == "a"
-        node.tags, node.link_tags = 0, 0
-        node.chars = node.link_chars = 0
+        node.tags = node.link_tags = node.link_chars = 0
+        node.chars = own[id(node)] = sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
         for c in node.children:
-            if isinstance(c, str):
-                node.chars += len(SPACE.sub(" ", c).strip())
-            elif not c.around:
+            if not isinstance(c, str) and not c.never:
                 node.chars += c.chars
                 node.link_chars += c.link_chars
                 node.tags += c.tags + 1
                 node.link_tags += c.link_tags + (c.tag == "a")
-        if link:
+        if node.tag == "a":
             node.link_chars = node.chars
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
@@ -261,53 +319,59 @@ def weigh(nodes: list[Node]) -> None:
         else:
             node.density = 0.0
     for node in nodes:
-        node.total = sum(c.density for c in node.children if not isinstance(c, str) and not c.around)
-        own = sum(len(SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
-        if own:
-            node.total += own  # text of its own stands for a child without tags
+        # Text of its own stands for a child without tags.
+        node.total = own[id(node)] + sum(c.density for c in node.children if not isinstance(c, str) and not c.never)
 
 
-def choose(root: Node) -> list[Node]:
-    """The subtrees that hold the article, in page order.
+def choose(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the article, in page order, and the threshold of densities.
 
-    The node of the largest density sum sets the threshold: the least density on the way from the body to
-    it. A paragraph-like node stands for the block it is in, and a node in an article or main element for
-    that element. Then, level by level on that way, siblings whose density reaches the threshold come too.
+    All that the page shows is weighed, menus and footers too. Of what does not say that it stands beside the article, the
+    node of the largest density sum is chosen; the threshold is the least density on the way from the body to it. A
+    paragraph stands for the block it is in; a node with most of the plain text of an article or main element, for that
+    element. Then, level by level on the way, headings come too, and siblings whose density reaches the threshold and that
+    are no link list, if they are paragraphs or have elements whose densities add up to it.
     """
     nodes = _walk(root)
     weigh(nodes)
     if not nodes[0].chars:
-        return []
-    best = max(nodes, key=lambda n: n.total)
+        return [], 0.0
+    best = max((n for n in nodes if not n.around), key=lambda n: n.total)
     path, node = [], best
     while node is not None:
         path.append(node)
         node = node.parent
-    lifted = [n for n in path if n.tag in LIFTS and not n.around]
-    if lifted:
-        return [lifted[-1]]
-    while best.parent is not None and best.parent.tag not in ("html", "body") and (best.tag not in BLOCKS or best.tag in ("p", "li", "dd", "dt", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "tbody", "ul", "ol", "dl")):
+    threshold = min((n.density for n in path if n.tag != "html"), default=0.0)
+    plain = best.chars - best.link_chars
+    for node in path[1:]:
+        if node.tag in LIFTS and 2 * plain >= node.chars - node.link_chars:
+            best = node
+    while best.parent is not None and best.parent.tag not in ("html", "body") and (best.tag not in BLOCKS or best.tag in INNER):
         best = best.parent
-    way = [n for n in path if n.tag != "html"]
-    threshold = min((n.density for n in way), default=0.0)
     inside = set(map(id, path[path.index(best) :])) if best in path else {id(best)}
     chosen: list[Node] = []
 
-    def mark(node: Node) -> None:
-        stack = [node]
-        while stack:
-            n = stack.pop()
-            if n is best or (id(n) not in inside and n.chars and n.density >= threshold and n.link_chars * 2 < n.chars):
-                chosen.append(n)
-            elif id(n) in inside:
-                stack.extend(c for c in reversed(n.children) if not isinstance(c, str) and not c.around)
+    def belongs(n: Node) -> bool:
+        if n.tag == "h1":
+            return True
+        dense = n.density >= threshold and 2 * n.link_chars < n.chars
+        return dense and (n.tag in PARAGRAPHS or sum(c.density for c in n.children if not isinstance(c, str) and not c.never) >= threshold)
 
-    mark(nodes[0])
-    return chosen or [best]
+    stack = [nodes[0]]
+    while stack:
+        n = stack.pop()
+        if n is best or (id(n) not in inside and n.chars and belongs(n)):
+            chosen.append(n)
+        elif id(n) in inside:
+            stack.extend(c for c in reversed(n.children) if not isinstance(c, str) and not c.never and not c.around)
+    return chosen or [best], threshold
 
 
-def text_of(nodes: list[Node]) -> list[str]:
-    """The blocks of text below ``nodes``, in page order, white space made one space and trimmed."""
+def text_of(nodes: list[Node], threshold: float = 0.0) -> list[str]:
+    """The blocks of text below ``nodes``, in page order, white space made one space and trimmed.
+
+    What says that it stands beside the article is left out, and so are blocks below the threshold that are mostly links.
+    """
     blocks, run = [], []
 
     def flush() -> None:
@@ -324,8 +388,10 @@ def text_of(nodes: list[Node]) -> list[str]:
                 flush()
             elif isinstance(item, str):
                 run.append(item)
-            elif not item.around:
+            elif not item.never and not item.around:
                 block = item.tag in BLOCKS
+                if block and item is not top and 2 * item.link_chars > item.chars and item.density < threshold:
+                    continue
                 if block:
                     flush()
                     stack.append(None)
@@ -338,7 +404,7 @@ def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by one space; empty for null, empty or textless pages."""
     if not html:
         return ""
-    return " ".join(text_of(choose(parse(html))))
+    return " ".join(text_of(*choose(parse(html))))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

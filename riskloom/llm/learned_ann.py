@@ -2,7 +2,7 @@
 
 The neighbour graph of a bounded sample is cut into parts of equal size; a small network learns which parts
 a vector's neighbours lie in. Every row is indexed under its likeliest part; a query is compared exactly with
-all rows of its several likeliest parts. How many is set on held-out rows of the sample, for a wanted recall.
+all rows of its several likeliest parts. How many is set on held-out rows, for a wanted recall.
 """
 
 from __future__ import annotations
@@ -12,17 +12,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import staged
 
 #: Rows that the graph is built on, and rows that the number of parts to search is set on, at most.
 SAMPLE, HELD_OUT = 8192, 512
-#: Rows of a part that one task compares.
-BLOCK = 4096
+#: Rows of a part, and queries routed to it, that one task compares at once, on average.
+BLOCK, QUERIES = 32_768, 8_192
+#: Parts are at least so many, whatever the number of rows, and a part of a sample that teaches them has at least so many rows.
+LEAST_PARTS, TAUGHT_BY = 32, 8
 
 
 def top_products(queries: np.ndarray, rows: np.ndarray, k: int, same: bool = False) -> np.ndarray:
@@ -135,9 +136,10 @@ def train(x: np.ndarray, wanted: np.ndarray, rng: np.random.Generator, hidden: i
 
 
 def fit(sample: np.ndarray, held_out: np.ndarray, parts: int, k: int, recall: float, seed: int = 7) -> Router:
-    """A router over ``parts`` parts (a power of two) that searches as few of them as give ``recall``."""
+    """A router over ``parts`` parts (a power of two) that searches as few of them as give ``recall`` of the ``k`` nearest
+    rows of the sample."""
     rng = np.random.default_rng(seed)
-    if parts <= 1 or len(sample) < 8 * parts:
+    if parts <= 1:
         d = sample.shape[1]
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     near = top_products(sample, sample, 16, same=True)
@@ -158,6 +160,14 @@ def fit(sample: np.ndarray, held_out: np.ndarray, parts: int, k: int, recall: fl
     return router
 
 
+def parts_of(rows: int, sample: int, rows_per_part: int, most_parts: int) -> int:
+    """How many parts: one rule at all sizes. A power of two near rows / rows_per_part, from LEAST_PARTS to ``most_parts``, and
+    no more than a sample can teach; fewer than two from a sample of less than sixteen rows."""
+    wanted = 1 << max(0, round(math.log2(max(1, rows / rows_per_part))))
+    taught = 1 << max(0, int(math.log2(max(1, sample / TAUGHT_BY))))
+    return min(max(wanted, LEAST_PARTS), most_parts, taught)
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, vector (array<double>) of the rows that take part, each id once.
 
@@ -170,13 +180,47 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
     return rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).filter(sound).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.96, rows_per_part: int = 2000, most_parts: int = 256, seed: int = 7) -> DataFrame:
+def _vectors(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten()).reshape(-1, d)
+
+
+def _compare(d: int, k: int):
+    """The k best rows of a block for every query of a chunk."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            q, c = _vectors(left.column("query"), d), _vectors(right.column("vector"), d)
+            qid, cid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+            longest = np.linalg.norm(c, axis=1).max()
+            for a in range(0, len(q), 128):
+                s = q[a : a + 128] @ c.T
+                s[qid[a : a + 128, None] == cid[None, :]] = -np.inf
+                cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                size = np.linalg.norm(q[a : a + 128], axis=1) * longest
+                for i in range(len(s)):
+                    near = np.flatnonzero((s[i] >= cut[i] - 1e-12 * size[i]) & (s[i] > -np.inf))
+                    score = np.cumsum(c[near] * q[a + i], axis=1)[:, -1]
+                    best = np.lexsort((cid[near], -score))[:k]
+                    found.append((np.full(len(best), qid[a + i]), cid[near][best], score[best]))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    return compare
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, rows_per_part: int = BLOCK, most_parts: int = 256, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: for ids divisible by ``every``, the ``k`` rows found of largest inner product.
 
     Products are summed in double precision in order of the components; ties go to the smaller id; a query
     is not its own candidate. A query that its parts leave with fewer than ``k`` candidates is compared with
-    all parts, so every query gets ``k`` rows, or all candidates. Parts are cut into blocks of BLOCK rows
-    by a hash of the id, so a part that holds most rows is many tasks. Vectors whose length is not the commonest one take no part.
+    all parts, so every query gets ``k`` rows, or all candidates. Rows of a part are cut into blocks and its queries into
+    chunks, by hashes of their ids, so that a part that holds most rows or queries is many tasks of bounded size. Vectors
+    whose length is not the commonest one take no part.
+
+    How many parts a query searches is set on held-out rows: of all rows' ``k`` nearest as many stand in the sample as the
+    sample is of all rows, so that many nearest rows of the sample must be found.
     """
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -186,50 +230,43 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.
         return spark.createDataFrame([], schema)
     d, n = sizes["d"], sizes["count"]
     rows = rows.filter(F.size("vector") == d)
-    drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE + HELD_OUT).collect()
-    x = np.array([r["vector"] for r in drawn])
-    parts = min(most_parts, 1 << max(0, round(math.log2(max(1, n / rows_per_part)))))
+    x = _vectors(rows.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(SAMPLE + HELD_OUT).select("vector").toArrow().column("vector"), d)
     held = min(HELD_OUT, len(x) // 8)
-    router = fit(x[held:], x[:held], parts, k, recall, seed) if len(x) > held else fit(x, x[:0], 1, k, recall, seed)
+    parts = parts_of(n, len(x) - held, rows_per_part, most_parts)
+    router = fit(x[held:], x[:held], parts, min(k, max(1, math.ceil(k * len(x) / n))), recall, seed)
     shared = spark.sparkContext.broadcast(router)  # some ten thousand numbers, whatever the input
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 column = batch.column("vector")
-                ranks = np.argsort(-shared.value.chances(np.asarray(column.flatten()).reshape(-1, d)), axis=1, kind="stable").astype(np.int32)
+                ranks = np.argsort(-shared.value.chances(_vectors(column, d)), axis=1, kind="stable").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), column, pa.array(list(ranks), type=pa.list_(pa.int32()))], names=["vec_id", "vector", "parts"])
 
     routed = staged(rows.mapInArrow(route, "vec_id bigint, vector array<double>, parts array<int>"), "routed")
-    counts = {r[0]: r[1] for r in routed.groupBy(F.col("parts")[0]).count().collect()}  # a row for each part
-    blocks = F.create_map(*[F.lit(v).cast("int") for p, c in counts.items() for v in (p, math.ceil(c / BLOCK))])
-    index = routed.select("vec_id", "vector", F.col("parts")[0].alias("part"))
-    index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("part"))).cast("int"))
+    # A row for each part: what it holds, and below what is asked of it.
+    counts = {r[0]: r[1] for r in routed.groupBy(F.col("parts")[0]).count().collect()}
     filled = F.array(*[F.lit(p).cast("int") for p in counts])
     size_of = F.create_map(*[F.lit(v) for p, c in counts.items() for v in (p, c)])
     asked = routed.filter(F.col("vec_id") % every == 0).withColumn("parts", F.filter("parts", lambda p: F.array_contains(filled, p)))
     first = F.slice("parts", 1, router.probes)
     reach = F.aggregate(first, F.lit(0).cast("bigint"), lambda a, p: a + F.element_at(size_of, p))
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.explode(F.when(reach > k, first).otherwise(F.col("parts"))).alias("part"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")) - 1)))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            q, c = np.array(left["query"].tolist()), np.array(right["vector"].tolist())
-            qid, cid = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
-            for a in range(0, len(q), 256):
-                s = q[a : a + 256] @ c.T
-                s[qid[a : a + 256, None] == cid[None, :]] = -np.inf
-                cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                size = np.linalg.norm(q[a : a + 256], axis=1) * np.linalg.norm(c, axis=1).max()
-                for i in range(len(s)):
-                    near = np.flatnonzero((s[i] >= cut[i] - 1e-12 * size[i]) & (s[i] > -np.inf))
-                    score = np.cumsum(c[near] * q[a + i], axis=1)[:, -1]
-                    best = np.lexsort((cid[near], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": qid[a + i], "vec_id": cid[near][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    queries = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect()}
+    if not queries:
+        return spark.createDataFrame([], schema)
 
-    found = asked.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInPandas(compare, "query_id bigint, vec_id bigint, score double")
+    def pieces(sizes: dict[int, int], at_once: int) -> Column:
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(v).cast("int") for p, c in sizes.items() for v in (p, math.ceil(c / at_once))]), F.col("part")), F.lit(1))
+
+    def each(count: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    blocks, chunks = pieces(counts, BLOCK), pieces(queries, QUERIES)
+    index = routed.select("vec_id", "vector", F.col("parts")[0].alias("part"))
+    index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).withColumn("chunk", each(chunks))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), chunks).cast("int")).withColumn("block", each(blocks))
+    group = ("part", "block", "chunk")
+    found = asked.groupBy(*group).cogroup(index.groupBy(*group)).applyInArrow(_compare(d, k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
