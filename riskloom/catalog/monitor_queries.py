@@ -12,12 +12,12 @@ from riskloom.catalog.registry import query
 from riskloom.catalog.views import r, settled, table, view, with_views
 from riskloom.functions import text
 from riskloom.functions.scalars import spread_sql
-from riskloom.operators import contract, drift, timeline, validation
+from riskloom.operators import contract, drift, joins, timeline, validation
 from riskloom.plans.monitoring import analyse
 from riskloom.schemas import Rule
 from riskloom.session import staging_path
 from riskloom.sources import readers, writers
-from riskloom.streaming import jobs
+from riskloom.streaming import jobs, outcomes
 
 REFERENCE_ROWS = 500
 BUCKET = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -560,10 +560,31 @@ def _event_stream(spark, sf_dir):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+DELIVERIES = 4
+
+
+def _delivered(spark, sf_dir, again: str | None = None) -> DataFrame:
+    """The events as a stream of several micro-batches, one stretch of time after the other.
+
+    ``again`` delivers some twice: ``next`` each stretch once more with the following one, ``late`` the first stretch once
+    more after the last.
+    """
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = events.selectExpr(f"percentile_approx(ts, array({', '.join(str(i / DELIVERIES) for i in range(1, DELIVERIES))})) AS c").first()["c"]
+    stretch = sum((F.when(F.col("ts") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    folder = staging_path(spark, "deliveries")
+    for i in range(DELIVERIES + (again is not None)):
+        parts = [i, *([i - 1] if again == "next" else [])] if i < DELIVERIES or again == "next" else [0]
+        events.where(stretch.isin(parts)).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return readers.stream_parquet(spark, folder, "events", events.schema, files=1)
+
+
 def _drained(spark, stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Run a stream over everything available and read what its sink wrote."""
     folder = staging_path(spark, name)
     jobs.drain(stream, jobs.batch_sink(f"{folder}/out"), f"{folder}/progress", mode)
+    # A restart goes on where the first run stopped, and finds nothing new.
+    jobs.drain(stream, jobs.batch_sink(f"{folder}/out"), f"{folder}/progress", mode)
     return jobs.read_batches(spark, f"{folder}/out", stream.schema)
 
 
@@ -572,8 +593,8 @@ LOG_STREAM = """select event_id as id, ts as created_at, user_id as sk_id_curr,
     case when event_type = 'error' then null when value > 50 then 'refusé' else 'accordé' end as decision from events"""
 
 
-def _log_stream(spark, sf_dir):
-    events = _event_stream(spark, sf_dir)
+def _log_stream(spark, sf_dir, again=None):
+    events = _delivered(spark, sf_dir, again)
     return events.selectExpr(
         "event_id as id",
         "ts as created_at",
@@ -592,8 +613,9 @@ def _log_stream(spark, sf_dir):
     from ({LOG_STREAM}) t group by 1""",
 )
 def stream_kpis(spark, sf_dir):
+    """Several micro-batches; what comes again long after its hour is refused by the watermark."""
     live = jobs.live_kpis(
-        _log_stream(spark, sf_dir), "created_at", "1 hour", "10 minutes", F.col("status"), F.col("decision") == "refusé"
+        _log_stream(spark, sf_dir, "late"), "created_at", "1 hour", "10 minutes", F.col("status"), F.col("decision") == "refusé"
     )
     return settled(_shown(jobs.latest(_drained(spark, live, "kpis", "update"), ["bucket"])))
 
@@ -647,31 +669,76 @@ def stream_enrich(spark, sf_dir):
     return _drained(spark, stream.select("event_id", "order_count", "history_found"), "enrich", "append").drop("batch")
 
 
+SCORE_RULES = (
+    Rule("event_id", "int", ge=0),
+    Rule("SK_ID_CURR", "int", ge=0),
+    Rule("value", "float", gt=1, le=100),
+    Rule("event_type", "choice", choices=("click", "purchase", "signup", "view")),
+)
+
+
+def _faulty_model(rows):
+    """A model that gives value / (value + 50), and fails in three ways: by raising, by raising otherwise, by a result out of range."""
+    if (rows["value"] > 90).any():
+        raise OverflowError("value")
+    if (rows["event_id"] % 101 == 0).any():
+        raise KeyError("event_id")
+    p = rows["value"] / (rows["value"] + 50)
+    return p.where(rows["event_id"] % 89 != 0, 1.5)
+
+
+def _event_calls(spark, sf_dir) -> DataFrame:
+    """Events as calls: every fiftieth body is broken, every third has further fields, some values break the rules."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    extra = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("channel"), F.col("event_type")))
+    whole = F.to_json(F.struct("event_id", F.col("user_id").alias("SK_ID_CURR"), "value", "event_type", extra.alias("extra_fields")))
+    broken = F.when(F.col("event_id") % 50 == 7, F.left("whole", F.lit(9))).otherwise(F.col("whole"))
+    latency = F.floor(F.col("value") * 3).cast("int")
+    return events.withColumn("whole", whole).select(
+        F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "user_id", latency.alias("latency_ms"), broken.alias("body")
+    )
+
+
 @query(
     "stream_score",
-    """select sk_id_curr, decision, status, origine, count(*) as n from (
-      select user_id as sk_id_curr, case when value / (value + 50) > 0.24 then 'refusé' else 'accordé' end as decision, 'succes' as status,
-        'production' as origine from events) t group by all""",
+    f"""with c as (
+      select *, event_id % 50 = 7 as broken, value / (value + 50) as p from events
+    ), e as (
+      select *, case when broken then 'json_invalid' when value <= 1 then 'greater_than:value' when value > 100 then 'less_than_equal:value'
+        when event_type = 'error' then 'literal_error:event_type' end as refused,
+        case when value > 90 then 'OverflowError' when event_id % 101 = 0 then 'KeyError' when event_id % 89 = 0 then 'ValidationError' end as failed from c
+    ), o as (
+      select *, case when refused is not null then 'validation' when failed is not null then 'erreur' else 'succes' end as status from e
+    )
+    select event_id as id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, case when not broken then user_id end as sk_id_curr, 'v4' as model_version, {r("0.24")} as threshold,
+      case when status = 'succes' then {r("p")} end as probability,
+      case when status = 'succes' then case when p > 0.24e0 then 'refusé' else 'accordé' end end as decision,
+      case when status = 'succes' then user_id in (select o_custkey from orders) end as history_found,
+      case when status <> 'validation' then cast(floor(value * 3) as int) end as latency_ms, status, coalesce(refused, failed) as error_type, 'production' as origine,
+      case when not broken then event_id end as f_event_id, case when not broken then {r("value")} end as f_value, case when not broken then event_type end as f_event_type,
+      case when not broken and event_id % 3 = 0 and status <> 'erreur' then event_type end as f_channel
+    from o""",
 )
 def stream_score(spark, sf_dir):
-    """Score a stream and append it to the log."""
+    """Good, refused and failing calls in several micro-batches, all in one log; a restart finds nothing new."""
     folder = staging_path(spark, "scored")
-
-    def score(batch: DataFrame) -> DataFrame:
-        p = F.col("value") / (F.col("value") + 50)
-        return batch.select(
-            F.col("event_id").alias("id"),
-            F.col("ts").alias("created_at"),
-            F.col("user_id").alias("sk_id_curr"),
-            p.alias("probability"),
-            F.when(p > 0.24, "refusé").otherwise("accordé").alias("decision"),
-            F.col("props").alias("features"),
-        )
-
-    sink = jobs.scored_log_sink(f"{folder}/log", score, "v4", 0.24, "production")
-    jobs.drain(_event_stream(spark, sf_dir), sink, f"{folder}/progress")
+    calls = _event_calls(spark, sf_dir)
+    calls.repartitionByRange(4, "id").write.parquet(f"{folder}/calls.parquet")
+    orders = table(spark, sf_dir, "orders", ["o_custkey"])
+    known = {"orders": orders.select(F.col("o_custkey").alias("user_id")).distinct()}
+    sink = outcomes.outcome_sink(
+        f"{folder}/log", _faulty_model, ["event_id", "value"], 0.24, "v4", "production", lambda batch: joins.lookup_history(batch, known, "user_id")
+    )
+    for _ in range(2):
+        stream = jobs.validated(readers.stream_parquet(spark, folder, "calls", calls.schema, files=1), "body", SCORE_RULES)
+        jobs.drain(stream, sink, f"{folder}/progress")
     log = spark.read.parquet(f"{folder}/log")
-    return log.groupBy("sk_id_curr", "decision", "status", "origine").agg(F.count(F.lit(1)).alias("n"))
+    # A refused call keeps its raw body, in which further fields are not merged.
+    kept = F.from_json("features", "event_id bigint, value double, event_type string, channel string, extra_fields map<string,string>")
+    fields = [F.col(f"f.{c}").alias(f"f_{c}") for c in ("event_id", "value", "event_type")]
+    channel = F.coalesce("f.channel", F.col("f.extra_fields")["channel"]).alias("f_channel")
+    shown = log.withColumn("f", kept).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+    return settled(shown.select(*[c for c in log.columns if c not in ("created_at", "features", "batch", "day")], "created_at", *fields, channel))
 
 
 @query(
@@ -679,10 +746,8 @@ def stream_score(spark, sf_dir):
     "select event_type, count(*) as n, cast(sum(event_id) as bigint) as id_sum from events group by event_type",
 )
 def stream_dedup(spark, sf_dir):
-    """Every call is delivered twice; one copy is kept."""
-    events = _event_stream(spark, sf_dir)
-    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    kept = jobs.deduplicated(twice, "ts", "10 minutes", ["event_id"]).select("event_id", "event_type")
+    """Every call is delivered twice, the second time with a later micro-batch; one copy is kept."""
+    kept = jobs.deduplicated(_delivered(spark, sf_dir, "next"), "ts", "10 minutes", ["event_id"]).select("event_id", "event_type")
     return (
         _drained(spark, kept, "dedup", "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
     )
@@ -696,10 +761,43 @@ def stream_dedup(spark, sf_dir):
     select "column", method, round(score, 4) as score, 0.1e0 as threshold, round(score, 4) > 0.1e0 as drifted from parts""",
 )
 def stream_drift(spark, sf_dir):
-    """Later events as a stream, compared batch by batch with the earlier ones."""
+    """Later events as a stream, compared batch by batch with the frozen earlier ones."""
     folder = staging_path(spark, "drift")
-    reference = table(spark, sf_dir, "events").where(F.col("ts") < _moment(SWITCH)).select("value", "event_type")
-    sink = jobs.drift_sink(reference, f"{folder}/out", ["value", "event_type"])
+    frozen = _frozen_half(spark, sf_dir, folder)
     later = _event_stream(spark, sf_dir).where(F.col("ts") >= F.lit(SWITCH).cast("timestamp"))
-    jobs.drain(later, sink, f"{folder}/progress")
+    jobs.drain(later, jobs.drift_sink(frozen, f"{folder}/out"), f"{folder}/progress")
     return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+def _frozen_half(spark, sf_dir, folder):
+    reference = table(spark, sf_dir, "events").where(F.col("ts") < _moment(SWITCH)).select("value", "event_type")
+    return drift.freeze_reference(reference, f"{folder}/reference")
+
+
+@query(
+    "stream_drift_windows",
+    HALVES
+    + """, days as (select distinct date_trunc('day', ts) as day from events where ts >= timestamp '2024-01-16'),
+    of_day as (select day, value, event_type, is_ref from both_halves join days on is_ref or date_trunc('day', ts) = day),
+    numbers as (
+      select day, v, cast(sum(r) over w as double) as cum_r, cast(sum(c) over w as double) as cum_c, sum(r) over (partition by day) as n_r, sum(c) over (partition by day) as n_c,
+        lead(v) over w as nxt, (select stddev_pop(value) from both_halves where is_ref) as std
+      from (select day, value as v, count(*) filter (where is_ref) as r, count(*) filter (where not is_ref) as c from of_day where value is not null group by all) g
+      window w as (partition by day order by v)
+    ), labels as (
+      select day, cast(r as double) / sum(r) over (partition by day) as p, cast(c as double) / sum(c) over (partition by day) as q
+      from (select day, event_type as v, count(*) filter (where is_ref) as r, count(*) filter (where not is_ref) as c from of_day group by all) g
+    ), parts as (
+      select day, 'value' as "column", 'wasserstein' as method, sum(abs(cum_r / n_r - cum_c / n_c) * (nxt - v)) / greatest(max(std), 0.001) as score from numbers group by day
+      union all select day, 'event_type', 'jensenshannon', sqrt(sum(case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end) / 2 / ln(2)) from labels group by day
+    )
+    select strftime(day, '%Y-%m-%d %H:%M:%S') as bucket, "column", method, round(score, 4) as score, 0.1e0 as threshold, round(score, 4) > 0.1e0 as drifted from parts""",
+)
+def stream_drift_windows(spark, sf_dir):
+    """Drift of every day, its values counted in the state of a stream of several micro-batches; the reference is counted once."""
+    folder = staging_path(spark, "drift-windows")
+    frozen = _frozen_half(spark, sf_dir, folder)
+    later = _delivered(spark, sf_dir).where(F.col("ts") >= F.lit(SWITCH).cast("timestamp"))
+    live = jobs.live_values(later, "ts", "1 day", "10 minutes", frozen)
+    counts = jobs.latest(_drained(spark, live, "values", "update"), ["bucket", "column", "slice", "value", "label"])
+    return _shown(drift.drift_of_counts(frozen, counts, ["bucket"]))

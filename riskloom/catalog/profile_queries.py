@@ -486,7 +486,7 @@ RANKS_SQL = (
 
 @query("spearman_pairs", RANKS_SQL + _corr_sql("k", combinations(RANK_COLUMNS, 2)))
 def spearman_pairs(spark, sf_dir):
-    return settled(association.spearman_pairs(_rank_rows(spark, sf_dir), ["o_orderkey"], RANK_COLUMNS))
+    return settled(association.spearman_pairs(_rank_rows(spark, sf_dir), RANK_COLUMNS))
 
 
 @query("average_ranks", RANKS_SQL + "select o_orderkey, client, price, third from k")
@@ -704,3 +704,37 @@ def mutual_info_binned(spark, sf_dir):
     columns = [*MI_BINNED, "line"]
     counts = {x["column"]: x["n_unique"] for x in profiling.distinct_counts(rows, columns).collect()}
     return settled(association.mutual_information(association.discretize(rows, columns, counts), columns, "label"), 6)
+
+
+MI_USED = ["EXT_SOURCE_1", "EXT_SOURCE_2", "AMT_GOODS_PRICE", "AMT_INCOME_TOTAL", "CNT_CHILDREN", "FLAG_DOCUMENT_4"]
+
+
+def _ladder(c: str) -> str:
+    """A column of many values as the number of quantile cuts below it, one of few as it is."""
+    return f"case when {c}_n <= 20 then cast({c} as varchar) else cast(len(list_filter({c}_cuts, lambda e: {c} > e)) as varchar) end as {c}"
+
+
+@query(
+    "mutual_info_ranked",
+    with_views(
+        "app",
+        body=", medians as (select "
+        + ", ".join(f"quantile_cont({c}, 0.5) as {c}_mid" for c in MI_USED)
+        + " from app), filled as (select TARGET, "
+        + ", ".join(f"coalesce(cast({c} as double), {c}_mid) as {c}" for c in MI_USED)
+        + " from app, medians), cuts as (select "
+        + ", ".join(
+            f"list_sort(list_distinct(quantile_cont({c}, [{', '.join(str(i / 20) for i in range(1, 20))}]))) as {c}_cuts, count(distinct {c}) as {c}_n"
+            for c in MI_USED
+        )
+        + " from filled), binned as (select TARGET, "
+        + ", ".join(_ladder(c) for c in MI_USED)
+        + " from filled, cuts)"
+        + _cells_cte([(c, "TARGET") for c in MI_USED], "binned")
+        + f""" select var_1 as "column", {r("sum(case when n > 0 then n / total * ln(n * total / (r * c)) else 0 end)", 6)} as mutual_information
+        from grid group by var_1""",
+    ),
+)
+def mutual_info_ranked(spark, sf_dir):
+    """Medians filled in, few-valued columns counted as they are, the others in quantile bins."""
+    return settled(association.label_information(view(spark, sf_dir, "app"), MI_USED, "TARGET"), 6)

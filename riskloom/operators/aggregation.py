@@ -1,7 +1,7 @@
 """History tables to one row per key.
 
-Every aggregate is a single hash aggregation with map-side partial results, so a key that
-holds a large part of all rows costs one partial row per task. Means are derived from the
+Every aggregate has map-side partial results, so a key that holds a large part of all rows
+costs one partial row per task. Means are derived from the
 sum and count already kept, which halves the buffers of a wide aggregate. Category lists are
 frozen parameters: the output schema never depends on the rows at hand.
 """
@@ -16,13 +16,13 @@ from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions import text
 from riskloom.functions.nulls import boolean_names, col, is_true, numeric_names, string_names, sum_or_zero
+from riskloom.operators.packed import can_pack, packed_aggregates
 
 Categories = Mapping[str, Sequence[str]]
 
-# Aggregate expressions per pass. Wider lists are split, because a generated aggregate beyond
-# this size is no longer compiled to machine code (half the speed or less, measured). Each
-# pass reads only its own columns, and all share one key partitioning, so putting them back
-# together needs no further shuffle.
+# Aggregate expressions of one generated aggregate; beyond this size it is no longer compiled to
+# machine code (half the speed or less, measured). Wider ones keep packed buffers, in one pass too.
+# Decimals, whose sums must stay exact, are split into passes that share one key partitioning.
 MAX_BUFFERS = 60
 
 
@@ -68,6 +68,9 @@ def aggregate_by(
     an all-missing sum is zero.
     """
     lead = f"{prefix}_" if prefix else ""
+    shares = [(c, v) for c, values in (categories or {}).items() for v in values]
+    if 4 * len(numeric) + len(shares) > MAX_BUFFERS and can_pack(df, numeric):
+        return _aggregate_packed(df, key, numeric, shares, lead, count_name)
     rows = df.where(col(key).isNotNull())
     parts: list[tuple[list[str], list[str]]] = []  # (aggregates, outputs) per input column
     for i, c in enumerate(numeric):
@@ -84,7 +87,6 @@ def aggregate_by(
                 ],
             )
         )
-    shares = [(c, v) for c, values in (categories or {}).items() for v in values]
     for j, (c, v) in enumerate(shares):
         parts.append(
             (
@@ -117,6 +119,28 @@ def aggregate_by(
     return out
 
 
+def _aggregate_packed(
+    df: DataFrame, key: str, numeric: Sequence[str], shares: Sequence[tuple[str, str]], lead: str, count_name: str | None
+) -> DataFrame:
+    """The columns of :func:`aggregate_by` from packed buffers: one scan, one exchange."""
+    marks = [f"{text.name(c)} <=> {text.value(v)}" for c, v in shares]
+    rows, reads, hits, count = packed_aggregates(df, key, numeric, marks)
+    out = [f"k AS {text.name(key)}"]
+    for c in numeric:
+        read, name = reads[c], f"{lead}{c}"
+        out += [
+            f"{read['min']} AS {text.name(f'{name}_min')}",
+            f"{read['max']} AS {text.name(f'{name}_max')}",
+            f"try_divide(CAST({read['sum']} AS DOUBLE), {read['count']}) AS {text.name(f'{name}_mean')}",
+            f"coalesce({read['sum']}, 0) AS {text.name(f'{name}_sum')}",
+        ]
+    out += [f"{h} / {count} AS {text.name(f'{lead}{c}_{v}_mean')}" for h, (c, v) in zip(hits, shares)]
+    out += [f"{count} AS {text.name(count_name)}"] if count_name else []
+    result = rows.selectExpr(*out)
+    check_names(result.columns)
+    return result
+
+
 def _with_missing(df: DataFrame, texts: Sequence[str], categories: Categories | None) -> Categories:
     """The given categories, and fitted ones for text columns that have none, so that no column is lost."""
     known = dict(categories or {})

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
 from riskloom.functions.nulls import as_text, col, ratio
+from riskloom.operators.cleaning import fill_median
 from riskloom.operators.ordered import attach_by_value, melt_sliced, quantile_dict, ranks
+from riskloom.operators.products import SUMS, pair_sums, rank_sums
 
 # Up to this many pairs each pair is an expression of one aggregate; beyond it the cross
-# products are summed as matrices, one set per task.
+# products are summed as matrices.
 NARROW = 10
 
 Pairs = Sequence[tuple[str, str]]
@@ -37,9 +37,6 @@ def _from_sums(sums: DataFrame, *keep: str) -> DataFrame:
     return sums.selectExpr(*keep, "CAST(n AS BIGINT) AS n", f"CASE WHEN {real} THEN {bounded} END AS corr")
 
 
-SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-
 def _narrow_pairs(df: DataFrame, pairs: Pairs) -> DataFrame:
     """A few pairs: plain sums over the rows where both are present, all pairs in one pass."""
     centres = _centres(df, [c for p in pairs for c in p])
@@ -59,47 +56,10 @@ def _narrow_pairs(df: DataFrame, pairs: Pairs) -> DataFrame:
 
 
 def _block_pairs(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None) -> DataFrame:
-    """Many pairs: each task sums centred cross products over its rows and emits one set of
-    partial sums, which are then added per pair. Without ``right`` all pairs of ``left``.
-
-    Input splits are merged, without a shuffle, into no more tasks than shuffles have, so the partial
-    sums do not grow with the number of files."""
+    """Many pairs: each task sums centred cross products over its rows; the partial sums are added in a
+    tree. Without ``right`` all pairs of ``left``."""
     columns = [*left, *[c for c in right or [] if c not in left]]
-    k = len(left)
-    means = np.array(list(_centres(df, columns).values()))
-    if right is None:
-        at_i, at_j = np.triu_indices(k, 1)
-        a, b = slice(0, k), slice(0, k)
-    else:
-        at_i, at_j = (g.ravel() for g in np.indices((k, len(right))))
-        a, b = slice(0, k), [columns.index(c) for c in right]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = None
-        for pdf in batches:
-            raw = pdf.to_numpy(dtype="float64")
-            here = ~np.isnan(raw)
-            m = here.astype("float64")
-            x = np.where(here, raw - means, 0.0)
-            sq = x * x
-            products = ((m, m), (x, m), (m, x), (sq, m), (m, sq), (x, x))
-            part = [p[:, a].T @ q[:, b] for p, q in products]
-            acc = part if acc is None else [s + t for s, t in zip(acc, part)]
-        if acc is not None:
-            n, sx, sy, sxx, syy, sxy = [s[at_i, at_j] for s in acc]
-            yield pd.DataFrame({"i": at_i, "j": at_j, "n": n, "sx": sx, "sy": sy, "sxx": sxx, "syy": syy, "sxy": sxy})
-
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
-    narrow = df.selectExpr(*[f"CAST({text.name(c)} AS DOUBLE) AS x{i}" for i, c in enumerate(columns)])
-    sums = (
-        narrow.coalesce(tasks).mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
-        .groupBy("i", "j")
-        .agg(*[F.sum(s).alias(s) for s in SUMS])
-    )
-    first = F.get(F.array(*[F.lit(c) for c in left]), F.col("i")).alias("var_1")
-    second = F.get(F.array(*[F.lit(c) for c in (right or left)]), F.col("j")).alias("var_2")
-    return _from_sums(sums.select(first, second, *SUMS), "var_1", "var_2")
+    return _from_sums(pair_sums(df, left, right, list(_centres(df, columns).values())), "var_1", "var_2")
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -129,9 +89,10 @@ def rank_columns(df: DataFrame, key: Sequence[str], columns: Sequence[str], spli
     return grouped.withColumns(checked).drop("__rows")
 
 
-def spearman_pairs(df: DataFrame, key: Sequence[str], columns: Sequence[str], splits: int | None = None) -> DataFrame:
-    """Pearson correlation of the ranks. Ranks are per column, not per pair of columns."""
-    return pearson_pairs(rank_columns(df, key, columns, splits), columns)
+def spearman_pairs(df: DataFrame, columns: Sequence[str], splits: int | None = None) -> DataFrame:
+    """Pearson correlation of the ranks, each unordered pair once with var_1 < var_2. Ranks are average ranks per
+    column, not per pair of columns; rows need no key."""
+    return _from_sums(rank_sums(df, sorted(columns), splits), "var_1", "var_2")
 
 
 def high_pairs(pairs: DataFrame, threshold: float = 0.7, value: str = "corr") -> DataFrame:
@@ -164,20 +125,64 @@ def nullity_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- categorical association -------------------------------------------------------------
 
 
-def contingency(df: DataFrame, pairs: Pairs) -> DataFrame:
-    """Cell counts of every column pair in one pass: (var_1, var_2, x, y, n)."""
-    cells = text.rows(
-        [
-            {"var_1": text.value(a), "var_2": text.value(b), "x": as_text(df, a), "y": as_text(df, b)}
-            for a, b in pairs
-        ]
-    )
-    return (
-        df.selectExpr(cells)
-        .where("x is not null and y is not null")
-        .groupBy("var_1", "var_2", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+#: Distinct joint values that a block pair of columns is meant to have at most.
+CUBE = 100_000
+
+
+def column_blocks(df: DataFrame, columns: Sequence[str], cube: int = CUBE) -> list[list[str]]:
+    """Columns in blocks whose joint values are few: two blocks together have some ``cube`` at most, unless one column alone
+    has more. Sizes come from one pass of bounded sketches."""
+    row = df.agg(*[F.expr(f"approx_count_distinct({as_text(df, c)}) AS n{i}") for i, c in enumerate(columns)]).first()
+    sizes = sorted((int(row[f"n{i}"]) + 1, c) for i, c in enumerate(columns))  # missing is a value here
+    blocks: list[list[str]] = []
+    room = 0.0
+    for n, c in sizes:
+        if not blocks or n > room:
+            blocks.append([])
+            room = cube**0.5
+        blocks[-1].append(c)
+        room /= n
+    return blocks
+
+
+def _cubes(df: DataFrame, pairs: Pairs, cube: int) -> list[list[tuple[str, str]]]:
+    """The pairs dealt to cubes, one for each pair of blocks that has pairs of columns; pairs inside a block go to a cube that has the block anyway."""
+    blocks = column_blocks(df, list(dict.fromkeys(c for p in pairs for c in p)), cube)
+    home = {c: i for i, block in enumerate(blocks) for c in block}
+    dealt: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    for a, b in pairs:
+        dealt.setdefault((min(home[a], home[b]), max(home[a], home[b])), []).append((a, b))
+    for block in [k for k in dealt if k[0] == k[1]]:
+        host = next((k for k in dealt if k[0] != k[1] and block[0] in k), None)
+        if host is not None:
+            dealt[host] += dealt.pop(block)
+    return list(dealt.values())
+
+
+def contingency(df: DataFrame, pairs: Pairs, cube: int = CUBE) -> DataFrame:
+    """Cell counts of every column pair: (var_1, var_2, x, y, n).
+
+    A row is counted once for each pair of column blocks, not for each pair of columns; the cells are read off the distinct
+    joint values, which are far fewer than rows where columns are categories.
+    """
+    cubes = _cubes(df, pairs, cube)
+    wide = [list(dict.fromkeys(c for p in c_pairs for c in p)) for c_pairs in cubes]
+    width = max(map(len, wide), default=0)
+    keys = [f"t{i}" for i in range(width)]
+    records = [
+        {"cube": str(k), **{t: as_text(df, wide[k][i]) if i < len(wide[k]) else "CAST(NULL AS STRING)" for i, t in enumerate(keys)}}
+        for k in range(len(cubes))
+    ]
+    rows = df.selectExpr(*[f"{v} AS {n}" for n, v in records[0].items()]) if len(cubes) == 1 else df.selectExpr(text.rows(records))
+    tuples = rows.groupBy("cube", *keys).agg(F.count(F.lit(1)).alias("m"))
+
+    def cells(k: int) -> str:
+        at = {c: keys[i] for i, c in enumerate(wide[k])}
+        structs = (f"named_struct('var_1', {text.value(a)}, 'var_2', {text.value(b)}, 'x', {at[a]}, 'y', {at[b]})" for a, b in cubes[k])
+        return f"WHEN {k} THEN array({', '.join(structs)})"
+
+    each = tuples.selectExpr("m", f"inline(CASE cube {' '.join(cells(k) for k in range(len(cubes)))} END)")
+    return each.where("x is not null and y is not null").groupBy("var_1", "var_2", "x", "y").agg(F.sum("m").alias("n"))
 
 
 def _with_margins(cells: DataFrame) -> DataFrame:
@@ -253,3 +258,23 @@ def discretize(df: DataFrame, columns: Sequence[str], distinct: dict[str, int],
         steps = " ".join(f"WHEN {text.name(c)} <= {text.value(e)} THEN {i}" for i, e in enumerate(edges))
         out[c] = F.expr(f"CASE WHEN {text.name(c)} IS NULL THEN NULL {steps} ELSE {len(edges)} END")
     return df.withColumns(out)
+
+
+def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
+    """Number of values of each column, exact up to ``limit``; beyond it any larger number. Only columns that a sketch takes to
+    have few values are counted, so that no task holds the values of a wide one."""
+    row = df.agg(*[F.expr(f"approx_count_distinct({as_text(df, c)}) AS n{i}") for i, c in enumerate(columns)]).first()
+    found = {c: int(row[f"n{i}"]) for i, c in enumerate(columns)}
+    few = [c for c in columns if found[c] <= 2 * limit]
+    if few:
+        cells = text.rows([{"c": text.value(c), "v": as_text(df, c)} for c in few])
+        exact = df.selectExpr(cells).where("v is not null").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+        found |= {c: 0 for c in few} | {r["c"]: r["n"] for r in exact.collect()}
+    return found
+
+
+def label_information(df: DataFrame, columns: Sequence[str], label: str, limit: int = 20, bins: int = 20) -> DataFrame:
+    """Mutual information of numeric columns with the label, largest first: missing values filled with the exact median,
+    columns of at most ``limit`` values counted as they are, the others in quantile bins."""
+    filled = fill_median(df.select(*[col(c) for c in columns], col(label)), columns)
+    return mutual_information(discretize(filled, columns, distinct_up_to(filled, columns, limit), bins, limit), columns, label)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,39 @@ def salted(df: DataFrame, right: DataFrame, key: str, salt: int) -> tuple[DataFr
     return left, right.withColumn("salt_", parts), [key, "salt_"]
 
 
+def heavy_keys(df: DataFrame, key: str, share: int = 1000) -> list:
+    """Keys that hold at least 1/``share`` of the rows, ``share`` of them at most by counting: from a mergeable sketch of
+    bounded size, one per task, in one pass over the key alone. Keys a little below the share may be listed, too."""
+    tracked = 10 * share
+    row = df.select(col(key).alias("k")).where("k is not null").agg(
+        F.expr(f"approx_top_k(k, {share}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).first()
+    return [t["item"] for t in row["top"] or [] if t["count"] * share >= row["n"]]
+
+
+def heavy_apart(
+    df: DataFrame,
+    key: str,
+    tables: Mapping[str, DataFrame],
+    join: Callable[[DataFrame, Mapping[str, DataFrame], bool], DataFrame],
+    heavy: Sequence | None = None,
+    share: int = 1000,
+) -> DataFrame:
+    """``join`` twice: for the rows of heavy keys, which stay where they lie and meet a broadcast of those keys' rows, and for
+    the rest, which no key dominates and which is shuffled. The third argument of ``join`` says which of the two it is.
+
+    What is broadcast has one row per key and table, ``share`` rows at most; a table that holds a key twice is an error.
+    ``heavy`` gives the keys where they are known beforehand, as for a stream.
+    """
+    keys = heavy_keys(df, key, share) if heavy is None else list(heavy)
+    if not keys:
+        return join(df, tables, False)
+    listed = col(key).isin(keys)
+    few = {n: F.broadcast(one_row_per_key(t.where(listed), key)) for n, t in tables.items()}
+    rest = join(df.where(~F.coalesce(listed, F.lit(False))), tables, False)
+    return rest.unionByName(join(df.where(listed), few, True))
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, key: str, salt: int = 1) -> DataFrame:
     """Semi join: rows whose key is listed. Adaptive execution splits a hot key at run time;
     ``salt`` splits it beforehand."""
@@ -75,17 +108,30 @@ def restore_column(df: DataFrame, original: DataFrame, key: str, column: str, in
     return df.drop(into).join(one_row_per_key(source, key), key, "left")
 
 
-def lookup_history(df: DataFrame, history: Mapping[str, DataFrame], key: str, found: str = "history_found") -> DataFrame:
-    """Join every history table and note whether any of them knows the key."""
-    marks = []
-    for i, (_, table) in enumerate(history.items()):
-        mark = f"hit_{i}"
-        marks.append(mark)
-        df = df.join(table.withColumn(mark, F.lit(True)), key, "left")
-    any_hit = F.lit(False)
-    for m in marks:
-        any_hit = any_hit | F.coalesce(F.col(m), F.lit(False))
-    return df.withColumn(found, any_hit).drop(*marks)
+def lookup_history(
+    df: DataFrame, history: Mapping[str, DataFrame], key: str, found: str = "history_found", heavy: Sequence | None = None
+) -> DataFrame:
+    """Join every history table, one row per key each, and note whether any of them knows the key.
+
+    Heavy keys of ``df`` are found by a sketch and joined apart (see :func:`heavy_apart`); a stream cannot be asked
+    beforehand and takes them from ``heavy``.
+    """
+    if heavy is None and df.isStreaming:
+        heavy = ()
+
+    def join(rows: DataFrame, tables: Mapping[str, DataFrame], hot: bool) -> DataFrame:
+        marks = []
+        for i, name in enumerate(tables):
+            marks.append(f"hit_{i}")
+            # A marked copy of a hinted table would lose the hint.
+            marked = tables[name].withColumn(marks[-1], F.lit(True))
+            rows = rows.join(F.broadcast(marked) if hot else marked, key, "left")
+        any_hit = F.lit(False)
+        for m in marks:
+            any_hit = any_hit | F.coalesce(F.col(m), F.lit(False))
+        return rows.withColumn(found, any_hit).drop(*marks)
+
+    return heavy_apart(df, key, history, join, heavy)
 
 
 def row_total(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import text
 from riskloom.functions.nulls import as_text, col, is_true, numeric_names, ratio, string_names
-from riskloom.operators.ordered import Edges, exact_quantiles, fit_edges, quantile_dict
+from riskloom.operators import counted
+from riskloom.operators.ordered import exact_quantiles, quantile_dict
 
 
 def _long_stats(df: DataFrame, columns: Sequence[str], stats: dict[str, str]) -> DataFrame:
@@ -204,20 +205,24 @@ def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFram
 
 
 def profile_table(df: DataFrame, keys: Sequence[str] = (), day_pattern: str = "DAYS") -> dict[str, DataFrame]:
-    """All profile tables of one source, each a tidy DataFrame."""
-    days = [c for c in numeric_names(df) if day_pattern in c.upper()]
+    """All profile tables of one source, each a tidy DataFrame. Three scans: two that count the values of every column, one for
+    repeated rows."""
+    counts = counted.count_columns(df)
+    days = [c for c in counts.numeric if day_pattern in c.upper()]
+    missing = counted.missing(counts).where("n_missing > 0").orderBy(F.desc("pct_missing"), "column")
+    frequent = counted.dominant(counts)
     out = {
-        "missing": missing_table(df),
+        "missing": missing,
         "duplicates": duplicate_rows(df),
-        "dominant": dominant_value(df),
-        "quasi_constant": quasi_constant(df),
+        "dominant": frequent.orderBy(F.desc("dominant_share"), "column"),
+        "quasi_constant": frequent.where("dominant_share >= 0.99").orderBy(F.desc("dominant_share"), "column"),
     }
     if keys:
-        out["keys"] = key_profile(df, keys)
+        out["keys"] = counted.key_columns(counts, keys)
     if string_names(df):
-        out["categories"] = category_profile(df)
+        out["categories"] = counted.dominant(counts, string_names(df)).orderBy(F.desc("dominant_share"), "column")
     if days:
-        out["day_ranges"] = value_ranges(df, days)
+        out["day_ranges"] = counted.ranges(counts, days)
     return out
 
 
@@ -239,40 +244,26 @@ def fit_outlier_bounds(
     df: DataFrame, columns: Sequence[str] | None = None, iqr_multiplier: float = 3.0, splits: int | None = None
 ) -> list[OutlierBounds]:
     """Limits per column; columns with at most two values or no inter-quartile range are left
-    out. Two rounds: quartiles and median, then the median of the distances to it."""
-    columns = list(columns or numeric_names(df))
-    edges: Edges = fit_edges(df, columns, splits)
-    first = {r["column"]: r for r in exact_quantiles(df, columns, [0.25, 0.5, 0.75], edges=edges).collect()}
-    # Two values at most means the extremes and one value in between cover the column.
-    checks = df.agg(
-        *[F.expr(f"{f}(CAST({text.name(c)} AS DOUBLE)) AS {f}{i}") for i, c in enumerate(columns) for f in ("min", "max")]
-    ).first()
-    inner = df.agg(
-        *[
-            F.expr(
-                f"count_if(CAST({text.name(c)} AS DOUBLE) NOT IN ({text.value(checks[f'min{i}'])}, {text.value(checks[f'max{i}'])})) AS m{i}"
-            )
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    kept = []
-    for i, c in enumerate(columns):
-        r = first.get(c)
-        if r is not None and inner[f"m{i}"] > 0 and r["q2"] - r["q0"] != 0:
-            kept.append(c)
-    if not kept:
+    out. The table is read twice, to count the values of every column."""
+    return outlier_bounds(counted.count_columns(df, list(columns or numeric_names(df)), splits), iqr_multiplier)
+
+
+def outlier_bounds(counts: counted.ColumnCounts, iqr_multiplier: float = 3.0) -> list[OutlierBounds]:
+    """The limits from counts: quartiles and median, then the median of the distances to it."""
+    table = counts.of(counts.numeric)
+    quarters = counted.quantiles(table, {"q0": 0.25, "q1": 0.5, "q2": 0.75})
+    # Values that are one double count once.
+    several = table.select("column", "value").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("m")).where("m > 2")
+    first = {r["column"]: r for r in quarters.join(several, "column").collect() if r["q2"] - r["q0"] != 0}
+    if not first:
         return []
-    away = df.selectExpr(
-        *[f"abs(CAST({text.name(c)} AS DOUBLE) - {text.value(float(first[c]['q1']))}) AS {text.name(c)}" for c in kept]
-    )
-    mads = quantile_dict(away, kept, [0.5], splits=splits)
+    mads = {r["column"]: r["mad"] for r in counted.quantiles(counted.away(counts, {c: r["q1"] for c, r in first.items()}), {"mad": 0.5}).collect()}
     out = []
-    for c in kept:
-        r = first[c]
-        spread = r["q2"] - r["q0"]
-        out.append(
-            OutlierBounds(c, r["q0"] - iqr_multiplier * spread, r["q2"] + iqr_multiplier * spread, r["q1"], mads[c][0])
-        )
+    for c in counts.numeric:
+        if c in first:
+            r = first[c]
+            spread = r["q2"] - r["q0"]
+            out.append(OutlierBounds(c, r["q0"] - iqr_multiplier * spread, r["q2"] + iqr_multiplier * spread, r["q1"], mads[c]))
     return out
 
 
@@ -295,34 +286,53 @@ def outlier_flag(bounds: OutlierBounds, method: str = "both", z: float = 3.5) ->
     return F.expr(_flag_text(bounds, method, z))
 
 
+OUTLIERS = (
+    "column string, n_outliers_iqr long, n_outliers_modified_z long, n_outliers_both_methods long, "
+    "pct_agreement double, min double, max double"
+)
+
+
 def outlier_report(df: DataFrame, bounds: Sequence[OutlierBounds], z: float = 3.5) -> DataFrame:
     """Flagged rows per column and method, agreement of the two methods, and the range."""
     if not bounds:
-        return df.sparkSession.createDataFrame(
-            [],
-            "column string, n_outliers_iqr long, n_outliers_modified_z long, n_outliers_both_methods long, "
-            "pct_agreement double, min double, max double",
-        )
+        return df.sparkSession.createDataFrame([], OUTLIERS)
     aggregates, records = [], []
     for i, b in enumerate(bounds):
         x = f"CAST({text.name(b.column)} AS DOUBLE)"
         for short, method in (("iqr", "iqr"), ("mod", "modified_z"), ("both", "both")):
             aggregates.append(f"count_if({_flag_text(b, method, z)}) AS {short}{i}")
         aggregates += [f"min({x}) AS min{i}", f"max({x}) AS max{i}"]
-        records.append(
-            {
-                "column": text.value(b.column),
-                "n_outliers_iqr": f"iqr{i}",
-                "n_outliers_modified_z": f"mod{i}",
-                "n_outliers_both_methods": f"both{i}",
-                "pct_agreement": f"100D * both{i} / CAST(greatest(iqr{i}, mod{i}, 1) AS DOUBLE)",
-                "min": f"min{i}",
-                "max": f"max{i}",
-            }
-        )
+        records.append({"column": text.value(b.column), **{s: f"{s}{i}" for s in ("iqr", "mod", "both", "min", "max")}})
+    return _outliers(df.agg(*[F.expr(a) for a in aggregates]).selectExpr(text.rows(records)))
+
+
+def counted_outliers(counts: counted.ColumnCounts, bounds: Sequence[OutlierBounds], z: float = 3.5) -> DataFrame:
+    """The same report from counts, without the table."""
+    spark = counts.table.sparkSession
+    if not bounds:
+        return spark.createDataFrame([], OUTLIERS)
+    limits = text.frame(
+        spark, [{"column": text.value(b.column), **{k: f"CAST({text.value(float(getattr(b, k)))} AS DOUBLE)" for k in ("lower", "upper", "median", "mad")}} for b in bounds]
+    )
+    rows = counts.of([b.column for b in bounds]).join(F.broadcast(limits), "column")  # a row per column
+    iqr = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
+    mod = (F.col("mad") != 0) & (F.abs(F.lit(MAD_SCALE) * (F.col("value") - F.col("median")) / F.nullif("mad", F.lit(0.0))) > z)
+    held = {"iqr": iqr, "mod": is_true(mod), "both": iqr & is_true(mod)}
+    sums = [F.sum(F.when(hit, F.col("n")).otherwise(0)).alias(s) for s, hit in held.items()]
+    return _outliers(rows.groupBy("column").agg(*sums, F.min("value").alias("min"), F.max("value").alias("max")))
+
+
+def _outliers(found: DataFrame) -> DataFrame:
     return (
-        df.agg(*[F.expr(a) for a in aggregates])
-        .selectExpr(text.rows(records))
+        found.selectExpr(
+            "column",
+            "iqr AS n_outliers_iqr",
+            "mod AS n_outliers_modified_z",
+            "both AS n_outliers_both_methods",
+            "100D * both / CAST(greatest(iqr, mod, 1) AS DOUBLE) AS pct_agreement",
+            "min",
+            "max",
+        )
         .where("n_outliers_iqr > 0 or n_outliers_modified_z > 0")
         .orderBy(F.desc("n_outliers_both_methods"), "column")
     )
@@ -347,10 +357,11 @@ def scan_anomalies(
     constant_threshold: float = 0.99,
     missing_threshold: float = 0.4,
 ) -> dict[str, DataFrame]:
-    """The three anomaly reports of one table."""
-    bounds = fit_outlier_bounds(df, iqr_multiplier=iqr_multiplier)
+    """The three anomaly reports of one table, which is read twice."""
+    counts = counted.count_columns(df)
+    high = counted.missing(counts).select("column", (F.col("pct_missing") / F.lit(100.0)).alias("missing_rate"), "n_missing")
     return {
-        "outliers": outlier_report(df, bounds, modified_z_threshold),
-        "quasi_constant": quasi_constant(df, constant_threshold),
-        "high_missing": high_missing(df, missing_threshold),
+        "outliers": counted_outliers(counts, outlier_bounds(counts, iqr_multiplier), modified_z_threshold),
+        "quasi_constant": counted.dominant(counts).where(F.col("dominant_share") >= constant_threshold).orderBy(F.desc("dominant_share"), "column"),
+        "high_missing": high.where(F.col("missing_rate") > missing_threshold).orderBy(F.desc("missing_rate"), "column"),
     }

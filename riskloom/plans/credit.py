@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.nulls import replace_infinities, string_names
@@ -18,7 +19,7 @@ from riskloom.operators.aggregation import (
 from riskloom.operators.cleaning import cap_column, missing_share, sentinel_to_flag, sum_flags
 from riskloom.operators.contract import align, drop_columns
 from riskloom.operators.features import INCOME, application_ratios, debt_to_income, score_summary
-from riskloom.operators.joins import keep_keys, keep_keys_chained, left_join_all, left_join_one, lookup_history
+from riskloom.operators.joins import heavy_apart, keep_keys, keep_keys_chained, left_join_all, left_join_one, lookup_history
 from riskloom.operators.modeling import stamp
 from riskloom.schemas import FeatureParams
 
@@ -115,12 +116,19 @@ def features_for(
     output_contract: T.StructType,
 ) -> DataFrame:
     """Requests enriched from the stored history: both contracts applied, presence noted. A client
-    that a stored table holds twice is an error, as it would multiply requests."""
-    # A client may send several requests; presence is looked up once per client.
-    found = lookup_history(app.select(KEY).distinct(), {n: t.select(KEY) for n, t in history.items()}, KEY)
-    df = clean_application(align(app, input_contract), params)
-    df = add_features(merge_aggregations(df, history, params, check=True), history, params, check=True)
-    return align(df, output_contract, KEY).join(found, KEY, "left")
+    that a stored table holds twice is an error, as it would multiply requests. Clients with many
+    requests are joined apart; ``app`` is read for the sketch that finds them and for each side."""
+
+    def enrich(requests: DataFrame, tables: Mapping[str, DataFrame], hot: bool) -> DataFrame:
+        # A client may send several requests; presence is looked up once per client.
+        clients = requests.select(KEY).distinct()
+        found = lookup_history(clients, {n: t.select(KEY) for n, t in tables.items()}, KEY, heavy=())
+        df = clean_application(align(requests, input_contract), params)
+        df = add_features(merge_aggregations(df, tables, params, check=not hot), tables, params, check=not hot)
+        # The hot side has as many clients as there are heavy keys, a bounded number.
+        return align(df, output_contract, KEY).join(F.broadcast(found) if hot else found, KEY, "left")
+
+    return heavy_apart(app, KEY, history, enrich)
 
 
 def score_batch(

@@ -69,8 +69,8 @@ def log_rows(df: DataFrame, schema: T.StructType = LOG_SCHEMA, defaults: Mapping
 def append_log(df: DataFrame, folder: str, batch: int) -> None:
     """Append one batch under its own folder; writing the same batch again replaces it, so a
     restarted stream leaves no duplicates. Rows without an id get one from the batch and their own
-    fields, and equal rows from their count too, so a retried task gives the same ids."""
-    own = df.withColumn("own_", F.xxhash64(F.lit(batch), *[col(c) for c in df.columns if c != "id"]))
+    fields, without clock times, and equal rows from their count too, so that a replay gives the same ids."""
+    own = df.withColumn("own_", F.xxhash64(F.lit(batch), *[col(c) for c in df.columns if c not in ("id", "created_at", "latency_ms")]))
     copy = F.row_number().over(Window.partitionBy("own_").orderBy("own_"))
     number = F.coalesce(F.col("id"), F.xxhash64("own_", copy))
     own.withColumn("id", number).drop("own_").withColumns({"day": F.to_date("created_at")}).write.mode("overwrite").partitionBy("day").parquet(f"{folder.rstrip('/')}/batch={batch}")

@@ -6,6 +6,7 @@ own number, so a batch replayed after a failure replaces itself.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions.nulls import col, is_true
-from riskloom.operators.drift import drift_detail
+from riskloom.operators.drift import FrozenReference, counted_values, drift_of_counts
 from riskloom.operators.joins import lookup_history
 from riskloom.operators.ordered import cumulate, pick_quantiles, wanted_ranks
 from riskloom.operators.validation import reject_rows, split_valid, validate_json
@@ -25,17 +26,39 @@ from riskloom.sources.writers import append_log, log_rows
 Sink = Callable[[DataFrame, int], None]
 
 
+#: Keeps state on local disk beside memory, so that it may outgrow the heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start(stream: DataFrame, sink: Sink, checkpoint: str, mode: str = "append", available_now: bool = False) -> StreamingQuery:
-    """Run ``sink`` on every micro-batch; progress is kept in ``checkpoint``."""
+    """Run ``sink`` on every micro-batch; progress and state are kept in ``checkpoint``."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
     writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    # A query keeps the settings of the moment it starts.
+    conf.set(key, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            conf.unset(key)
+        else:
+            conf.set(key, before)
+
 
+def drain(stream: DataFrame, sink: Sink, checkpoint: str, mode: str = "append") -> list[dict]:
+    """Process everything that is available and stop; what each micro-batch reported is returned."""
+    query = start(stream, sink, checkpoint, mode, available_now=True)
+    query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
 
-def drain(stream: DataFrame, sink: Sink, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that is available and stop."""
-    start(stream, sink, checkpoint, mode, available_now=True).awaitTermination()
+
+def state_rows(progress: Sequence[dict]) -> tuple[int, int]:
+    """Rows that the stateful operators hold after the last micro-batch, and rows they refused as late over all of them."""
+    held = sum(o["numRowsTotal"] for o in progress[-1]["stateOperators"]) if progress else 0
+    return held, sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
 
 
 def batch_sink(folder: str) -> Sink:
@@ -78,9 +101,19 @@ def two_way_sink(accepted: str, rejected: str, body: str = "body") -> Sink:
     return write
 
 
-def enriched(stream: DataFrame, history: Mapping[str, DataFrame], key: str) -> DataFrame:
-    """Join the stored history to each record and note whether the client is known."""
-    return lookup_history(stream, history, key)
+def enriched(stream: DataFrame, history: Mapping[str, DataFrame], key: str, heavy: Sequence = ()) -> DataFrame:
+    """Join the stored history to each record and note whether the client is known. ``heavy`` lists clients that send a large
+    part of all records, for instance those of the log so far; :func:`enrich_sink` finds them in every micro-batch."""
+    return lookup_history(stream, history, key, heavy=heavy)
+
+
+def enrich_sink(folder: str, history: Mapping[str, DataFrame], key: str, keep: Sequence[str]) -> Sink:
+    """Enrich each micro-batch, its own heavy clients joined apart, and write the columns ``keep``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch_sink(folder)(lookup_history(batch, history, key).select(*[col(c) for c in keep]), number)
+
+    return write
 
 
 def scored_log_sink(folder: str, score: Callable[[DataFrame], DataFrame], version: str, threshold: float, origin: str) -> Sink:
@@ -146,18 +179,24 @@ def quantiles_of_counts(counts: DataFrame, probs: Mapping[str, float], slice_wid
     return pick_quantiles(covered, wanted_ranks(totals, ["bucket"], probs), ["bucket"], ["bucket"], probs).drop("n")
 
 
-def drift_sink(reference: DataFrame, folder: str, columns: Sequence[str], threshold: float = 0.1) -> Sink:
-    """Compare each micro-batch with the fixed reference."""
-    fixed = reference.persist(StorageLevel.MEMORY_AND_DISK)
+def drift_sink(frozen: FrozenReference, folder: str, threshold: float = 0.1) -> Sink:
+    """Compare each micro-batch with the frozen reference, whose rows are never read again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        current = batch.select(*[col(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
-        batch_sink(folder)(drift_detail(fixed, current, threshold), number)
-        current.unpersist()
+        batch_sink(folder)(drift_of_counts(frozen, counted_values(batch, frozen), threshold=threshold), number)
 
     return write
 
 
+def live_values(stream: DataFrame, ts: str, width: str, late: str, frozen: FrozenReference) -> DataFrame:
+    """How often each value occurs per event-time window: state from which the drift of every window follows, see
+    ``drift_of_counts`` with ``by=["bucket"]``. Windows leave the state when the watermark has passed them."""
+    marked = stream.withWatermark(ts, late)
+    windowed = marked.withColumn("bucket", F.window(col(ts), width))
+    counts = counted_values(windowed, frozen, ["bucket"])
+    return counts.withColumn("bucket", F.col("bucket.start"))
+
+
 def deduplicated(stream: DataFrame, ts: str, late: str, keys: Sequence[str]) -> DataFrame:
     """Drop calls delivered again within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
