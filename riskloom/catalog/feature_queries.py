@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.catalog.registry import query
+from riskloom.catalog.registry import ORACLES, query
 from riskloom.catalog.views import history, r, settled, table, view, with_views
 from riskloom.functions.nulls import replace_infinities
 from riskloom.functions.scalars import class_weight, decision, years_to_days
-from riskloom.operators import aggregation, cleaning, contract, features, joins
+from riskloom.operators import aggregation, cleaning, contract, features, joins, modeling
 from riskloom.operators.ordered import exact_quantiles
 from riskloom.plans import credit
 from riskloom.schemas import FeatureParams
 from riskloom.session import staging_path
 from riskloom.sources.readers import read_history, read_table_dir
-from riskloom.sources.writers import write_history
+from riskloom.sources.writers import save_history, write_history
 
 STATUSES = ["F", "O", "P"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -633,6 +634,15 @@ def scalar_features(spark, sf_dir):
     )
 
 
+COUNTED = [
+    ("bureau", "BUREAU_CREDIT_COUNT"),
+    ("previous_application", "PREV_APPLICATION_COUNT"),
+    ("credit_card_balance", "CC_COUNT"),
+    ("installments_payments", "INST_COUNT"),
+    ("pos_cash_balance", "POS_COUNT"),
+]
+
+
 @query(
     "build_features",
     with_views(
@@ -661,6 +671,10 @@ def scalar_features(spark, sf_dir):
 )
 def build_features(spark, sf_dir):
     """The whole path from raw tables to the model's column contract."""
+    return settled(credit.build_features(view(spark, sf_dir, "app"), history(spark, sf_dir), PARAMS, _model_contract()))
+
+
+def _model_contract() -> T.StructType:
     long, double = T.LongType(), T.DoubleType()
     wanted = [
         ("AMT_INCOME_TOTAL", double),
@@ -684,8 +698,61 @@ def build_features(spark, sf_dir):
         ("PAYMENT_DIFF_sum", double),
         ("NEVER_BUILT", double),
     ]
-    out_contract = T.StructType([T.StructField(n, t) for n, t in wanted])
-    return settled(credit.build_features(view(spark, sf_dir, "app"), history(spark, sf_dir), PARAMS, out_contract))
+    return T.StructType([T.StructField(n, t) for n, t in wanted])
+
+
+MODEL = {"LATE_PAYMENT_RATE": 2.0, "CREDIT_TERM": -0.01, "BUREAU_CREDIT_COUNT": 0.02, "pct_nan_row": 1.5, "PREV_DAYS_FIRST_DUE_ANOM_sum": 0.05}
+
+
+@query(
+    "score_raw_tables",
+    f"""select SK_ID_CURR, {r("p", 3)} as probability, 0.24e0 as threshold, case when {r("p", 3)} > 0.24e0 then 'refusé' else 'accordé' end as decision, 'v4' as model_version,
+      'production' as origine, history_found from (
+      select *, 1 / (1 + exp(-(-1.5e0 + {" + ".join(f"({w}e0) * coalesce({c}, 0)" for c, w in MODEL.items())}))) as p,
+        BUREAU_CREDIT_COUNT is not null or CC_COUNT is not null or POS_COUNT is not null or "PREV_DAYS_FIRST_DUE_ANOM_sum" is not null or LATE_PAYMENT_RATE is not null
+          or INST_AMT_PAYMENT_sum is not null as history_found
+      from ({ORACLES["build_features"]}) built) scored""",
+)
+def score_raw_tables(spark, sf_dir):
+    """Raw tables to stored history, requests through both contracts, a model over arrays, probability and decision."""
+    app = view(spark, sf_dir, "app")
+    stored = credit.build_aggregations(history(spark, sf_dir), PARAMS)
+    inputs = T.StructType([f for f in app.schema if f.name != "TARGET"])
+    ready = credit.features_for(app.drop("TARGET"), stored, PARAMS, inputs, _model_contract())
+    weights = np.array(list(MODEL.values()))
+
+    def predict(x):
+        return np.floor(1 / (1 + np.exp(-(-1.5 + np.nan_to_num(x) @ weights))) * 1000 + 0.500001) / 1000
+
+    def score(rows):
+        return modeling.score_with(rows, list(MODEL), predict, ["SK_ID_CURR", "history_found"])
+
+    # The model takes features of four digits.
+    return settled(credit.score_batch(settled(ready), score, 0.24, "v4", "production"), 3)
+
+
+@query(
+    "bucketed_history",
+    with_views(
+        "app",
+        "bureau",
+        "previous_application",
+        "credit_card_balance",
+        "installments_payments",
+        "pos_cash_balance",
+        body="select a.SK_ID_CURR, "
+        + ", ".join(f"t{i}.n as {n}" for i, (_, n) in enumerate(COUNTED))
+        + " from app a "
+        + " ".join(f"left join (select SK_ID_CURR, count(*) as n from {t} group by 1) t{i} using (SK_ID_CURR)" for i, (t, _) in enumerate(COUNTED)),
+    ),
+)
+def bucketed_history(spark, sf_dir):
+    """The five aggregates stored in buckets of the client and joined in order: nothing of the history moves again."""
+    stored = save_history(
+        {n: t for n, t in credit.build_aggregations(history(spark, sf_dir), PARAMS).items() if n in credit.JOIN_ORDER}, staging_path(spark, "bucketed"), "SK_ID_CURR", 8
+    )
+    app = view(spark, sf_dir, "app").select("SK_ID_CURR").repartition(8, "SK_ID_CURR")
+    return joins.left_join_all(app, stored, credit.JOIN_ORDER, "SK_ID_CURR", check=True).select("SK_ID_CURR", *[n for _, n in COUNTED])
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.catalog.registry import query
 from riskloom.catalog.views import r, settled, table, view, with_views
 from riskloom.functions.nulls import col
+from riskloom.functions.scalars import spread_sql
 from riskloom.operators import evaluation, modeling, preparation, sampling
 from riskloom.schemas import EDUCATION_LEVELS
 from riskloom.session import checkpointed, staging_path
@@ -298,16 +299,49 @@ def importance_top(spark, sf_dir):
     return spark.read.option("header", True).schema("feature string, importance double").csv(path)
 
 
-@query("permutation_importance")
+SHUFFLED = ["EXT_SOURCE_1", "EXT_SOURCE_2"]
+
+
+def _auc_of(score: str, name: str) -> str:
+    """Rank sum of the positives, average ranks on ties."""
+    return f"""select '{name}' as feature, (sum(place) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0e0)
+      / (cast(count(*) filter (where y = 1) as double) * count(*) filter (where y <> 1)) as auc from (
+        select y, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2.0e0 as place from (select TARGET as y, {score} as s from partners) a) b"""
+
+
+def _shuffled_score(shuffled: str) -> str:
+    return " + ".join(f"({w}e0) * {c}{'__drawn' if c == shuffled else ''}" for c, w in WEIGHTS.items())
+
+
+@query(
+    "permutation_importance",
+    with_views(
+        "app",
+        body=", rows_ as (select SK_ID_CURR, TARGET, "
+        + ", ".join(f"coalesce({c}, 0.5e0) as {c}" for c in WEIGHTS)
+        + f""" from app), placed as (select *, row_number() over (order by {spread_sql("SK_ID_CURR")}, SK_ID_CURR) - 1 as p, count(*) over () as n from rows_),
+        partners as (select a.*, """
+        + ", ".join(f"x{i}.{c} as {c}__drawn" for i, c in enumerate(SHUFFLED, 1))
+        + " from placed a "
+        + " ".join(f"join placed x{i} on x{i}.p = (a.p + {i}) % a.n" for i in range(1, len(SHUFFLED) + 1))
+        + "), aucs as ("
+        + " union all ".join(_auc_of(_shuffled_score(c), c) for c in ["", *SHUFFLED])
+        + f") select feature, {r("(select auc from aucs where feature = '') - auc")} as auc_loss from aucs where feature <> ''",
+    ),
+)
 def permutation_importance(spark, sf_dir):
     """AUC lost when a score is shuffled between clients."""
     rows = view(spark, sf_dir, "app").select("SK_ID_CURR", "TARGET", *[F.coalesce(col(c), F.lit(0.5)).alias(c) for c in WEIGHTS])
+    score = " + ".join(f"({w}D) * {c}" for c, w in WEIGHTS.items())
     return settled(
-        modeling.permutation_importance(
-            rows,
-            "SK_ID_CURR",
-            ["EXT_SOURCE_1", "EXT_SOURCE_2"],
-            "TARGET",
-            lambda d: d.withColumn("score", F.expr(" + ".join(f"{w}D * {c}" for c, w in WEIGHTS.items()))),
-        )
+        modeling.permutation_importance(rows, "SK_ID_CURR", SHUFFLED, "TARGET", lambda d: d.withColumn("score", F.expr(score)))
     )
+
+
+@query("baseline_comparison")
+def baseline_comparison(spark, sf_dir):
+    """Four model families and the dummy over the same three folds, by AUC, recall, F1, F2 and cost."""
+    rows = _folded(spark, sf_dir, 3)
+    scores = modeling.family_scores(rows, modeling.baselines("weight"), 3, prepare=_prepared).select("family", "SK_ID_CURR", "label", "score")
+    dummy = modeling.dummy_scores(rows, "SK_ID_CURR", "label").select(F.lit("dummy").alias("family"), "SK_ID_CURR", "label", "score")
+    return settled(modeling.family_table(scores.unionByName(dummy)))

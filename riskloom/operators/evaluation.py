@@ -52,15 +52,17 @@ def _cells(label: Column, predicted: Column) -> dict[str, Column]:
     }
 
 
-def confusion(df: DataFrame, label: str, score: str, threshold: float, inclusive: bool = True) -> DataFrame:
-    """One row: the four cells at a threshold."""
+def confusion(df: DataFrame, label: str, score: str, threshold: float, inclusive: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """The four cells at a threshold: one row, or one per group."""
     hit = col(score) >= F.lit(threshold) if inclusive else col(score) > F.lit(threshold)
     rows = df.where(col(label).isNotNull() & col(score).isNotNull())
-    return rows.agg(*[c.alias(n) for n, c in _cells(col(label), is_true(hit)).items()])
+    return rows.groupBy(*[col(b) for b in by]).agg(*[c.alias(n) for n, c in _cells(col(label), is_true(hit)).items()])
 
 
-def class_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5, inclusive: bool = True) -> DataFrame:
-    """Accuracy, precision, recall, F1, F2 and business cost at a threshold."""
+def class_metrics(
+    df: DataFrame, label: str, score: str, threshold: float = 0.5, inclusive: bool = True, by: Sequence[str] = ()
+) -> DataFrame:
+    """Accuracy, precision, recall, F1, F2 and business cost at a threshold, of all rows or per group."""
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     precision = F.coalesce(ratio(tp, tp + fp), F.lit(0.0))
     recall = F.coalesce(ratio(tp, tp + fn), F.lit(0.0))
@@ -69,7 +71,8 @@ def class_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5,
         b2 = beta * beta
         return F.coalesce(ratio((1 + b2) * tp, (1 + b2) * tp + b2 * fn + fp), F.lit(0.0))
 
-    return confusion(df, label, score, threshold, inclusive).select(
+    return confusion(df, label, score, threshold, inclusive, by).select(
+        *[col(b) for b in by],
         "tp",
         "fp",
         "fn",

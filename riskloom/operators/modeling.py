@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -17,27 +20,30 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import text
 from riskloom.functions.nulls import col
 from riskloom.functions.scalars import SPREAD_RANGE, class_weight, decision, spread
-from riskloom.operators.evaluation import roc_auc
-from riskloom.operators.ordered import numbered
+from riskloom.operators.evaluation import class_metrics, roc_auc
 from riskloom.operators.profiling import class_ratio
 from riskloom.session import checkpointed
 
 
-def baselines(n_features: int, weight: str | None = None, label: str = "label", seed: int = 42) -> dict[str, Estimator]:
+#: A family's estimator for rows with so many features.
+Family = Callable[[int], Estimator]
+
+
+def baselines(weight: str | None = None, label: str = "label", seed: int = 42) -> dict[str, Family]:
     """The model families compared before tuning."""
     kw = {"featuresCol": "features", "labelCol": label}
     w = {"weightCol": weight} if weight else {}
     return {
-        "logistic": LogisticRegression(maxIter=100, **kw, **w),
-        "forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **kw, **w),
-        "boosted": GBTClassifier(maxIter=30, maxDepth=4, seed=seed, **kw, **w),
-        "perceptron": MultilayerPerceptronClassifier(layers=[n_features, 16, 2], maxIter=100, seed=seed, **kw),
+        "logistic": lambda width: LogisticRegression(maxIter=100, **kw, **w),
+        "forest": lambda width: RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, **kw, **w),
+        "boosted": lambda width: GBTClassifier(maxIter=30, maxDepth=4, seed=seed, **kw, **w),
+        "perceptron": lambda width: MultilayerPerceptronClassifier(layers=[width, 16, 2], maxIter=100, seed=seed, **kw),
     }
 
 
@@ -84,18 +90,57 @@ def out_of_fold(
     ``prepare`` is fitted on the training rows of each fold (fills, scales, categories, weights),
     so nothing of the held-out rows reaches the model. The rows are written to the shared folder
     once: every fit passes over them, and a lost executor must not bring the feature building back."""
+    return family_scores(df, {"": lambda width: estimator}, folds, fold, sides, prepare).drop("family")
+
+
+#: Fits that run at a time.
+SIDE_BY_SIDE = 4
+
+
+def family_scores(
+    df: DataFrame,
+    families: Mapping[str, Family],
+    folds: int = 5,
+    fold: str = "fold",
+    sides: bool = False,
+    prepare: Prepare = as_it_is,
+    side_by_side: int = SIDE_BY_SIDE,
+) -> DataFrame:
+    """Out-of-fold scores of several model families: ``family``, ``held_out`` and ``score`` with every row.
+
+    Each fold is prepared once for all families, and the fits of folds and families run ``side_by_side`` at a time on one
+    stored table: one fit alone leaves executors idle at the end of each of its passes.
+    """
     data = checkpointed(df)
-    out = None
-    for i in range(folds):
+
+    def prepared(i: int) -> tuple[Callable[[DataFrame], DataFrame], DataFrame, int]:
         known = data.where(col(fold) != i)
         ready = prepare(known)
-        model = estimator.fit(ready(known))
+        train = checkpointed(ready(known)) if len(families) > 1 else ready(known)
+        first = train.select("features").first()
+        return ready, train, first["features"].size if first else 0
+
+    def fitted(job: tuple[str, int]) -> DataFrame:
+        name, i = job
+        ready, train, width = folds_ready[i]
+        model = families[name](width).fit(train)
         rows = data if sides else data.where(col(fold) == i)
-        scored = with_probability(model.transform(ready(rows))).withColumn("held_out", F.lit(i))
+        scored = with_probability(model.transform(ready(rows))).withColumns({"held_out": F.lit(i), "family": F.lit(name)})
         if sides:
             scored = scored.withColumn("side", F.when(col(fold) == i, F.lit("validation")).otherwise(F.lit("train")))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        return scored
+
+    jobs = [(name, i) for name in families for i in range(folds)]
+    with ThreadPoolExecutor(max_workers=side_by_side) as pool:
+        folds_ready = list(pool.map(inheritable_thread_target(data.sparkSession)(prepared), range(folds)))
+        parts = list(pool.map(inheritable_thread_target(data.sparkSession)(fitted), jobs))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def family_table(scores: DataFrame, label: str = "label", threshold: float = 0.5) -> DataFrame:
+    """AUC, recall, F1, F2 and business cost of every family over its out-of-fold scores."""
+    auc = roc_auc(scores, label, "score", by=["family"]).select("family", "auc")
+    return auc.join(class_metrics(scores, label, "score", threshold, by=["family"]).select("family", "recall", "f1", "f2", "cost"), "family")
 
 
 def fold_auc(oof: DataFrame, label: str = "label", score: str = "score", fold: str = "held_out") -> DataFrame:
@@ -180,27 +225,44 @@ def global_attribution(
     return df.agg(*parts).selectExpr(cells).orderBy(F.desc("mean_abs"), "feature")
 
 
-def permuted(df: DataFrame, key: str, column: str, seed: int = 42) -> DataFrame:
-    """``df`` with one column's values dealt out again in another order."""
-    slots = numbered(df, [], spread(col(key), seed), SPREAD_RANGE, [key]).drop("group_size", column)
-    values = (
-        numbered(df.select(col(key), col(column)), [], spread(col(key), seed + 1), SPREAD_RANGE, [key])
-        .select("position", col(column))
-    )
-    return slots.join(values, "position").select(*[col(c) for c in df.columns])
+#: Rows of a stretch of the drawn order within which values change places; one task orders a stretch.
+STRETCH = 1_000_000
+
+
+def permuted(df: DataFrame, key: str, columns: Sequence[str], seed: int = 42, stretch: int = STRETCH) -> DataFrame:
+    """``df`` with ``<column>__drawn`` for every column: its value in another row, all of them from one numbering.
+
+    Rows are put in an order drawn by key and seed and cut into stretches; the i-th column is taken from the row i places on,
+    round the stretch. In a random order any fixed distance gives a random partner, and different columns get different ones,
+    so one exchange and one ordering serve any number of columns.
+    """
+    parts = max(1, math.ceil(df.count() / stretch))
+    drawn = F.coalesce(spread(col(key), seed), F.lit(0))
+    cut = df.withColumns({"__order": drawn, "__part": F.floor(drawn * parts / SPREAD_RANGE).cast("int")})
+    inside = Window.partitionBy("__part").orderBy("__order", col(key))
+    placed = cut.withColumns({"__at": F.row_number().over(inside) - 1, "__size": F.count(F.lit(1)).over(Window.partitionBy("__part"))})
+    # The first rows once more behind the last ones, as partners only; they stay in their partition.
+    again = placed.withColumn("__place", F.explode(F.sequence(F.col("__at").cast("bigint"), F.col("__size") + len(columns) - 1, F.col("__size"))))
+    round_ = Window.partitionBy("__part").orderBy("__place")
+    partners = {f"{c}__drawn": F.lead(col(c), i).over(round_) for i, c in enumerate(columns, 1)}
+    whole = again.withColumns(partners).where(F.col("__place") < F.col("__size"))
+    return whole.drop("__order", "__part", "__at", "__size", "__place")
 
 
 def permutation_importance(
-    df: DataFrame, key: str, columns: Sequence[str], label: str, score: Callable[[DataFrame], DataFrame]
+    df: DataFrame, key: str, columns: Sequence[str], label: str, score: Callable[[DataFrame], DataFrame], seed: int = 42
 ) -> DataFrame:
-    """Loss of AUC when one column is shuffled; ``score`` adds a ``score`` column."""
-    base = roc_auc(score(df), label, "score").select("auc").scalar()
-    out = None
-    for c in columns:
-        part = roc_auc(score(permuted(df, key, c)), label, "score").select(F.lit(c).alias("feature"), "auc")
-        out = part if out is None else out.unionByName(part)
-    return out.select("feature", (base - F.col("auc")).alias("auc_loss")).orderBy(
-        F.desc("auc_loss"), "feature"
+    """Loss of AUC when one column is shuffled; ``score`` adds a ``score`` column. All variants of a row, the untouched one
+    among them, are scored together, and all their AUCs are taken in one pass."""
+    rows = permuted(df, key, columns, seed)
+    whole = [col(c) for c in df.columns]
+    variants = [F.struct(F.lit(None).cast("string").alias("__feature"), *whole)]
+    variants += [F.struct(F.lit(c).alias("__feature"), *[col(f"{n}__drawn").alias(n) if n == c else col(n) for n in df.columns]) for c in columns]
+    each = rows.select(F.explode(F.array(*variants)).alias("v")).select("v.*")
+    found = roc_auc(score(each).withColumn("feature", F.coalesce("__feature", F.lit(""))), label, "score", by=["feature"])
+    base = F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy(F.lit(0)))  # one row per column
+    return (
+        found.select("feature", (base - F.col("auc")).alias("auc_loss")).where("feature <> ''").orderBy(F.desc("auc_loss"), "feature")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.nulls import col
@@ -40,11 +40,32 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, key: str, label: str, n: int, seed: int = 42) -> DataFrame:
-    """About n rows with the label shares kept: round-half-up quota per label."""
-    placed = numbered(df, [label], spread(col(key), seed), SPREAD_RANGE, [key])
-    total = df.where(col(label).isNotNull()).agg(F.count(F.lit(1)).alias("total_")).scalar()
-    quota = F.floor(F.lit(float(n)) * F.col("group_size") / total + F.lit(0.5))
-    return placed.where(F.col("position") < quota).drop("position", "group_size")
+    """About n rows with the label shares kept: round-half-up quota per label.
+
+    Only rows below a cut of their label, a little more than its quota, are ordered. Labels are counted first; a label whose
+    repeated keys leave too few rows below the cut is taken whole. There are as many cuts as labels, which are few.
+    """
+    sizes = {r["y"]: r["m"] for r in df.groupBy(col(label).alias("y")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    total = sum(m for y, m in sizes.items() if y is not None)
+    if not total:
+        return df.limit(0)
+    # Rows without a label are a group that counts in no share.
+    quota = {y: math.floor(n * m / total + 0.5) for y, m in sizes.items()}
+    order = F.coalesce(spread(col(key), seed), F.lit(0))
+
+    def by_label(values: dict, otherwise: int) -> Column:
+        out = F.lit(otherwise).cast("bigint")
+        for y, v in values.items():
+            out = F.when(col(label).eqNullSafe(F.lit(y)), F.lit(v).cast("bigint")).otherwise(out)
+        return out
+
+    cuts = {y: min(SPREAD_RANGE, math.ceil(SPREAD_RANGE * (q + 6 * math.sqrt(q) + 20) / sizes[y])) for y, q in quota.items()}
+    below = df.where(order < by_label(cuts, 0))
+    left = {r["y"]: r["m"] for r in below.groupBy(col(label).alias("y")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    if short := {y: SPREAD_RANGE for y, q in quota.items() if left.get(y, 0) < min(q, sizes[y])}:
+        below = df.where(order < by_label(cuts | short, 0))
+    placed = numbered(below, [label], order, SPREAD_RANGE, [key])
+    return placed.where(F.col("position") < by_label(quota, 0)).drop("position", "group_size")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 42, into: str = "fold") -> DataFrame:

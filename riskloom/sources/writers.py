@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,18 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def save_history(tables: Mapping[str, DataFrame], folder: str, key: str, buckets: int) -> dict[str, DataFrame]:
+    """Each aggregate below ``folder``, bucketed and sorted by client, and read back so: joins of these tables with rows dealt
+    the same way (``rows.repartition(buckets, key)``) move and order nothing of the history. The catalogue names are new ones."""
+    out = {}
+    for name, df in tables.items():
+        table = f"{name}_{uuid.uuid4().hex}"
+        rows = df.repartition(buckets, col(key)).write.bucketBy(buckets, key).sortBy(key)
+        rows.option("path", f"{folder.rstrip('/')}/{name}").saveAsTable(table)
+        out[name] = df.sparkSession.table(table)
+    return out
+
+
 def write_contract(df: DataFrame, path: str) -> None:
     """The ordered column contract as JSON rows."""
     rows = df.sparkSession.createDataFrame(contract_rows(df), "position int, name string, type string")
