@@ -181,20 +181,33 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
+def digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def classes(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with the same set; null for an empty set or a null id), sig."""
+    """doc_id, n_shingles, class_id of every row; least_id, same (digest) and sig of its class with rows of the class's least id.
+
+    A class is one set, whatever ids its rows have, so rows that share an id and differ in text are in classes of their own.
+    class_id is a number of the class (null for an empty set or a null id), least_id the smallest id of its rows.
+    """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
-            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             sigs = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array(same, type=pa.binary()), pa.array(sigs, type=pa.binary())], names=["doc_id", "n_shingles", "same", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([digest(s) for s in sets], type=pa.binary()), pa.array(sigs, type=pa.binary())], names=["doc_id", "n_shingles", "same", "sig"])
 
     sets = staged(slim.mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, sig binary"), "sets")
-    first = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("same").agg(F.min("doc_id").alias("class_id"))
-    return sets.join(first, "same", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id") == F.col("class_id"), F.col("sig")).alias("sig"))
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    first = sets.filter(some).groupBy("same").agg(F.min("doc_id").alias("least_id"))
+    # Numbers of written rows: unique, and the same ever after.
+    first = staged(first.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    shows = some & (F.col("doc_id") == F.col("least_id"))
+    return sets.join(first, "same", "left").select(
+        "doc_id", "n_shingles", F.when(some, F.col("class_id")).alias("class_id"), *[F.when(shows, F.col(c)).alias(c) for c in ("least_id", "same", "sig")]
+    )
 
 
 def _by_node(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -338,19 +351,23 @@ def _linked_blocks(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) ->
 
 
 def linked(docs: DataFrame, gathered: DataFrame, reps: DataFrame, doc_id: str, text: str, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """Links a, b that join classes as the whole sets say; ```gathered`` has id and component (the gathering), ``reps`` class_id and n_shingles."""
+    """Links a, b that join classes as the whole sets say; ``gathered`` has id and component (the gathering), ``reps`` the classes."""
     weighed = gathered.join(reps.select(F.col("class_id").alias("id"), "n_shingles"), "id")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("bigint")
     sizes = weighed.groupBy("component").agg(blocks.alias("blocks"))
-    gathered = staged(weighed.join(sizes, "component").select(F.col("id").alias("class_id"), F.col("component").alias("gathering"), "blocks"), "gathered")
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("class_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    whose = reps.select("class_id", "least_id", "same")
+    gathered = staged(weighed.join(sizes, "component").select(F.col("id").alias("class_id"), F.col("component").alias("gathering"), "blocks").join(whose, "class_id"), "gathered")
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("least_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("gathering", "blocks", "class_id")], pa.array(sets, type=pa.binary())], names=["gathering", "blocks", "class_id", "tokens"])
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            # An id may have other texts, too; the class's own is told by its digest.
+            own = pa.array([digest(x) == y.as_py() for x, y in zip(sets, batch.column("same"))], type=pa.bool_())
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("gathering", "blocks", "class_id")], pa.array([x.astype("<u8").tobytes() for x in sets], type=pa.binary())], names=["gathering", "blocks", "class_id", "tokens"])
+            yield out.filter(own)
 
-    sets = texts.join(gathered, "class_id").select("gathering", "blocks", "class_id", "text").mapInArrow(tokens, "gathering bigint, blocks bigint, class_id bigint, tokens binary")
+    sets = texts.join(gathered, "least_id").select("gathering", "blocks", "class_id", "same", "text").mapInArrow(tokens, "gathering bigint, blocks bigint, class_id bigint, tokens binary")
     some_large = bool(gathered.filter(F.col("blocks") > 1).take(1))
     if some_large:
         sets = staged(sets, "tokens")
@@ -398,20 +415,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``share[0]`` * shingles of either are linked, confirmed on whole sets. A component is all that links
     reach; its smallest id is kept. Empty and null texts are linked with nothing. Rows with a null id are
     linked with nothing and kept, without a component. Rows of one id and different texts join their
-    components. An empty table gives no rows.
+    components. Repeated rows have the same result each. An empty table gives no rows.
     """
     similar = share[0] / share[1]
-    known = staged(classes(docs, doc_id, text, shingle), "classes")
-    reps = staged(known.filter(F.col("sig").isNotNull()).groupBy("class_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "reps")
-    pairs = candidates(reps, similar, trees)
-    if not pairs.take(1):
-        labels = None
-    else:
-        labels = components(linked(docs, components(pairs), reps, doc_id, text, shingle, share))
-    out = known.select("doc_id", "n_shingles", "class_id")
-    if labels is not None:
-        out = out.join(labels, out["class_id"] == labels["id"], "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("bigint"))
-    component = F.coalesce("component", "class_id", "doc_id")
+    known = staged(classes(docs, doc_id, text, shingle), "known")
+    shown = known.filter(F.col("sig").isNotNull()).groupBy("class_id")
+    reps = staged(shown.agg(F.max("n_shingles").alias("n_shingles"), *[F.min(c).alias(c) for c in ("least_id", "same", "sig")]), "reps")
+    known = known.select("doc_id", "n_shingles", "class_id")
+    pairs = candidates(reps.select("class_id", "sig"), similar, trees)
+    edges = linked(docs, components(pairs), reps, doc_id, text, shingle, share) if pairs.take(1) else None
+    # Ids with several texts join the classes of these.
+    several = known.filter(F.col("class_id").isNotNull()).groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a <> b")
+    if several.take(1):
+        own = known.join(several.select("doc_id", "a"), "doc_id").filter(F.col("class_id") != F.col("a")).select("a", F.col("class_id").alias("b"))
+        edges = own if edges is None else edges.unionByName(own)
+    least = reps.select(F.col("class_id").alias("id"), "least_id")
+    if edges is not None:
+        labels = components(edges).join(least, "id")
+        smallest = labels.groupBy("component").agg(F.min("least_id").alias("_x_least"))
+        joined = labels.join(smallest, "component").select("id", "_x_least")
+        least = least.join(joined, "id", "left").select("id", F.coalesce("_x_least", "least_id").alias("least_id"))
+    out = known.join(least, known["class_id"] == least["id"], "left")
+    component = F.coalesce("least_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

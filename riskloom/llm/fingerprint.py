@@ -2,7 +2,9 @@
 
 A text is a multiset of paragraphs (its lines). Each paragraph's SHA-256 is a vector of 8 words, added
 modulo 2**32: equal multisets of lines, in any order, have equal sums, and lines are inserted or deleted by
-adding or subtracting their vectors. For likeness, each line is cut into runs of at most 8 words; the 128
+adding or subtracting their vectors. For likeness, each line is cut into runs of words: a run ends after a word
+with one of a few last characters, after 8 words at most, so that a word inserted or deleted changes only the runs up to
+the next such word. The 128
 bits of a run's MD5 are added lane by lane, modulo 2**32 (shown modulo 2**16). Read as +1 and -1, two such
 vectors have as dot product, up to noise of about 1 / sqrt(128), the product of the two multisets.
 """
@@ -15,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS, LANES = 8, 128
-#: At most eight words of one line, each with the white space that follows it.
-RUN = r"(?:[^ \t\n\r\x0B\f]+[ \t\r\x0B\f]*){1,8}"
+#: Last characters of the words that end a run.
+ENDS = "AIMQUYaimquy159"
+#: Words of one line up to one that ends a run, eight at most, each with the white space that follows it.
+RUN = rf"(?:[^ \t\n\r\x0B\f]*[^ \t\n\r\x0B\f{ENDS}][ \t\r\x0B\f]+){{0,7}}[^ \t\n\r\x0B\f]+[ \t\r\x0B\f]*"
 LOW_BITS = (1 << 32) | 1
 
 

@@ -16,7 +16,9 @@ from riskloom.llm.common import staged
 #: Distinct labelled statistics used at most for their scaling and the kernel width (the fit itself uses all rows).
 SCALE_ROWS = 20_000
 FEATURES = 384
-RIDGES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
+#: Tried in all pairs: kernel widths as multiples of the median distance, and penalties.
+WIDTHS = (1.0, 2.0, 4.0, 8.0)
+RIDGES = (1e-8, 1e-7, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2)
 #: Scores are counted in this many bins before the isotonic fit.
 BINS = 4096
 
@@ -101,12 +103,14 @@ class Scorer:
     weights: np.ndarray
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     heights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    width: float = 1.0
 
-    def features(self, stats: np.ndarray) -> np.ndarray:
-        """Random Fourier features and a constant: their products approximate a Gaussian kernel."""
+    def features(self, stats: np.ndarray, width: float | None = None) -> np.ndarray:
+        """Random Fourier features and a constant: their products approximate a Gaussian kernel, ``width`` times as wide as the
+        median distance. Nothing else goes in, so all that a score knows it knows through the kernel."""
         z = np.clip((stats - self.centre) / self.scale, -8, 8)
-        waves = np.cos(z @ self.directions + self.offsets) * np.sqrt(2 / len(self.offsets))
-        return np.hstack([waves, z, np.ones((len(z), 1))])
+        waves = np.cos(z @ (self.directions / (width or self.width)) + self.offsets) * np.sqrt(2 / len(self.offsets))
+        return np.hstack([waves, np.ones((len(z), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
         return self.features(stats) @ self.weights
@@ -120,34 +124,38 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
 
 
-def _sums(labelled: DataFrame, scorer: Scorer) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
-    """The normal equations of each fold: features' products, products with labels, rows, sum of labels squared.
+#: Products of features, products with labels, rows, sum of labels squared.
+Normal = tuple[np.ndarray, np.ndarray, float, float]
+
+
+def _sums(labelled: DataFrame, scorer: Scorer, widths: tuple[float, ...]) -> list[list[Normal]]:
+    """The normal equations of each width and fold, from one pass.
 
     Each partition adds up its own; the partitions' sums are added in a tree, so the driver adds few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
+        size = len(scorer.offsets) + 2
+        totals, seen = np.zeros((len(widths), 2, size, size)), False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            f, y, k = scorer.features(_matrix(batch)), 2.0 * np.asarray(batch.column("quality")) - 1, np.asarray(batch.column("fold"))
-            whole = np.hstack([f, y[:, None]])
-            for fold in (0, 1):
-                part = whole[k == fold]
-                if len(part):
-                    totals[fold] = totals.get(fold, 0) + part.T @ part
-        if totals:
-            size = next(iter(totals.values())).shape[0]
-            both = np.stack([totals.get(i, np.zeros((size, size))) for i in (0, 1)])
-            yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], type=pa.binary())], names=["sums"])
+            seen = True
+            stats, y, k = _matrix(batch), 2.0 * np.asarray(batch.column("quality")) - 1, np.asarray(batch.column("fold"))
+            for w, width in enumerate(widths):
+                whole = np.hstack([scorer.features(stats, width), y[:, None]])
+                for fold in (0, 1):
+                    part = whole[k == fold]
+                    totals[w, fold] += part.T @ part
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([totals.tobytes()], type=pa.binary())], names=["sums"])
 
     sums = labelled.mapInArrow(run, "sums binary").rdd.map(lambda r: np.frombuffer(bytes(r[0])))
     total = sums.treeReduce(lambda a, b: a + b, 3) if not sums.isEmpty() else None
     if total is None:
         return []
-    size = int(np.sqrt(len(total) // 2))
-    return [(g[:-1, :-1], g[:-1, -1], g[-2, -2], g[-1, -1]) for g in total.reshape(2, size, size)]
+    size = len(scorer.offsets) + 2
+    return [[(g[:-1, :-1], g[:-1, -1], g[-2, -2], g[-1, -1]) for g in folds] for folds in total.reshape(len(widths), 2, size, size)]
 
 
 def _ridge(gram: np.ndarray, target: np.ndarray, rows: float, ridge: float) -> np.ndarray:
@@ -190,8 +198,8 @@ def _distinct_sample(used: DataFrame, distinct: int) -> np.ndarray:
 def fit(labelled: DataFrame, seed: int = 20, features: int = FEATURES) -> Scorer:
     """A scorer from rows with stats, quality (0 or 1) and fold (0 or 1).
 
-    Scaling and kernel width come from at most SCALE_ROWS different statistics; all rows go into the normal equations. Each
-    fold is scored by the weights of the other to choose the ridge and to fit the calibration. Rows whose
+    Scaling and median distance come from at most SCALE_ROWS different statistics; all rows go into the normal equations. Each
+    fold is scored by the weights of the other to choose kernel width and ridge and to fit the calibration. Rows whose
     label is neither 0 nor 1 are left out. Without rows of both labels every score is the share of label 1,
     or one half without rows.
     """
@@ -207,21 +215,26 @@ def fit(labelled: DataFrame, seed: int = 20, features: int = FEATURES) -> Scorer
     apart = np.linalg.norm(z[picks[0]] - z[picks[1]], axis=1)
     apart = apart[apart > 0]  # a row picked twice says nothing of the width
     gamma = max(float(np.median(apart)), 1e-3) if len(apart) else 1.0
-    scorer = Scorer(centre, scale, rng.normal(size=(width, features)) / gamma, rng.uniform(0, 2 * np.pi, features), np.zeros(features + width + 1))
-    parts = _sums(used, scorer)
-    if not parts or totals[1] in (0.0, 1.0):
+    scorer = Scorer(centre, scale, rng.normal(size=(width, features)) / gamma, rng.uniform(0, 2 * np.pi, features), np.zeros(features + 1))
+    sums = _sums(used, scorer, WIDTHS)
+    if not sums or totals[1] in (0.0, 1.0):
         share = 0.5 if not totals[0] else float(totals[1])
         scorer.heights = np.array([share, share])
         return scorer
-    halves = [p for p in parts if p[2] > 0]
 
-    def crossed(ridge: float) -> list[np.ndarray]:
-        return [_ridge(p[0], p[1], p[2], ridge) for p in parts] if len(halves) == 2 else [_ridge(*halves[0][:3], ridge)] * 2
+    def crossed(parts: list[Normal], ridge: float) -> list[np.ndarray]:
+        """Each fold's weights from the other fold; from itself if the other is empty."""
+        full = [p if p[2] > 0 else parts[1 - i] for i, p in enumerate(parts)]
+        return [_ridge(*p[:3], ridge) for p in full[::-1]]
+
+    def loss(choice: tuple[int, float]) -> float:
+        return sum(_loss(w, p) for w, p in zip(crossed(sums[choice[0]], choice[1]), sums[choice[0]]))
 
-    best = min(RIDGES, key=lambda r: sum(_loss(w, p) for w, p in zip(crossed(r)[::-1], parts)))
-    by_fold = crossed(best)[::-1]  # fold 0 is scored by what fold 1 gave
-    scorer.weights = _ridge(parts[0][0] + parts[1][0], parts[0][1] + parts[1][1], parts[0][2] + parts[1][2], best)
-    models = [Scorer(scorer.centre, scorer.scale, scorer.directions, scorer.offsets, w) for w in by_fold]
+    at, ridge = min(((w, r) for w in range(len(WIDTHS)) for r in RIDGES), key=loss)
+    parts, scorer.width = sums[at], WIDTHS[at]
+    by_fold = crossed(parts, ridge)
+    scorer.weights = _ridge(parts[0][0] + parts[1][0], parts[0][1] + parts[1][1], parts[0][2] + parts[1][2], ridge)
+    models = [Scorer(scorer.centre, scorer.scale, scorer.directions, scorer.offsets, w, width=scorer.width) for w in by_fold]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,8 +245,8 @@ def fit(labelled: DataFrame, seed: int = 20, features: int = FEATURES) -> Scorer
                 yield pa.RecordBatch.from_arrays([pa.array(bins), batch.column("quality")], names=["bin", "quality"])
 
     counted = used.mapInArrow(place, "bin bigint, quality double").groupBy("bin").agg(F.sum("quality").alias("good"), F.count("*").alias("rows")).orderBy("bin").collect()
-    at = (np.array([r["bin"] for r in counted]) + 0.5) / BINS * 4 - 2
-    scorer.knots, scorer.heights = isotonic(at, np.array([r["good"] for r in counted]), np.array([float(r["rows"]) for r in counted]))
+    bins = (np.array([r["bin"] for r in counted]) + 0.5) / BINS * 4 - 2
+    scorer.knots, scorer.heights = isotonic(bins, np.array([r["good"] for r in counted]), np.array([float(r["rows"]) for r in counted]))
     return scorer
 
 

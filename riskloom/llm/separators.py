@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import freed_shuffles, staging_path
 
-#: Stands for a null id in the file of ids.
-NO_ID = -(1 << 63)
+#: Bytes of a record in the file of ids: the id, whether it is null, and the end marker.
+RECORD = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("end", "<u2")])
+#: Files up to so many bytes are read whole by Spark, from any store that it reads; larger ones range by range.
+WHOLE_FILE = 64 << 20
 
 
 def write_flat(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, end: int, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -33,7 +35,7 @@ def write_flat(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, en
 
     if end >= 1 << 16 or len(ranks) >= 1 << 16:
         raise ValueError("two bytes hold ids below 65536")
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shared = slim.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +43,7 @@ def write_flat(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, en
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             tokens = [np.array(encoding.encode_ordinary(t.as_py()), dtype="<u2").tobytes() for t in batch.column("text")]
-            names = [int(i).to_bytes(8, "little", signed=True) for i in ids]
+            names = [int(i or 0).to_bytes(8, "little", signed=True) + bytes([i is None]) for i in ids]
             yield pa.RecordBatch.from_arrays([pa.array(["ids"] * len(ids) + ["tokens"] * len(ids)), pa.array(ids * 2, type=pa.int64()), pa.array(names + tokens, type=pa.binary())], names=["kind", "doc_id", "value"])
 
     rows = slim.mapInArrow(run, "kind string, doc_id bigint, value binary").sortWithinPartitions("kind", "doc_id", "value")
@@ -50,21 +52,36 @@ def write_flat(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern: str, en
         rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", marker).text(path)
 
 
-def _blocks(spark: SparkSession, path: str, block_bytes: int) -> DataFrame:
-    """path, block, start, stop of byte ranges; the files are listed, not read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+def _blocks(spark: SparkSession, path: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """path, block, start, stop and raw (the bytes) of byte ranges: of small files, which Spark reads, and of large ones, whose
+    bytes are left to the task that scans a range."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
     count = F.floor((F.col("length") - 1) / block_bytes)
-    blocks = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), count)).alias("block"))
     start = F.col("block") * block_bytes
-    return blocks.select("path", "block", start.alias("start"), F.least(F.col("length"), start + block_bytes).alias("stop"))
 
+    def cut(some: DataFrame, *content: str) -> DataFrame:
+        blocks = some.select("path", "length", *content, F.explode(F.sequence(F.lit(0).cast("bigint"), count)).alias("block"))
+        raw = F.expr(f"substring(content, CAST(block * {block_bytes} + 1 AS INT), {block_bytes})") if content else F.lit(None).cast("binary")
+        return blocks.select("path", "block", start.alias("start"), F.least(F.col("length"), start + block_bytes).alias("stop"), raw.alias("raw"))
 
-def _bytes_of(path: str, start: int, stop: int) -> bytes:
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    large = cut(files.filter(F.col("length") > WHOLE_FILE)).repartition(tasks, "path", "block")
+    return cut(files.filter(F.col("length") <= WHOLE_FILE), "content"), large
+
+
+def _bytes_of(row) -> bytes:
+    if row.raw is not None:
+        return bytes(row.raw)
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = fs.FileSystem.from_uri(row.path)
     with store.open_input_file(name) as f:
-        return f.read_at(stop - start, start)
+        return f.read_at(row.stop - row.start, row.start)
+
+
+def _scanned(spark: SparkSession, path: str, block_bytes: int, scan, schema: str) -> DataFrame:
+    small, large = _blocks(spark, path, block_bytes)
+    return small.mapInPandas(scan, schema).unionByName(large.mapInPandas(scan, schema))
 
 
 def count_tokens(spark: SparkSession, path: str, end: int, block_bytes: int = 8 << 20) -> DataFrame:
@@ -80,15 +97,13 @@ def count_tokens(spark: SparkSession, path: str, end: int, block_bytes: int = 8
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                raw = _bytes_of(r.path, r.start, r.stop)
+                raw = _bytes_of(r)
                 tokens = np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<u2")
                 ends = np.flatnonzero(tokens == end)
                 sizes = np.diff(ends, prepend=-1) - 1
                 yield pd.DataFrame({"path": [r.path], "block": [r.block], "first": [r.start // 2], "tokens": [len(tokens)], "ended": [len(ends)], "tail": [len(tokens) - (ends[-1] + 1) if len(ends) else len(tokens)], "sizes": [sizes.astype(np.int64)]})
 
-    blocks = _blocks(spark, path, block_bytes)
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    found = blocks.repartition(tasks, "path", "block").mapInPandas(scan, "path string, block bigint, first bigint, tokens bigint, ended bigint, tail bigint, sizes array<bigint>")
+    found = _scanned(spark, path, block_bytes, scan, "path string, block bigint, first bigint, tokens bigint, ended bigint, tail bigint, sizes array<bigint>")
     # The prefix scan: a file's blocks in order, one short row for each.
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     group = F.coalesce(F.sum(F.when(F.col("ended") > 0, 1).otherwise(0)).over(before), F.lit(0))
@@ -109,18 +124,17 @@ def count_tokens(spark: SparkSession, path: str, end: int, block_bytes: int = 8
 
 
 def read_ids(spark: SparkSession, path: str, block_records: int = 100_000) -> DataFrame:
-    """path, ordinal, doc_id from files of ids that write_flat wrote (ten bytes each)."""
+    """path, ordinal, doc_id from files of ids that write_flat wrote."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind = np.dtype([("doc_id", "<i8"), ("end", "<u2")])
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids = np.frombuffer(_bytes_of(r.path, r.start, r.stop), dtype=kind)["doc_id"].copy()
-                yield pd.DataFrame({"path": r.path, "ordinal": r.start // 10 + np.arange(len(ids)), "doc_id": pd.array(ids, dtype="Int64")}).assign(doc_id=lambda d: d["doc_id"].mask(d["doc_id"] == NO_ID))
+                records = np.frombuffer(_bytes_of(r), dtype=RECORD)
+                ids = pd.array(records["doc_id"].copy(), dtype="Int64")
+                ids[records["null"] == 1] = pd.NA
+                yield pd.DataFrame({"path": r.path, "ordinal": r.start // RECORD.itemsize + np.arange(len(records)), "doc_id": ids})
 
-    blocks = _blocks(spark, path, 10 * block_records)
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return blocks.repartition(tasks, "path", "block").mapInPandas(read, "path string, ordinal bigint, doc_id bigint")
+    return _scanned(spark, path, RECORD.itemsize * block_records, read, "path string, ordinal bigint, doc_id bigint")
 
 
 def part(path: str = "path"):
@@ -142,4 +156,5 @@ def counted_documents(docs: DataFrame, ranks: list[tuple[bytes, int]], pattern:
         return spark.createDataFrame([], schema)
     counts = count_tokens(spark, f"{path}/kind=tokens", end, block_bytes).withColumn("part", part())
     ids = read_ids(spark, f"{path}/kind=ids").select(part().alias("part"), "ordinal", "doc_id")
-    return counts.join(ids, ["part", "ordinal"]).select("doc_id", "part", "ordinal", "first_token", "n_tokens")
+    # Both sides grow with the documents, which their plans, made of short lists of files, do not tell.
+    return counts.hint("merge").join(ids.hint("merge"), ["part", "ordinal"]).select("doc_id", "part", "ordinal", "first_token", "n_tokens")
