@@ -9,10 +9,10 @@ from pyspark.sql import types as T
 
 from riskloom.catalog.registry import ORACLES, query
 from riskloom.catalog.views import history, r, settled, table, view, with_views
+from riskloom.functions import text
 from riskloom.functions.nulls import replace_infinities
 from riskloom.functions.scalars import class_weight, decision, years_to_days
 from riskloom.operators import aggregation, cleaning, contract, features, joins, modeling
-from riskloom.operators.ordered import exact_quantiles
 from riskloom.plans import credit
 from riskloom.schemas import FeatureParams
 from riskloom.session import staging_path
@@ -255,9 +255,8 @@ def median_fill(spark, sf_dir):
     ),
 )
 def fit_caps(spark, sf_dir):
-    rows = view(spark, sf_dir, "dirty_lines")
-    q = exact_quantiles(rows, ["price", "qty", "tax"], [0.995, 0.99])
-    return settled(q.select("column", F.when(F.col("column") == "price", F.col("q0")).otherwise(F.col("q1")).alias("cap")))
+    caps = cleaning.fit_caps(view(spark, sf_dir, "dirty_lines"), {"price": 0.995, "qty": 0.99, "tax": 0.99})
+    return settled(text.frame(spark, [{"column": text.value(c), "cap": text.value(v)} for c, v in caps.items()]))
 
 
 PARAMS = FeatureParams(

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskloom.catalog.registry import query
+from riskloom.catalog.profile_queries import DERIVED, _derived
+from riskloom.catalog.registry import ORACLES, query
 from riskloom.catalog.views import r, settled, table, view, with_views
-from riskloom.operators import profiling
+from riskloom.operators import clustering, contract, profiling
+from riskloom.plans.monitoring import analyse
 from riskloom.session import staging_path
 from riskloom.sources import readers
 
@@ -173,3 +179,100 @@ def csv_scan(spark, sf_dir):
         ),
         1,
     )
+
+
+# --- monitoring ------------------------------------------------------------------------------
+
+WEEK = "(select * from calls_log where created_at >= timestamp '2024-01-31' - interval 168 hours)"
+K_OF_LOG = "try_cast(regexp_extract(features, '\"k\": *([0-9]+)', 1) as bigint)"
+
+
+def _figures(part: str, key: str, value: str, rest: str) -> str:
+    return f"select '{part}' as part, {key} as item, {r(value)} as x {rest}"
+
+
+def _per_day(part: str, value: str, where: str = "true") -> str:
+    """A value per day, days between the first and the last without calls included."""
+    days = f"(select unnest(range(date_trunc('day', min(created_at)), date_trunc('day', max(created_at)) + interval 1 day, interval 1 day)) as day from {WEEK} where {where})"
+    counted = f"(select date_trunc('day', created_at) as day, {value} as v from {WEEK} where {where} group by 1)"
+    return _figures(part, "strftime(d.day, '%Y-%m-%d')", "v", f"from {days} d left join {counted} c using (day)")
+
+
+@query(
+    "monitoring_figures",
+    with_views(
+        "log",
+        body=f""", old as (select {K_OF_LOG} as k from calls_log where created_at < timestamp '2024-01-16'),
+        new as (select {K_OF_LOG} as k from {WEEK} where status = 'succes'),
+        steps as (select k as v, cast(sum(r) over (order by k) as double) as cum_r, cast(sum(c) over (order by k) as double) as cum_c, sum(r) over () as n_r, sum(c) over () as n_c,
+            lead(k) over (order by k) as nxt from (select k, sum(r) as r, sum(c) as c from (select k, 1 as r, 0 as c from old union all select k, 0, 1 from new) b where k is not null group by k) g),
+        w1 as (select round(sum(abs(cum_r / n_r - cum_c / n_c) * (nxt - v)) / greatest((select stddev_pop(k) from old), 0.001), 4) as score from steps)
+        """
+        + _union(
+            [
+                _figures("headline", f"'{k}'", v, f"from {WEEK}")
+                for k, v in (
+                    ("calls", "count(*)"),
+                    ("error_rate", "avg(case when status <> 'succes' then 1 else 0 end)"),
+                    ("refusal_rate", "avg(case when decision = 'refusé' then 1 else 0 end) filter (where status = 'succes')"),
+                    ("median_latency", "quantile_cont(latency_ms, 0.5) filter (where status = 'succes')"),
+                    ("known_share", "avg(case when history_found then 1 else 0 end) filter (where status = 'succes')"),
+                )
+            ]
+            + [_figures("errors", "status || ' ' || error_type", "count(*)", f"from {WEEK} where status <> 'succes' and error_type is not null group by status, error_type")]
+            + [_per_day("volume", "count(*)"), _per_day("error_rate", "avg(case when status <> 'succes' then 1 else 0 end)")]
+            + [_per_day("refusal_rate", "avg(case when decision = 'refusé' then 1 else 0 end)", "status = 'succes'")]
+            + [_per_day(f"latency_{n}", f"quantile_cont(latency_ms, {q})", "status = 'succes'") for n, q in (("median", 0.5), ("p95", 0.95))]
+            + [
+                _figures("histogram", "cast(b as varchar)", "coalesce(n, 0)", f"""from (select unnest(range(20)) as b) bins left join (
+                  select least(cast(floor(probability * 20) as bigint), 19) as b, count(*) as n from {WEEK} where status = 'succes' and probability between 0 and 1 group by 1) c using (b)""")
+            ]
+            + [
+                _figures("drift_score", "'k'", "score", "from w1"),
+                _figures("drift_summary", "'columns_drifted'", "case when score > 0.1 then 1 else 0 end", "from w1"),
+                _figures("drift_summary", "'columns_compared'", "1", "from w1"),
+                _figures("drift_summary", "'share_drifted'", "case when score > 0.1 then 1 else 0 end", "from w1"),
+                _figures("drift_summary", "'n_rows'", "(select count(*) from new)", "from w1"),
+            ]
+        ),
+    ),
+)
+def monitoring_figures(spark, sf_dir):
+    """Every figure of the monitoring report of one week, its drift included."""
+    log = view(spark, sf_dir, "log")
+    old = contract.expand_json(log.where(F.col("created_at") < F.lit("2024-01-16").cast("timestamp_ntz")), "features", T.StructType([T.StructField("k", T.LongType())]))
+    report = analyse(log, old, "7d", datetime(2024, 1, 31))
+
+    def part(name: str, df: DataFrame, item: Column, value: str) -> DataFrame:
+        return df.select(F.lit(name).alias("part"), item.cast("string").alias("item"), F.col(value).cast("double").alias("x"))
+
+    def named(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
+        wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        return part(name, wide.unpivot([], columns, "item", "x"), F.col("item"), "x")
+
+    day = F.date_format("bucket", "yyyy-MM-dd")
+    parts = [
+        named("headline", report["headline"], ["calls", "error_rate", "refusal_rate", "median_latency", "known_share"]),
+        part("errors", report["errors"], F.concat_ws(" ", "status", "error_type"), "calls"),
+        part("volume", report["volume"], day, "n"),
+        part("error_rate", report["error_rate"], day, "error_rate"),
+        part("refusal_rate", report["refusal_rate"], day, "refusal_rate"),
+        *[part(f"latency_{m}", report["latency"].where(F.col("measure") == m), day, "ms") for m in ("median", "p95")],
+        part("histogram", report["probabilities"], F.col("bin"), "n"),
+        part("drift_score", report["drift"], F.col("column"), "score"),
+        named("drift_summary", report["drift_summary"], ["columns_drifted", "columns_compared", "share_drifted", "n_rows"]),
+    ]
+    return settled(reduce(DataFrame.unionByName, parts))
+
+
+@query("protected_clusters", ORACLES["cluster_reduction"])
+def protected_clusters(spark, sf_dir):
+    """The same clusters with counts, sums and anomaly flags beside them, each a copy of a clustered column: none of them is touched."""
+    rows = _derived(spark, sf_dir)
+    names = list(DERIVED)
+    beside = {f"{names[0]}_COUNT": names[0], f"{names[1]}_sum": names[1], f"ANOM_{names[2]}": names[2]}
+    wide = rows.withColumns({c: F.col(source) for c, source in beside.items()})
+    kept, dropped, audit = clustering.fit_drop_list(wide, [*names, *beside], "label", 0.7)
+    if set(beside) & {*kept, *dropped}:
+        raise ValueError("a protected column was clustered")
+    return settled(audit.withColumn("dropped", F.array_join("dropped", ",")))

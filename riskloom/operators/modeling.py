@@ -272,11 +272,16 @@ def score_with(
     predict: Callable[[np.ndarray], np.ndarray],
     keep: Sequence[str],
     into: str = "probability",
+    most_bytes: int = 256 << 20,
 ) -> DataFrame:
     """Score with a model Spark does not know: ``predict`` gets a (rows, columns) array per
-    batch. The model is broadcast once per executor."""
+    batch. The model is broadcast once per executor; one of more than ``most_bytes`` is an error, and
+    is better read by ``predict`` from a path that all executors share."""
     narrow = df.select(*[col(k) for k in keep], *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    holder = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(predict))
+    packed = cloudpickle.dumps(predict)
+    if len(packed) > most_bytes:
+        raise ValueError(f"a model of {len(packed)} bytes is too large to send to every executor")
+    holder = df.sparkSession.sparkContext.broadcast(packed)
     inputs = [f"x{i}" for i in range(len(columns))]
     keys = list(keep)
     schema = narrow.select(*[col(k) for k in keep], F.lit(0.0).alias(into)).schema

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.storagelevel import StorageLevel
 
 from riskloom.operators.binning import fixed_histogram
 from riskloom.operators.contract import bucket_width, contract_of, expand_json, since, with_status
@@ -21,16 +20,17 @@ from riskloom.operators.timeline import (
     volume,
 )
 from riskloom.schemas import SUCCESS
+from riskloom.session import checkpointed
 
 
 def analyse(
     log: DataFrame, reference: DataFrame, window: str, now: datetime, exclude: Sequence[str] = ("SK_ID_CURR",)
 ) -> dict[str, DataFrame]:
-    """Every number of the monitoring page from one scan of the log.
+    """Every number of the monitoring page from one scan of the log: the calls of the window are written to the shared folder.
 
     Rates use all calls; drift, decisions and latency use the successful ones only.
     """
-    calls = since(log, "created_at", window, now).persist(StorageLevel.MEMORY_AND_DISK)
+    calls = checkpointed(since(log, "created_at", window, now))
     ok = with_status(calls, SUCCESS)
     width = bucket_width(window)
     quantiles = {"median": 0.5, "p95": 0.95}

@@ -112,3 +112,11 @@ def test_metrics_by_group(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.8), ("b", 1, 0.1)], "g string, y int, s double")
     rows = by_key(evaluation.class_metrics(df, "y", "s", by=["g"]), "g")
     assert (rows["a"]["cost"], rows["b"]["cost"], rows["a"]["recall"]) == (1, 10, 1.0)
+
+
+def test_a_model_of_any_size_is_not_sent_around(spark):
+    weights = np.ones(1000)
+    df = spark.createDataFrame([(1, 2.0)], "id long, x double")
+    with pytest.raises(ValueError, match="too large"):
+        modeling.score_with(df, ["x"], lambda x: x[:, 0] * weights[0], ["id"], most_bytes=1000)
+    assert modeling.score_with(df, ["x"], lambda x: x[:, 0], ["id"]).first()["probability"] == 2.0
