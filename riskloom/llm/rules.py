@@ -68,14 +68,19 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce((a["h"] == b["h"]) & (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]), F.lit(False))
 
 
-def _grams(words: Column) -> Column:
+def _hashes(words: Column) -> Column:
+    """A hash of every window of three words, in order."""
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def _grams(words: Column, hashes: Column) -> Column:
     """All windows of three words with their places, ordered so that equal ones are neighbours; words are compared only where hashes agree."""
 
-    def window(w: Column, i: Column) -> Column:
-        b, c = F.get(words, i + 1), F.get(words, i + 2)
-        return F.struct(F.xxhash64(w, b, c).alias("h"), w.alias("w0"), b.alias("w1"), c.alias("w2"), i.alias("at"))
+    def window(h: Column, i: Column) -> Column:
+        parts = [F.get(words, i + k).alias(f"w{k}") for k in range(3)]
+        return F.struct(h.alias("h"), *parts, i.alias("at"))
 
-    return F.sort_array(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), window))
+    return F.sort_array(F.transform(hashes, window))
 
 
 def _covered(grams: Column) -> Column:
@@ -86,6 +91,13 @@ def _covered(grams: Column) -> Column:
     return F.aggregate(places, start, lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")), lambda acc: acc["n"])
 
 
+def _repeated(words: Column, hashes: Column) -> Column:
+    """The same from the words. Texts whose windows all have hashes of their own, most by far, need no ordering."""
+    some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    # A lambda variable is computed once; an expression in its place would be computed for every window.
+    return F.when(some, F.transform(F.array(_grams(words, hashes)), _covered)[0]).otherwise(0)
+
+
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the measures of every text (bigint), words being what stands between white space."""
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_x_text"))
@@ -95,14 +107,14 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         F.filter(F.split("_x_text", "\n"), lambda line: F.translate(line, SPACES, "") != "").alias("_x_lines"),
         F.regexp_replace("_x_text", r"[^\p{L}]+", "").alias("_x_letters"),
     )
-    ordered = parts.select("*", _grams(F.col("_x_words")).alias("_x_grams"), F.transform("_x_lines", lambda line: F.trim(line, F.lit(SPACES))).alias("_x_trimmed"))
+    ready = parts.select("*", _hashes(F.col("_x_words")).alias("_x_hashes"), F.transform("_x_lines", lambda line: F.trim(line, F.lit(SPACES))).alias("_x_trimmed"))
     lines, trimmed = F.col("_x_lines"), F.col("_x_trimmed")
     counts = {
         "n_words": F.size("_x_words"),
         "word_chars": F.length(F.translate("_x_text", SPACES, "")),
         "n_symbols": _count(F.col("_x_text"), SYMBOLS),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": _covered(F.col("_x_grams")),
+        "n_repeat_words": _repeated(F.col("_x_words"), F.col("_x_hashes")),
         "n_lines": F.size(lines),
         "n_cut_lines": F.size(F.filter(trimmed, lambda x: x.endswith("...") | x.endswith("…"))),
         "n_list_lines": F.size(F.filter(trimmed, lambda x: x.startswith("•") | x.startswith("- ") | x.startswith("* "))),
@@ -111,7 +123,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         "n_capitals": F.length(F.regexp_replace("_x_letters", r"[^\p{Lu}]+", "")),
         "n_stop_words": F.size(F.filter("_x_words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")).isin(*STOP_WORDS))),
     }
-    return ordered.select("doc_id", *[c.cast("bigint").alias(n) for n, c in counts.items()])
+    return ready.select("doc_id", *[c.cast("bigint").alias(n) for n, c in counts.items()])
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
