@@ -367,7 +367,8 @@ def linked(docs: DataFrame, gathered: DataFrame, reps: DataFrame, doc_id: str, t
             out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("gathering", "blocks", "class_id")], pa.array([x.astype("<u8").tobytes() for x in sets], type=pa.binary())], names=["gathering", "blocks", "class_id", "tokens"])
             yield out.filter(own)
 
-    sets = texts.join(gathered, "least_id").select("gathering", "blocks", "class_id", "same", "text").mapInArrow(tokens, "gathering bigint, blocks bigint, class_id bigint, tokens binary")
+    # Texts go to their gatherings by a shuffle at every size: the list of gathered classes grows with the documents.
+    sets = texts.hint("merge").join(gathered.hint("merge"), "least_id").select("gathering", "blocks", "class_id", "same", "text").mapInArrow(tokens, "gathering bigint, blocks bigint, class_id bigint, tokens binary")
     some_large = bool(gathered.filter(F.col("blocks") > 1).take(1))
     if some_large:
         sets = staged(sets, "tokens")
