@@ -640,13 +640,13 @@ def stream_latency(spark, sf_dir):
     union all select 'rejected', count(*), cast(sum(event_id) as bigint) from events where not (value > 1 and value <= 100 and event_type <> 'error')""",
 )
 def stream_validate(spark, sf_dir):
-    """Request bodies arrive as JSON text; each batch is split into records and rejects."""
+    """Request bodies arrive as JSON text in several micro-batches; each is split into records and rejects."""
     rules = (
         Rule("event_id", "int", ge=0),
         Rule("value", "float", gt=1, le=100),
         Rule("event_type", "choice", choices=("click", "purchase", "signup", "view")),
     )
-    bodies = _event_stream(spark, sf_dir).select("event_id", F.to_json(F.struct("event_id", "value", "event_type")).alias("body"))
+    bodies = _delivered(spark, sf_dir).select("event_id", F.to_json(F.struct("event_id", "value", "event_type")).alias("body"))
     folder = staging_path(spark, "validate")
     checked = jobs.validated(bodies, "body", rules)
     jobs.drain(checked, jobs.two_way_sink(f"{folder}/good", f"{folder}/bad"), f"{folder}/progress")
@@ -666,10 +666,13 @@ def stream_validate(spark, sf_dir):
     left join (select o_custkey, count(*) as n from orders where o_orderstatus = 'P' group by 1) o on user_id = o_custkey""",
 )
 def stream_enrich(spark, sf_dir):
+    """Several micro-batches, each with its own heavy clients joined apart."""
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     history = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("order_count"))
-    stream = jobs.enriched(_event_stream(spark, sf_dir), {"orders": history}, "user_id")
-    return _drained(spark, stream.select("event_id", "order_count", "history_found"), "enrich", "append").drop("batch")
+    folder = staging_path(spark, "enrich")
+    sink = jobs.enrich_sink(f"{folder}/out", {"orders": history}, "user_id", ["event_id", "order_count", "history_found"])
+    jobs.drain(_delivered(spark, sf_dir), sink, f"{folder}/progress")
+    return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 SCORE_RULES = (

@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from riskloom.catalog.profile_queries import DERIVED, _derived
 from riskloom.catalog.registry import ORACLES, query
 from riskloom.catalog.views import r, settled, table, view, with_views
-from riskloom.operators import clustering, contract, profiling
+from riskloom.operators import association, clustering, contract, profiling
 from riskloom.plans.monitoring import analyse
 from riskloom.session import staging_path
 from riskloom.sources import readers
+from riskloom.sources.writers import write_top_importance
 
 LINES_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "qty", "price", "discount", "tax"]
 LINES_OTHER = ["l_returnflag", "l_linestatus", "l_shipdate"]
@@ -276,3 +277,12 @@ def protected_clusters(spark, sf_dir):
     if set(beside) & {*kept, *dropped}:
         raise ValueError("a protected column was clustered")
     return settled(audit.withColumn("dropped", F.array_join("dropped", ",")))
+
+
+@query("strongest_to_csv", f"select \"column\" as feature, abs_corr as importance from ({ORACLES['label_correlation']}) t order by abs_corr desc, \"column\" limit 3")
+def strongest_to_csv(spark, sf_dir):
+    """The columns that go most with the label, as the top of a CSV file and read back."""
+    strength = association.label_correlation(_derived(spark, sf_dir), list(DERIVED), "label")
+    path = staging_path(spark, "strongest")
+    write_top_importance(strength.select(F.col("column").alias("feature"), F.col("abs_corr").alias("importance")), path, 3)
+    return settled(spark.read.option("header", True).schema("feature string, importance double").csv(path))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions import text
-from riskloom.functions.nulls import as_text, col, numeric_names, ratio
+from riskloom.functions.nulls import as_text, numeric_names, ratio
 from riskloom.operators.ordered import Edges, add_slice, cumulate, fit_edges, pick_quantiles, wanted_ranks
 from riskloom.session import staging_path
 

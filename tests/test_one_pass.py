@@ -9,7 +9,6 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import by_key
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from test_profile_and_drift import VALID
