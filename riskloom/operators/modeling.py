@@ -131,8 +131,8 @@ def family_scores(
         return scored
 
     jobs = [(name, i) for name in families for i in range(folds)]
+    folds_ready = [prepared(i) for i in range(folds)]
     with ThreadPoolExecutor(max_workers=side_by_side) as pool:
-        folds_ready = list(pool.map(inheritable_thread_target(data.sparkSession)(prepared), range(folds)))
         parts = list(pool.map(inheritable_thread_target(data.sparkSession)(fitted), jobs))
     return reduce(DataFrame.unionByName, parts)
 
