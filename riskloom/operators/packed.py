@@ -4,6 +4,9 @@ A generated aggregate of that many buffers is not compiled to machine code, and
 once for each. Here a task reduces its rows, some hundred thousand at a time, to one row per key whose buffers are arrays;
 these rows are dealt by key, and equal keys, which then stand together, are merged array by array. The source is read
 once, one exchange carries partial rows only, and memory is bounded: no key's rows or partial rows are ever held together.
+
+A partial row is several times as wide as a row. Where a task meets most keys only a few times among the rows that it holds at a
+time, partial rows hardly reduce anything; such rows are dealt by key first (:func:`gathered`), before wide columns are derived.
 """
 
 from __future__ import annotations
@@ -38,6 +41,15 @@ BUFFERS = {
 }
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by key, the rows of a key one after the other; rows without a key, which no aggregate takes, are left out.
+
+    For narrow rows of many keys, before wide columns are derived from them: each key then leaves the aggregate's first
+    step as about one partial row. Adaptive execution splits a partition that a hot key makes large.
+    """
+    return df.where(col(key).isNotNull()).hint("rebalance", col(key)).sortWithinPartitions(col(key))
+
+
 def can_pack(df: DataFrame, columns: Sequence[str]) -> bool:
     """Whole numbers and floating ones; decimals keep their exact sums elsewhere."""
     return all(isinstance(df.schema[c].dataType, (*WHOLE, *REAL)) for c in columns)
