@@ -84,7 +84,15 @@ def latest(batches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return newest.select(*[col(k) for k in keys], *[F.col("r").getField(c).alias(c) for c in rest])
 
 
+#: Tasks for each core over which the bodies of a micro-batch are dealt.
+TASKS_PER_CORE = 3
+
+
 def validated(stream: DataFrame, body: str = "body", rules: Sequence[Rule] = REQUEST_RULES) -> DataFrame:
+    """Checked records of a stream of bodies. A micro-batch is often one file, which one task reads; its bodies are dealt
+    evenly before they are parsed, the costly part."""
+    if stream.isStreaming:
+        stream = stream.repartition(TASKS_PER_CORE * stream.sparkSession.sparkContext.defaultParallelism)
     return validate_json(stream, body, rules)
 
 

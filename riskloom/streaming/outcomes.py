@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from riskloom.functions import text
 from riskloom.functions.nulls import col, is_true
@@ -157,10 +158,16 @@ def outcome_sink(
     key: str = "SK_ID_CURR",
 ) -> Callable[[DataFrame, int], None]:
     """Streaming sink: every call of a micro-batch of checked records into the one log, under the batch's number, so that a
-    replayed batch replaces itself. ``enrich`` adds what ``inputs`` need and the record does not hold, such as history."""
+    replayed batch replaces itself. ``enrich`` adds what ``inputs`` need and the record does not hold, such as history; it may
+    read the batch several times, which is checked once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        ready = enrich(batch) if enrich else batch
-        append_log(outcome_rows(ready, predict, inputs, threshold, version, origin, body, key), folder, number)
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK) if enrich else batch
+        try:
+            ready = enrich(kept) if enrich else kept
+            append_log(outcome_rows(ready, predict, inputs, threshold, version, origin, body, key), folder, number)
+        finally:
+            if enrich:
+                kept.unpersist()
 
     return write

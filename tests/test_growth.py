@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
+from test_profile_and_drift import VALID
 
 from riskloom.catalog import QUERIES
 from riskloom.operators import aggregation, packed
+from riskloom.sources import readers
+from riskloom.streaming import jobs, outcomes
 
 
 def test_rows_of_a_key_stand_together_and_aggregate_to_the_same(spark):
@@ -28,3 +31,23 @@ def test_wide_aggregate_deals_two_columns_before_thirty_are_derived(spark, data_
     plan = QUERIES["wide_aggregate"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
     first, second = (m.start() for m in re.finditer("MapInArrow", plan))
     assert "REBALANCE_PARTITIONS_BY_COL" in plan[second:] and "REBALANCE" not in plan[:second] and first < second
+
+
+def test_a_micro_batch_of_one_file_is_checked_once_by_many_tasks(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("\n".join([VALID % ("500000", ""), VALID % ("-1", ""), "{oops"] * 100) + "\n")
+    seen = []
+
+    def enrich(batch):
+        known = batch.select("status").distinct().count()
+        seen.append((batch, known, batch.rdd.getNumPartitions(), batch.storageLevel.useMemory))
+        return batch.withColumn("history_found", F.lit(True))
+
+    sink = outcomes.outcome_sink(str(tmp_path / "log"), lambda rows: [0.5] * len(rows), ["AMT_CREDIT"], 0.24, "v4", "production", enrich)
+    jobs.drain(jobs.validated(readers.stream_json(spark, str(inbox))), sink, str(tmp_path / "progress"))
+    ((batch, known, tasks, stored),) = seen
+    assert known == 2 and tasks >= spark.sparkContext.defaultParallelism and stored
+    assert not batch.storageLevel.useMemory
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert {(r["status"], r["count"]) for r in log.groupBy("status").count().collect()} == {("succes", 100), ("validation", 200)}
