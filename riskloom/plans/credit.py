@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.nulls import replace_infinities, string_names
+from riskloom.functions.nulls import col, replace_infinities, string_names
 from riskloom.operators.aggregation import (
     aggregate_credits,
     aggregate_previous,
@@ -19,7 +19,7 @@ from riskloom.operators.aggregation import (
 from riskloom.operators.cleaning import cap_column, missing_share, sentinel_to_flag, sum_flags
 from riskloom.operators.contract import align, drop_columns
 from riskloom.operators.features import INCOME, application_ratios, debt_to_income, score_summary
-from riskloom.operators.joins import heavy_apart, keep_keys, keep_keys_chained, left_join_all, left_join_one, lookup_history
+from riskloom.operators.joins import heavy_apart, keep_keys, keep_keys_chained, left_join_all, left_join_one, once_in_order
 from riskloom.operators.modeling import stamp
 from riskloom.schemas import FeatureParams
 
@@ -34,6 +34,7 @@ EXTRA_DROP = ("PREV_NAME_CASH_LOAN_PURPOSE_XAP_mean",)
 # Join order of the history aggregates; payment behaviour joins after the ratios.
 JOIN_ORDER = ("bureau_agg", "previous_agg", "cc_agg", "inst_agg", "pos_agg")
 PAYMENT = "payment_behavior_agg"
+FOUND = "history_found"
 
 
 def clean_application(df: DataFrame, params: FeatureParams) -> DataFrame:
@@ -120,13 +121,20 @@ def features_for(
     requests are joined apart; ``app`` is read for the sketch that finds them and for each side."""
 
     def enrich(requests: DataFrame, tables: Mapping[str, DataFrame], hot: bool) -> DataFrame:
-        # A client may send several requests; presence is looked up once per client.
-        clients = requests.select(KEY).distinct()
-        found = lookup_history(clients, {n: t.select(KEY) for n, t in tables.items()}, KEY, heavy=())
+        # The joins that bring a table's columns also tell whether it knows the client: no table is dealt or ordered twice in a task.
+        marks = {n: f"hit_{n}__" for n in tables}
+        marked = {n: t.withColumn(marks[n], F.lit(True)) for n, t in tables.items()}
+        # The hot side has as many clients as there are heavy keys, a bounded number. A marked copy has lost the hint.
+        marked = {n: F.broadcast(t) if hot else once_in_order(t, KEY) for n, t in marked.items()}
         df = clean_application(align(requests, input_contract), params)
-        df = add_features(merge_aggregations(df, tables, params, check=not hot), tables, params, check=not hot)
-        # The hot side has as many clients as there are heavy keys, a bounded number.
-        return align(df, output_contract, KEY).join(F.broadcast(found) if hot else found, KEY, "left")
+        df = add_features(merge_aggregations(df, marked, params), marked, params)
+        for n in tables:
+            if n not in (*JOIN_ORDER, PAYMENT):
+                df = left_join_one(df, marked[n].select(KEY, marks[n]), KEY)
+        known = F.coalesce(*[F.col(m) for m in marks.values()], F.lit(False))
+        df = df.withColumn(FOUND, F.when(F.col(KEY).isNotNull(), known))
+        out = align(df, T.StructType([*[f for f in output_contract if f.name != FOUND], T.StructField(FOUND, T.BooleanType())]), KEY)
+        return out.select(KEY, *[col(c) for c in out.columns if c != KEY])
 
     return heavy_apart(app, KEY, history, enrich)
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import functions as F
+from test_features_and_plan import PARAMS, app, six_tables
 from test_profile_and_drift import VALID
 
 from riskloom.catalog import QUERIES
-from riskloom.operators import aggregation, packed
+from riskloom.operators import aggregation, contract, packed
+from riskloom.plans import credit
+from riskloom.schemas import FeatureParams
 from riskloom.sources import readers
 from riskloom.streaming import jobs, outcomes
 
@@ -51,3 +54,23 @@ def test_a_micro_batch_of_one_file_is_checked_once_by_many_tasks(spark, tmp_path
     assert not batch.storageLevel.useMemory
     log = spark.read.parquet(str(tmp_path / "log"))
     assert {(r["status"], r["count"]) for r in log.groupBy("status").count().collect()} == {("succes", 100), ("validation", 200)}
+
+
+def test_each_stored_table_is_joined_once_and_tells_who_is_known(spark):
+    tables = six_tables(spark)
+    params = FeatureParams(**{**PARAMS.__dict__, "categories": credit.fit_history_categories(tables)})
+    history = {n: t.localCheckpoint() for n, t in credit.build_aggregations(tables, params).items()}
+    wanted = contract.contract_of(credit.build_features(app(spark), tables, params), ["SK_ID_CURR", "TARGET"])
+    inputs = contract.contract_of(app(spark), ["TARGET"])
+    known = app(spark).where("SK_ID_CURR = 1").drop("TARGET")
+    calls = known
+    for other in ("9999", "NULL"):
+        calls = calls.unionByName(known.withColumn("SK_ID_CURR", F.expr(f"CAST({other} AS BIGINT)")))
+    extra = {**history, "notes": spark.createDataFrame([(9999, "n")], "SK_ID_CURR long, note string")}
+    for stored, unknown in ((history, False), (extra, True)):
+        ready = credit.features_for(calls.unionByName(known), stored, params, inputs, wanted)
+        found = sorted(((r["SK_ID_CURR"], r["history_found"]) for r in ready.collect()), key=str)
+        assert found == [(1, True), (1, True), (9999, unknown), (None, None)]
+    # Heavy clients and the others, each with one left join a table; the others' check of the keys takes no join.
+    plan = credit.features_for(calls, history, params, inputs, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 * len(history) and plan.count("Join Inner") == len(history)
